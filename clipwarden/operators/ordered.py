@@ -42,37 +42,54 @@ def hash_bucket(key: str | Column, hex_digits: int = 3) -> Column:
     return F.substring(key if isinstance(key, Column) else F.col(key), 1, hex_digits)
 
 
-def running_total(
+def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
     value: Column,
     bucket: Column,
     out: str,
+    combine=F.sum,
+    start: Column | None = None,
+    ahead: bool = False,
+    inclusive: bool = False,
 ) -> DataFrame:
-    """Adds ``out`` = sum of ``value`` over all earlier rows of the group.
+    """Adds ``out`` = ``combine`` of ``value`` over the earlier (later) rows of the group.
 
     ``bucket`` must never decrease along ``order``.  The big side is shuffled
-    once, on (keys, bucket); the offsets come from one row per bucket.
+    once, on (keys, bucket); what comes from other buckets is read from a table
+    with one row per bucket.  ``combine`` is ``sum``, ``max`` or ``min``.
     """
-    tagged = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    ranked = [c.desc() if ahead else c.asc() for c in _cols(order)]
+    border = F.col("_ord_bucket").desc() if ahead else F.col("_ord_bucket").asc()
+    tagged = df.withColumn("_ord_bucket", bucket).withColumn("_ord_value", value)
     inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*_cols(order))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(*keys, "_bucket")
-        .agg(F.sum("_value").alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        Window.partitionBy(*keys, "_ord_bucket")
+        .orderBy(*ranked)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    return (
-        tagged.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_value", "_inside", "_offset")
+    before = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
+    edges = (
+        tagged.groupBy(*keys, "_ord_bucket")
+        .agg(combine("_ord_value").alias("_ord_n"))
+        .select(*keys, "_ord_bucket", combine("_ord_n").over(before).alias("_ord_offset"))
     )
+    joined = tagged.withColumn("_ord_inside", combine("_ord_value").over(inside)).join(edges, [*keys, "_ord_bucket"])
+    if combine is F.sum:
+        zero = F.lit(0)
+        total = F.coalesce("_ord_offset", zero) + F.coalesce("_ord_inside", zero)
+    elif combine is F.max:
+        total = F.greatest("_ord_offset", "_ord_inside")
+    else:
+        total = F.least("_ord_offset", "_ord_inside")
+    if start is not None:
+        total = F.coalesce(total, start)
+    return joined.withColumn(out, total).drop("_ord_bucket", "_ord_value", "_ord_inside", "_ord_offset")
+
+
+def running_total(df, keys, order, value, bucket, out) -> DataFrame:
+    """Sum of ``value`` over all earlier rows of the group."""
+    return running(df, keys, order, value, bucket, out)
 
 
 def with_position(
@@ -93,12 +110,15 @@ def chunked(
     back: int = 0,
     ahead: int = 0,
     size: int = PIECE,
+    expands: bool = False,
 ) -> DataFrame:
     """Cuts each group into pieces of ``size`` positions with a border copy.
 
     Returns the rows with ``_piece`` (the piece that processes the row) and
     ``_own`` (false for border copies, which serve as context only), already
     distributed by (keys, _piece) so that later windows need no shuffle.
+    ``expands`` keeps all shuffle partitions: adaptive coalescing judges by the
+    bytes before the rows are multiplied and would leave too few tasks.
     """
     size = max(size, back + ahead + 1)
     piece = F.floor(F.col(pos) / F.lit(size)).cast("long")
@@ -108,11 +128,13 @@ def chunked(
         targets.append(F.when(offset >= size - back, piece + 1))
     if ahead:
         targets.append(F.when(offset < ahead, piece - 1))
-    return (
-        df.withColumn("_piece", F.explode(F.array_compact(F.array(*targets))))
-        .withColumn("_own", F.col("_piece") == piece)
-        .repartition(*keys, "_piece")
+    cut = df.withColumn("_piece", F.explode(F.array_compact(F.array(*targets)))).withColumn(
+        "_own", F.col("_piece") == piece
     )
+    if expands:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cut.repartition(n, *keys, "_piece")
+    return cut.repartition(*keys, "_piece")
 
 
 def piece_window(keys: Sequence[str], *order: str | Column, extra: Sequence[str] = ()):
@@ -133,28 +155,28 @@ def carry(
 ) -> DataFrame:
     """Adds the nearest non-null ``value`` at or before (after) each row."""
     ranked = [c.desc() for c in _cols(order)] if ahead else [c.asc() for c in _cols(order)]
-    tagged = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    tagged = df.withColumn("_ord_bucket", bucket).withColumn("_ord_value", value)
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy(*keys, "_ord_bucket")
         .orderBy(*ranked)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     step = F.struct(*_cols(order))
     pick = F.min_by if ahead else F.max_by
     # one row per bucket: the value nearest to the next bucket
-    edge = tagged.groupBy(*keys, "_bucket").agg(
-        pick("_value", F.when(F.col("_value").isNotNull(), step)).alias("_edge")
+    edge = tagged.groupBy(*keys, "_ord_bucket").agg(
+        pick("_ord_value", F.when(F.col("_ord_value").isNotNull(), step)).alias("_ord_edge")
     )
-    border = F.col("_bucket").desc() if ahead else F.col("_bucket").asc()
+    border = F.col("_ord_bucket").desc() if ahead else F.col("_ord_bucket").asc()
     before = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.select(
-        *keys, "_bucket", F.last("_edge", ignorenulls=True).over(before).alias("_edge")
+        *keys, "_ord_bucket", F.last("_ord_edge", ignorenulls=True).over(before).alias("_ord_edge")
     )
     return (
-        tagged.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
-        .join(edge, [*keys, "_bucket"])
-        .withColumn(out, F.coalesce("_near", "_edge"))
-        .drop("_bucket", "_value", "_near", "_edge")
+        tagged.withColumn("_ord_near", F.last("_ord_value", ignorenulls=True).over(inside))
+        .join(edge, [*keys, "_ord_bucket"])
+        .withColumn(out, F.coalesce("_ord_near", "_ord_edge"))
+        .drop("_ord_bucket", "_ord_value", "_ord_near", "_ord_edge")
     )
 
 

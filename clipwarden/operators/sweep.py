@@ -19,18 +19,21 @@ from .ordered import chunked, piece_window
 from .scoring import FALSE, HIT, f1_percent, verdict
 
 
-def fire_predicate(rule: FireRule, base: str = "smoke_base") -> Column:
-    fire, smoke = F.col("fire"), F.col("smoke")
+def fire_predicate(rule: FireRule, base: str = "smoke_base") -> str:
+    """The hit condition of a grid point as SQL text: a grid is one expression."""
+    fire = f"fire >= {rule.fire}D"
     if rule.kind == "fire_only":
-        return S.fire_only(fire, rule.fire)
+        return fire
     if rule.kind == "combined":
-        return S.combined(fire, smoke, rule.fire, rule.smoke)
+        return f"{fire} OR (fire >= {S.SMOKE_FLOOR}D AND smoke >= {rule.smoke}D)"
     if rule.kind == "either":
-        return S.either(fire, smoke, rule.fire)
+        return f"{fire} OR smoke >= {rule.fire}D"
     if rule.kind == "smoke_ok":
-        return S.smoke_ok(fire, smoke, rule.fire, rule.smoke)
+        return f"{fire} OR smoke >= {rule.smoke}D"
     if rule.kind == "smoke_rise":
-        return S.smoke_rise(fire, smoke, F.col(base), rule.fire, rule.rise)
+        if rule.rise is None:
+            return fire
+        return f"{fire} OR (smoke >= {base} + {rule.rise}D AND smoke >= {S.SMOKE_FLOOR}D)"
     raise ValueError(rule.kind)
 
 
@@ -59,10 +62,9 @@ def sweep_onsets(indexed: DataFrame, rules: Sequence[FireRule]) -> DataFrame:
     frames = list(dict.fromkeys((r.win, r.hits) for r in rules))
     reach = max(w for w, _ in frames) - 1
 
-    cut = chunked(indexed, ["clip"], "idx", back=reach)
-    met = F.array_compact(
-        F.array(*[F.when(fire_predicate(kinds[k]), F.lit(i)) for k, i in predicates.items()])
-    )
+    cut = chunked(indexed, ["clip"], "idx", back=reach, expands=True)
+    cases = ", ".join(f"CASE WHEN {fire_predicate(kinds[k])} THEN {i} END" for k, i in predicates.items())
+    met = F.expr(f"array_compact(array({cases}))")
     hits = cut.select("clip", "_piece", "_own", "idx", "t", F.explode(met).alias("_pred"))
     w = piece_window(["clip"], "idx", extra=["_pred"])
     for n in sorted({h for _, h in frames}):
