@@ -3,7 +3,7 @@
 
 def load():
     """All registered queries and their reference SQL."""
-    from . import signal_queries, track_queries  # noqa: F401
+    from . import curation_queries, signal_queries, track_queries  # noqa: F401
     from .registry import QUERIES, SQL
 
     return QUERIES, SQL
