@@ -16,6 +16,11 @@ ANKLES = (16, 17)
 SEEN = 0.2
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluates ``value`` once and hands it to ``body``, however often that uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _valid(kp: Column, points: tuple[int, ...], seen: float, strict: bool = False) -> Column:
     some = F.array(*[F.element_at(kp, i) for i in points])
     return F.filter(some, lambda p: p["c"] > seen if strict else p["c"] >= seen)
@@ -28,9 +33,16 @@ def _mean(points: Column, axis: str) -> Column:
 
 def torso_angle(kp: Column, seen: float = SEEN, strict: bool = False) -> Column:
     """Degrees between the torso and the horizontal, NULL without both ends."""
-    sh, hip = _valid(kp, SHOULDERS, seen, strict), _valid(kp, HIPS, seen, strict)
-    a = F.abs(F.degrees(F.atan2(_mean(hip, "y") - _mean(sh, "y"), _mean(hip, "x") - _mean(sh, "x"))))
-    return F.when((F.size(sh) > 0) & (F.size(hip) > 0), F.least(a, 180 - a))
+    ends = F.struct(
+        _valid(kp, SHOULDERS, seen, strict).alias("sh"), _valid(kp, HIPS, seen, strict).alias("hip")
+    )
+
+    def angle(e: Column) -> Column:
+        dy, dx = _mean(e["hip"], "y") - _mean(e["sh"], "y"), _mean(e["hip"], "x") - _mean(e["sh"], "x")
+        return F.abs(F.degrees(F.atan2(dy, dx)))
+
+    # the mean over no points is NULL, and so is the angle
+    return _let(_let(ends, angle), lambda a: F.least(a, 180 - a))
 
 
 def lying(kp: Column, w: Column, h: Column) -> Column:
@@ -50,7 +62,8 @@ def visibility(c: Column) -> Column:
 def center(kp: Column, seen: float = SEEN) -> Column:
     """Mean of the visible keypoints, NULL when none is."""
     ok = F.filter(kp, lambda p: p["c"] >= seen)
-    return F.when(F.size(ok) > 0, F.struct(_mean(ok, "x").alias("x"), _mean(ok, "y").alias("y")))
+    mean = lambda o: F.when(F.size(o) > 0, F.struct(_mean(o, "x").alias("x"), _mean(o, "y").alias("y")))
+    return _let(ok, mean)
 
 
 def _flat(kp: Column, frame_w: Column, frame_h: Column) -> Column:
@@ -79,17 +92,27 @@ def pose_features(
 
 def pose_features_from_points(kp: Column, frame_w: Column, frame_h: Column) -> Column:
     """The same vector when only keypoints exist: the box spans the visible ones."""
-    ok = F.filter(kp, lambda p: p["c"] >= SEEN)
-    axis = lambda name: F.transform(ok, lambda p: p[name].cast("double"))
-    x1, y1 = F.array_min(axis("x")), F.array_min(axis("y"))
-    x2, y2 = F.array_max(axis("x")), F.array_max(axis("y"))
-    w, h = F.greatest(x2 - x1, F.lit(1.0)), F.greatest(y2 - y1, F.lit(1.0))
-    base = F.array(
-        _mean(ok, "c"), (x1 + x2) / 2 / frame_w, (y1 + y2) / 2 / frame_h, w / frame_w, h / frame_h,
-        w / h, F.coalesce(torso_angle(kp), F.lit(90.0)) / 90.0, neck_height(kp, frame_h),
-    )
-    full = F.concat(base, _flat(kp, frame_w, frame_h))
-    return F.when(F.size(ok) > 0, full).otherwise(F.array_repeat(F.lit(0.0), 59)).cast("array<float>")
+    seen = F.filter(kp, lambda p: p["c"] >= SEEN)
+
+    def full(ok: Column) -> Column:
+        axis = lambda name: F.transform(ok, lambda p: p[name].cast("double"))
+        edges = F.struct(
+            F.array_min(axis("x")).alias("x1"), F.array_min(axis("y")).alias("y1"),
+            F.array_max(axis("x")).alias("x2"), F.array_max(axis("y")).alias("y2"),
+        )
+
+        def base(b: Column) -> Column:
+            w, h = F.greatest(b["x2"] - b["x1"], F.lit(1.0)), F.greatest(b["y2"] - b["y1"], F.lit(1.0))
+            return F.array(
+                _mean(ok, "c"), (b["x1"] + b["x2"]) / 2 / frame_w, (b["y1"] + b["y2"]) / 2 / frame_h,
+                w / frame_w, h / frame_h, w / h,
+                F.coalesce(torso_angle(kp), F.lit(90.0)) / 90.0, neck_height(kp, frame_h),
+            )
+
+        vector = F.concat(_let(edges, base), _flat(kp, frame_w, frame_h))
+        return F.when(F.size(ok) > 0, vector).otherwise(F.array_repeat(F.lit(0.0), 59))
+
+    return _let(seen, full).cast("array<float>")
 
 
 def physical_features(kp: Column, frame_w: Column, frame_h: Column) -> Column:
@@ -102,18 +125,29 @@ def physical_features(kp: Column, frame_w: Column, frame_h: Column) -> Column:
             (p["x"] / fw).alias("x"), (p["y"] / fh).alias("y"), p["c"].cast("double").alias("c")
         ),
     )
-    ok = F.filter(unit, lambda p: p["c"] > seen)
-    axis = lambda name: F.transform(ok, lambda p: p[name])
-    x1, x2 = F.array_min(axis("x")), F.array_max(axis("x"))
-    y1, y2 = F.array_min(axis("y")), F.array_max(axis("y"))
-    w, h = F.greatest(x2 - x1, F.lit(1e-4)), F.greatest(y2 - y1, F.lit(1e-4))
-    sh, foot = _valid(unit, SHOULDERS, seen, True), _valid(unit, ANKLES, seen, True)
-    nose = F.element_at(unit, NOSE)
-    nose_y = F.when(nose["c"] > seen, nose["y"]).otherwise(F.coalesce(_mean(sh, "y"), F.lit(0.0)))
-    foot_y = F.coalesce(_mean(foot, "y"), y2)
-    full = F.array(
-        F.lit(1.0), _mean(ok, "c"), F.size(ok) / F.size(kp), w, h, w / h,
-        F.coalesce(torso_angle(unit, seen, True), F.lit(90.0)) / 90.0,
-        nose_y, foot_y, nose_y - foot_y, (y1 + y2) / 2, (x1 + x2) / 2, h * w,
-    )
-    return F.when(F.size(ok) >= 4, full).otherwise(F.array_repeat(F.lit(0.0), 13))
+
+    def parts(u: Column) -> Column:
+        ok = F.filter(u, lambda p: p["c"] > seen)
+        nose = F.element_at(u, NOSE)
+        return _let(
+            ok,
+            lambda o: F.struct(
+                F.size(o).alias("n"), _mean(o, "c").alias("conf"),
+                F.array_min(F.transform(o, lambda p: p["x"])).alias("x1"), F.array_max(F.transform(o, lambda p: p["x"])).alias("x2"),
+                F.array_min(F.transform(o, lambda p: p["y"])).alias("y1"), F.array_max(F.transform(o, lambda p: p["y"])).alias("y2"),
+                F.coalesce(torso_angle(u, seen, True), F.lit(90.0)).alias("angle"),
+                F.when(nose["c"] > seen, nose["y"]).alias("nose"),
+                _mean(_valid(u, SHOULDERS, seen, True), "y").alias("neck"), _mean(_valid(u, ANKLES, seen, True), "y").alias("foot"),
+            ),
+        )
+
+    def vector(f: Column) -> Column:
+        w, h = F.greatest(f["x2"] - f["x1"], F.lit(1e-4)), F.greatest(f["y2"] - f["y1"], F.lit(1e-4))
+        nose, foot = F.coalesce(f["nose"], f["neck"], F.lit(0.0)), F.coalesce(f["foot"], f["y2"])
+        full = F.array(
+            F.lit(1.0), f["conf"], f["n"] / F.size(kp), w, h, w / h, f["angle"] / 90.0, nose, foot, nose - foot,
+            (f["y1"] + f["y2"]) / 2, (f["x1"] + f["x2"]) / 2, h * w,
+        )
+        return F.when(f["n"] >= 4, full).otherwise(F.array_repeat(F.lit(0.0), 13))
+
+    return _let(_let(unit, parts), vector)

@@ -3,7 +3,9 @@
 
 def load():
     """All registered queries and their reference SQL."""
-    from . import curation_queries, signal_queries, track_queries  # noqa: F401
+    from . import (  # noqa: F401
+        curation_queries, feature_queries, mart_queries, signal_queries, source_queries, track_queries,
+    )
     from .registry import QUERIES, SQL
 
     return QUERIES, SQL

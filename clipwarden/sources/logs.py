@@ -67,7 +67,9 @@ def sections(docs: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
     """
     clean = F.regexp_replace("text", ANSI, "")
     parts = docs.select(*keys, F.posexplode(F.split(clean, rf"(?m)^(?={SECTION})")).alias("section_no", "_s"))
-    parts = parts.filter(F.col("_s").startswith(SECTION)).withColumn("_l", F.split("_s", r"\r?\n"))
+    parts = parts.filter(F.col("_s").startswith(SECTION)).withColumn(
+        "_l", F.split(F.regexp_replace("_s", r"\r?\n$", ""), r"\r?\n")
+    )
     name = F.trim(F.replace(F.get("_l", 0), F.lit("#"), F.lit("")))
     return parts.select(*keys, "section_no", name.alias("section"), F.posexplode("_l").alias("line_no", "line")).filter(
         F.col("line_no") > 0
