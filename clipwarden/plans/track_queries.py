@@ -369,3 +369,33 @@ def top_people_per_frame(spark, d):
 
     det = detections(spark, d).select("image", "det_id", "conf")
     return top_per_group(det, ["image"], [F.desc("conf"), F.asc("det_id")], 5).select("image", "det_id", "rank")
+
+
+# ---- tracking (sequential: no SQL form; tests compare with a plain loop) -------------------
+
+
+def tracked_frames(spark, d) -> DataFrame:
+    """Suppressed boxes of ten long clips: consecutive orders are consecutive samples."""
+    kept = frames(spark, d).select("image", F.posexplode(G.suppress(F.col("boxes"), G.person_overlap())).alias("box_no", "b"))
+    px = lambda c: F.col(f"b.{c}") * 12.0
+    return kept.select(
+        (F.col("image") % 10).alias("clip"), F.floor(F.col("image") / 10).alias("idx"), F.col("box_no").cast("long").alias("box_no"),
+        F.col("b.conf").alias("conf"), *[px(c).alias(c) for c in ("x1", "y1", "x2", "y2")],
+    )
+
+
+@query("track_people")
+def track_people(spark, d):
+    from ..operators.tracking import track_people as link
+
+    return link(tracked_frames(spark, d))
+
+
+@query("track_keypoints")
+def track_keypoints(spark, d):
+    from ..operators.tracking import track_keypoints as link
+    from .feature_queries import keypoints
+
+    kp = keypoints(spark, d)
+    people = kp.select((F.col("image") % 10).alias("clip"), F.floor(F.col("image") / 10).alias("idx"), "slot", "kp")
+    return link(people)
