@@ -100,9 +100,13 @@ def dataset_summary(files: DataFrame, shown: DataFrame, keys: Sequence[str] = ("
     return total.join(part, list(keys))
 
 
-def verdict_matrix(verdicts: DataFrame, clips: Sequence[str], name: str = "name") -> DataFrame:
-    """Experiments by clips; the clip columns are named by the caller, so no extra pass finds them."""
-    return verdicts.groupBy(name).pivot("clip", list(clips)).agg(F.first("verdict"))
+def verdict_matrix(verdicts: DataFrame, experiments: Sequence[str], row: str = "clip", name: str = "name") -> DataFrame:
+    """Verdict heat map: clips by experiments.
+
+    Experiments are few and become the columns, named by the caller so that no
+    extra pass looks for them; clips grow with the data and stay rows.
+    """
+    return verdicts.groupBy(row).pivot(name, list(experiments)).agg(F.first("verdict"))
 
 
 def best_per_item(results: DataFrame) -> DataFrame:

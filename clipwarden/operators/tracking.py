@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -107,10 +108,12 @@ def _run_piece(keys: Sequence[str], order: Sequence[str], match: Callable, memor
                 tracks.append(_Track((s["x1"], s["y1"], s["x2"], s["y2"]), int(s["last"]), -(slot + 1)))
         created, out = 0, []
         ordered = boxes.sort_values(["idx", *order], kind="stable")
-        for idx, sample in ordered.groupby("idx", sort=True):
-            rows = list(zip(*[sample[n].tolist() for n in names]))
-            tokens, tracks, created = advance(tracks, int(idx), rows, created, match, memory)
-            out += [(int(idx), int(b), t) for b, t in zip(sample["box_no"], tokens)]
+        numbers = zip(ordered["idx"].tolist(), ordered["box_no"].tolist())
+        corners = zip(*[ordered[n].tolist() for n in names])
+        for idx, sample in groupby(zip(numbers, corners), key=lambda r: r[0][0]):
+            rows = list(sample)
+            tokens, tracks, created = advance(tracks, idx, [c for _, c in rows], created, match, memory)
+            out += [(idx, n[1], t) for (n, _), t in zip(rows, tokens)]
         state = [{**dict(zip(names, t.box)), "last": t.last, "token": t.token} for t in tracks]
         n = len(out)
         columns = {k: [v] * (n + 1) for k, v in zip((*keys, "piece"), key)}

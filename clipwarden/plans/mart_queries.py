@@ -112,15 +112,14 @@ def dataset_summary(spark, d):
 @query(
     "verdict_matrix",
     f"""WITH {grid_sql(list(presets.NAMED_RULES.values()))}
-    SELECT ordinal AS name, {', '.join(f"max(CASE WHEN clip = {c} THEN verdict END) AS c{c}" for c in range(10))} FROM verdicts GROUP BY ordinal""",
+    SELECT clip, {', '.join(f"max(CASE WHEN ordinal = {i} THEN verdict END) AS rule{i}" for i in range(len(presets.NAMED_RULES)))} FROM verdicts GROUP BY clip""",
 )
 def verdict_matrix(spark, d):
+    """All clips by the named rules; a rule that did not fire on a clip missed it."""
+    names = [f"rule{i}" for i in range(len(presets.NAMED_RULES))]
     fired, gt, _ = grid_run(spark, d, list(presets.NAMED_RULES.values()))
-    # a rule that did not fire on a clip missed it
-    grid = gt.filter("clip < 10").select("clip", F.explode(F.sequence(F.lit(0), F.lit(len(presets.NAMED_RULES) - 1))).alias("ordinal"))
-    v = grid.join(fired.select("clip", "ordinal", "verdict"), ["clip", "ordinal"], "left").na.fill("miss", ["verdict"])
-    m = M.verdict_matrix(v.withColumn("clip", F.concat(F.lit("c"), F.col("clip").cast("string"))), [f"c{c}" for c in range(10)], "ordinal")
-    return m.withColumnRenamed("ordinal", "name")
+    v = fired.select("clip", F.concat(F.lit("rule"), F.col("ordinal").cast("string")).alias("name"), "verdict")
+    return gt.select("clip").join(M.verdict_matrix(v, names), "clip", "left").na.fill("miss", names)
 
 
 @query("verdict_filter", f"WITH {SCORED_SQL} SELECT clip, alarm, verdict FROM scored WHERE verdict = 'false' ORDER BY clip")
