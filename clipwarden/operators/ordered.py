@@ -109,7 +109,7 @@ def chunked(
     pos: str = "idx",
     back: int = 0,
     ahead: int = 0,
-    size: int = PIECE,
+    size: int | None = None,
     expands: bool = False,
 ) -> DataFrame:
     """Cuts each group into pieces of ``size`` positions with a border copy.
@@ -120,7 +120,7 @@ def chunked(
     ``expands`` keeps all shuffle partitions: adaptive coalescing judges by the
     bytes before the rows are multiplied and would leave too few tasks.
     """
-    size = max(size, back + ahead + 1)
+    size = max(size or PIECE, back + ahead + 1)
     piece = F.floor(F.col(pos) / F.lit(size)).cast("long")
     offset = F.pmod(F.col(pos), F.lit(size))
     targets = [piece]
