@@ -96,3 +96,14 @@ def test_grid_snap_is_half_even(spark):
 def test_adapter_registry(spark):
     A.register_adapter("upper", lambda docs: docs.select(F.upper("text").alias("text")))
     assert A.parse("upper", spark.createDataFrame([("a",)], "text string")).first().text == "A"
+
+
+def test_scorer_plug_point(spark):
+    from clipwarden.operators.scorer import score_images
+
+    def make():
+        return lambda batch: batch["n"].map(lambda n: [dict(cls=i % 2, conf=0.2 * (i + 1), x1=0.0, y1=0.0, x2=1.0, y2=1.0) for i in range(n)])
+
+    df = spark.createDataFrame([("a", 0), ("b", 3)], "stem string, n int")
+    got = {r.stem: (r.n_det, round(r.max_conf, 2), r.top_class) for r in score_images(df, make, "stem string").collect()}
+    assert got == {"a": (0, 0.0, None), "b": (2, 0.6, 0)}
