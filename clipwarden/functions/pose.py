@@ -21,9 +21,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _valid(kp: Column, points: tuple[int, ...], seen: float, strict: bool = False) -> Column:
-    some = F.array(*[F.element_at(kp, i) for i in points])
-    return F.filter(some, lambda p: p["c"] > seen if strict else p["c"] >= seen)
+def _pair(kp: Column, points: tuple[int, int], axis: str, seen: float, strict: bool = False) -> Column:
+    """Mean of the visible points of a pair, NULL when neither is visible."""
+    a, b = (F.element_at(kp, i) for i in points)
+    ok = lambda p: p["c"] > seen if strict else p["c"] >= seen
+    value = lambda p: F.when(ok(p), p[axis].cast("double")).otherwise(0.0)
+    n = ok(a).cast("int") + ok(b).cast("int")
+    return (value(a) + value(b)) / F.nullif(n, F.lit(0))
 
 
 def _mean(points: Column, axis: str) -> Column:
@@ -33,16 +37,10 @@ def _mean(points: Column, axis: str) -> Column:
 
 def torso_angle(kp: Column, seen: float = SEEN, strict: bool = False) -> Column:
     """Degrees between the torso and the horizontal, NULL without both ends."""
-    ends = F.struct(
-        _valid(kp, SHOULDERS, seen, strict).alias("sh"), _valid(kp, HIPS, seen, strict).alias("hip")
-    )
-
-    def angle(e: Column) -> Column:
-        dy, dx = _mean(e["hip"], "y") - _mean(e["sh"], "y"), _mean(e["hip"], "x") - _mean(e["sh"], "x")
-        return F.abs(F.degrees(F.atan2(dy, dx)))
-
-    # the mean over no points is NULL, and so is the angle
-    return _let(_let(ends, angle), lambda a: F.least(a, 180 - a))
+    end = lambda pair, axis: _pair(kp, pair, axis, seen, strict)
+    dy, dx = end(HIPS, "y") - end(SHOULDERS, "y"), end(HIPS, "x") - end(SHOULDERS, "x")
+    a = F.abs(F.degrees(F.atan2(dy, dx)))
+    return F.least(a, 180 - a)
 
 
 def lying(kp: Column, w: Column, h: Column) -> Column:
@@ -51,8 +49,7 @@ def lying(kp: Column, w: Column, h: Column) -> Column:
 
 
 def neck_height(kp: Column, frame_h: Column, seen: float = SEEN) -> Column:
-    sh = _valid(kp, SHOULDERS, seen)
-    return F.coalesce(_mean(sh, "y") / frame_h, F.lit(0.0))
+    return F.coalesce(_pair(kp, SHOULDERS, "y", seen) / frame_h, F.lit(0.0))
 
 
 def visibility(c: Column) -> Column:
@@ -137,7 +134,7 @@ def physical_features(kp: Column, frame_w: Column, frame_h: Column) -> Column:
                 F.array_min(F.transform(o, lambda p: p["y"])).alias("y1"), F.array_max(F.transform(o, lambda p: p["y"])).alias("y2"),
                 F.coalesce(torso_angle(u, seen, True), F.lit(90.0)).alias("angle"),
                 F.when(nose["c"] > seen, nose["y"]).alias("nose"),
-                _mean(_valid(u, SHOULDERS, seen, True), "y").alias("neck"), _mean(_valid(u, ANKLES, seen, True), "y").alias("foot"),
+                _pair(u, SHOULDERS, "y", seen, True).alias("neck"), _pair(u, ANKLES, "y", seen, True).alias("foot"),
             ),
         )
 

@@ -4,25 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import iou
-from .ordered import running
+from .ordered import running_many
 
 IOU_LEVELS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))  # fixed values
 
 
-def match(
-    detections: DataFrame, truths: DataFrame, level: float | None = 0.5, keys: Sequence[str] = ("image", "cls")
-) -> DataFrame:
-    """Marks every detection as a true or false positive.
+def _takers(detections: DataFrame, truths: DataFrame, levels: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """(keys, det_id, level) of the true positives.
 
     Each detection takes the truth it overlaps most, and a truth goes to its
-    most confident taker.  Needs unique ``det_id`` and ``truth_id``, and corner
-    boxes ``box``.  With ``level=None`` all overlap levels are judged at once,
-    one row per detection and ``level``.
+    most confident taker among those that overlap it enough.
     """
-    levels = [level] if level is not None else list(IOU_LEVELS)
     pairs = (
         detections.select(*keys, "det_id", "conf", F.col("box").alias("_d"))
         .join(truths.select(*keys, "truth_id", F.col("box").alias("_t")), list(keys))
@@ -33,45 +28,74 @@ def match(
         F.max("conf").alias("conf"),
         F.max(F.struct("_iou", (-F.col("truth_id")).alias("_neg"))).alias("_best"),
     )
-    each_level = F.explode(F.array(*[F.lit(v) for v in levels])).alias("level")
     taken = best.select(
-        *keys, "det_id", "conf", F.col("_best._iou").alias("_iou"), (-F.col("_best._neg")).alias("truth_id"), each_level
+        *keys, "det_id", "conf", F.col("_best._iou").alias("_iou"), (-F.col("_best._neg")).alias("truth_id"),
+        F.explode(F.array(*[F.lit(v) for v in levels])).alias("level"),
     ).filter(F.col("_iou") >= F.col("level"))
-    winners = taken.groupBy(*keys, "truth_id", "level").agg(
+    return taken.groupBy(*keys, "truth_id", "level").agg(
         F.max_by("det_id", F.struct("conf", -F.col("det_id"))).alias("det_id")
+    ).drop("truth_id")
+
+
+def match(
+    detections: DataFrame, truths: DataFrame, levels: Sequence[float] = (0.5,), keys: Sequence[str] = ("image", "cls")
+) -> DataFrame:
+    """Adds ``hits``: the overlap levels at which a detection is a true positive.
+
+    Needs ``det_id`` and ``truth_id``, unique in their image and class, and
+    corner boxes ``box``.
+    """
+    won = _takers(detections, truths, levels, keys).groupBy(*keys, "det_id").agg(F.collect_set("level").alias("hits"))
+    none = F.array().cast("array<double>")
+    return detections.join(won, [*keys, "det_id"], "left").withColumn("hits", F.coalesce("hits", none))
+
+
+def level_counts(judged: DataFrame, levels: Sequence[float] = IOU_LEVELS) -> DataFrame:
+    """True and false positives per class and level."""
+    hit = lambda v: F.array_contains("hits", F.lit(v))
+    wide = judged.groupBy("cls").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count(F.when(hit(v), 1)).alias(f"h{i}") for i, v in enumerate(levels)]
     )
-    judged = detections.select("*", each_level)
-    return judged.join(winners, [*keys, "det_id", "level"], "left").withColumn("tp", F.col("truth_id").isNotNull())
+    cells = F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"h{i}").alias("tp"), (F.col("_n") - F.col(f"h{i}")).alias("fp")) for i, v in enumerate(levels)])
+    return wide.select("cls", F.inline(cells))
 
 
-def average_precision(judged: DataFrame, truths: DataFrame, points: int = 100) -> DataFrame:
+def average_precision(
+    judged: DataFrame, truths: DataFrame, levels: Sequence[float] = IOU_LEVELS, points: int = 100
+) -> DataFrame:
     """Area under the interpolated precision envelope per class and level.
 
     The recall-precision curve starts at (0, 1), ends at (1, 0), is read at 101
     evenly spaced recalls and integrated by trapezoids.  Detections of a class
     are ranked in confidence buckets, so a class that holds most detections is
-    still spread over many tasks.
+    still spread over many tasks; all levels share the ranking.
     """
     n = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    keys = ["cls", "level"]
-    ranking = judged.select(*keys, (-F.col("conf")).alias("_rank"), "image", "det_id", F.col("tp").cast("long").alias("hit"))
+    spread = range(len(levels))
+    ranking = judged.select("cls", (-F.col("conf")).alias("_rank"), "image", "det_id", "hits")
     order = ["_rank", "image", "det_id"]
     bucket = F.floor(F.col("_rank") * 1000).cast("long")
-    one = F.lit(1).cast("long")
-    ranking = running(ranking, keys, order, F.col("hit"), bucket, "ctp", inclusive=True)
-    ranking = running(ranking, keys, order, one, bucket, "found", inclusive=True)
-    ranking = ranking.withColumn("p", F.col("ctp") / F.col("found"))
-    ranking = running(ranking, keys, order, F.col("p"), bucket, "env", F.max, ahead=True, inclusive=True)
+    hit = lambda v: F.array_contains("hits", F.lit(v)).cast("long")
+    sums = {f"c{i}": hit(levels[i]) for i in spread}
+    sums["found"] = F.lit(1).cast("long")
+    ranking = running_many(ranking, ["cls"], order, sums, bucket, inclusive=True).drop("hits")
+    precision = {f"e{i}": F.col(f"c{i}") / F.col("found") for i in spread}
+    ranking = running_many(ranking, ["cls"], order, precision, bucket, F.max, ahead=True, inclusive=True)
+    cells = F.array(*[F.struct(F.lit(levels[i]).alias("level"), F.col(f"c{i}").alias("ctp"), F.col(f"e{i}").alias("env")) for i in spread])
+    keys = ["cls", "level"]
     # one row per recall step k/n: the envelope at its first and last detection
-    steps = ranking.groupBy(*keys, "ctp").agg(F.max("env").alias("first_p"), F.min("env").alias("last_p"))
-    start = judged.select(*keys).distinct().select(
-        *keys, F.lit(0).cast("long").alias("ctp"), F.lit(1.0).alias("first_p"), F.lit(1.0).alias("last_p")
+    steps = ranking.select("cls", F.inline(cells)).groupBy(*keys, "ctp").agg(
+        F.max("env").alias("first_p"), F.min("env").alias("last_p")
+    )
+    start = judged.select("cls").distinct().select(
+        "cls", F.explode(F.array(*[F.lit(v) for v in levels])).alias("level"), F.lit(0).cast("long").alias("ctp"),
+        F.lit(1.0).alias("first_p"), F.lit(1.0).alias("last_p"),
     )
     steps = steps.unionByName(start).groupBy(*keys, "ctp").agg(
         F.max("first_p").alias("first_p"), F.min("last_p").alias("last_p")
     )
     following = steps.select(*keys, (F.col("ctp") - 1).alias("ctp"), F.col("first_p").alias("next_p"))
-    steps = steps.join(following, [*keys, "ctp"], "left").join(F.broadcast(n), "cls")
+    steps = steps.join(following, [*keys, "ctp"], "left").join(n, "cls")
     k, total, last = F.col("ctp"), F.col("n"), F.col("next_p").isNull()
     lo = F.ceil(k * points / total).cast("long")
     hi = F.when(last, points).otherwise(F.ceil((k + 1) * points / total) - 1).cast("long")
@@ -93,9 +117,11 @@ def detection_summary(ap: DataFrame) -> DataFrame:
 
 def precision_recall(judged: DataFrame, truths: DataFrame, conf: float, level: float = 0.5) -> DataFrame:
     """Precision and recall per class at one confidence."""
-    kept = judged.filter((F.col("level") == level) & (F.col("conf") >= conf))
+    hit = F.array_contains("hits", F.lit(level))
     n = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    c = kept.groupBy("cls").agg(F.count(F.when(F.col("tp"), 1)).alias("tp"), F.count(F.lit(1)).alias("found"))
+    c = judged.filter(F.col("conf") >= conf).groupBy("cls").agg(
+        F.count(F.when(hit, 1)).alias("tp"), F.count(F.lit(1)).alias("found")
+    )
     return n.join(c, "cls", "left").na.fill(0, ["tp", "found"]).select(
         "cls",
         F.coalesce(F.try_divide("tp", "found"), F.lit(0.0)).alias("precision"),

@@ -42,19 +42,17 @@ def hash_bucket(key: str | Column, hex_digits: int = 3) -> Column:
     return F.substring(key if isinstance(key, Column) else F.col(key), 1, hex_digits)
 
 
-def running(
+def running_many(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    value: Column,
+    values: dict[str, Column],
     bucket: Column,
-    out: str,
     combine=F.sum,
-    start: Column | None = None,
     ahead: bool = False,
     inclusive: bool = False,
 ) -> DataFrame:
-    """Adds ``out`` = ``combine`` of ``value`` over the earlier (later) rows of the group.
+    """Adds ``combine`` of each value over the earlier (later) rows of the group.
 
     ``bucket`` must never decrease along ``order``.  The big side is shuffled
     once, on (keys, bucket); what comes from other buckets is read from a table
@@ -62,7 +60,8 @@ def running(
     """
     ranked = [c.desc() if ahead else c.asc() for c in _cols(order)]
     border = F.col("_ord_bucket").desc() if ahead else F.col("_ord_bucket").asc()
-    tagged = df.withColumn("_ord_bucket", bucket).withColumn("_ord_value", value)
+    names = {f"_ord_value{i}": out for i, out in enumerate(values)}
+    tagged = df.withColumns({"_ord_bucket": bucket, **{n: values[out] for n, out in names.items()}})
     inside = (
         Window.partitionBy(*keys, "_ord_bucket")
         .orderBy(*ranked)
@@ -71,20 +70,28 @@ def running(
     before = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     edges = (
         tagged.groupBy(*keys, "_ord_bucket")
-        .agg(combine("_ord_value").alias("_ord_n"))
-        .select(*keys, "_ord_bucket", combine("_ord_n").over(before).alias("_ord_offset"))
+        .agg(*[combine(n).alias(n) for n in names])
+        .select(*keys, "_ord_bucket", *[combine(n).over(before).alias(f"{n}_before") for n in names])
     )
-    joined = tagged.withColumn("_ord_inside", combine("_ord_value").over(inside)).join(edges, [*keys, "_ord_bucket"])
-    if combine is F.sum:
-        zero = F.lit(0)
-        total = F.coalesce("_ord_offset", zero) + F.coalesce("_ord_inside", zero)
-    elif combine is F.max:
-        total = F.greatest("_ord_offset", "_ord_inside")
-    else:
-        total = F.least("_ord_offset", "_ord_inside")
-    if start is not None:
-        total = F.coalesce(total, start)
-    return joined.withColumn(out, total).drop("_ord_bucket", "_ord_value", "_ord_inside", "_ord_offset")
+
+    def total(n: str) -> Column:
+        outer, inner = F.col(f"{n}_before"), F.col(f"{n}_inside")
+        if combine is F.sum:
+            return F.coalesce(outer, F.lit(0)) + F.coalesce(inner, F.lit(0))
+        return F.greatest(outer, inner) if combine is F.max else F.least(outer, inner)
+
+    scratch = ["_ord_bucket", *names, *[f"{n}_inside" for n in names], *[f"{n}_before" for n in names]]
+    return (
+        tagged.withColumns({f"{n}_inside": combine(n).over(inside) for n in names})
+        .join(edges, [*keys, "_ord_bucket"])
+        .withColumns({out: total(n) for n, out in names.items()})
+        .drop(*scratch)
+    )
+
+
+def running(df, keys, order, value, bucket, out, combine=F.sum, ahead=False, inclusive=False) -> DataFrame:
+    """``running_many`` for one value."""
+    return running_many(df, keys, order, {out: value}, bucket, combine, ahead, inclusive)
 
 
 def running_total(df, keys, order, value, bucket, out) -> DataFrame:

@@ -49,15 +49,12 @@ def n_of_m(
     cut = chunked(hits, keys, "idx", back=m - 1)
     w = piece_window(keys, "idx", extra=extra)
     fired = (
-        cut.withColumn("_first", F.lag(F.struct("idx", t), n - 1).over(w))
-        .filter(F.col("_own") & (F.col("idx") - F.col("_first.idx") < m))
-        .withColumn("_firing", F.struct(F.col(f"_first.{t}").alias("onset"), F.col(t).alias("fired_at")))
-    )
-    return (
-        fired.groupBy(*keys, *extra)
-        .agg(F.min_by("_firing", "idx").alias("_firing"))
-        .select(*keys, *extra, "_firing.onset", "_firing.fired_at")
+        cut.withColumn("_first_idx", F.lag("idx", n - 1).over(w))
+        .withColumn("_first_t", F.lag(t, n - 1).over(w))
+        .filter(F.col("_own") & (F.col("idx") - F.col("_first_idx") < m))
     )
+    # both times grow with the sample, so the first firing holds both minima
+    return fired.groupBy(*keys, *extra).agg(F.min("_first_t").alias("onset"), F.min(t).alias("fired_at"))
 
 
 def all_of_m(hits: DataFrame, m: int, keys: Sequence[str] = ("clip",), t: str = "t") -> DataFrame:
@@ -91,7 +88,6 @@ def island_detections(
     track: str = "track",
     t: str = "t",
     tie: Sequence[str] = (),
-    carry_cols: Sequence[str] = (),
 ) -> DataFrame:
     """First time a track has ``need`` qualified boxes with no pause over ``gap`` samples.
 
@@ -111,13 +107,8 @@ def island_detections(
     else:
         steps = steps.withColumn("_breaks", F.lit(0))
     found = steps.filter(F.col("_own") & F.col("_since").isNotNull() & (F.col("_breaks") == 0))
-    firing = F.struct(F.col(t).alias("at"), F.col("_since").alias("since"), *carry_cols)
-    order = F.struct("idx", *tie)
-    return (
-        found.groupBy(*keys, track)
-        .agg(F.min_by(firing, order).alias("_firing"))
-        .select(*keys, track, "_firing.*")
-    )
+    # both times grow along the track, so the first detection holds both minima
+    return found.groupBy(*keys, track).agg(F.min(t).alias("at"), F.min("_since").alias("since"))
 
 
 def settle(

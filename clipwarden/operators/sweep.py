@@ -68,14 +68,10 @@ def sweep_onsets(indexed: DataFrame, rules: Sequence[FireRule]) -> DataFrame:
     hits = cut.select("clip", "_piece", "_own", "idx", "t", F.explode(met).alias("_pred"))
     w = piece_window(["clip"], "idx", extra=["_pred"])
     for n in sorted({h for _, h in frames}):
-        hits = hits.withColumn(f"_first{n}", F.lag(F.struct("idx", "t"), n - 1).over(w))
+        hits = hits.withColumn(f"_idx{n}", F.lag("idx", n - 1).over(w)).withColumn(f"_t{n}", F.lag("t", n - 1).over(w))
+    # the onset grows with the firing sample, so the smallest one fired first
     firing = [
-        F.min(
-            F.when(
-                F.col("_own") & (F.col("idx") - F.col(f"_first{n}.idx") < m),
-                F.struct(F.col("idx").alias("at"), F.col(f"_first{n}.t").alias("onset")),
-            )
-        ).alias(f"f{j}")
+        F.min(F.when(F.col("_own") & (F.col("idx") - F.col(f"_idx{n}") < m), F.col(f"_t{n}"))).alias(f"f{j}")
         for j, (m, n) in enumerate(frames)
     ]
     fired = (
@@ -84,7 +80,7 @@ def sweep_onsets(indexed: DataFrame, rules: Sequence[FireRule]) -> DataFrame:
         .select(
             "clip",
             "_pred",
-            F.posexplode(F.array(*[F.col(f"f{j}.onset") for j in range(len(frames))])).alias("_frame", "onset"),
+            F.posexplode(F.array(*[F.col(f"f{j}") for j in range(len(frames))])).alias("_frame", "onset"),
         )
         .filter(F.col("onset").isNotNull())
     )

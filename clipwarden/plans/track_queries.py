@@ -240,10 +240,7 @@ jd AS (SELECT d.image, d.cls, d.det_id, d.conf, lv.level, w.det_id IS NOT NULL A
 
 @query("match_counts", f"WITH {MATCH_SQL} SELECT cls, level, count(*) FILTER (tp) AS tp, count(*) FILTER (NOT tp) AS fp FROM jd GROUP BY cls, level")
 def match_counts(spark, d):
-    j = detection.match(detections(spark, d), truth_boxes(spark, d), None)
-    return j.groupBy("cls", "level").agg(
-        F.count(F.when(F.col("tp"), 1)).alias("tp"), F.count(F.when(~F.col("tp"), 1)).alias("fp")
-    )
+    return detection.level_counts(detection.match(detections(spark, d), truth_boxes(spark, d), detection.IOU_LEVELS))
 
 
 AP_SQL = f"""{MATCH_SQL}, n AS (SELECT cls, count(*) AS n FROM tru GROUP BY cls),
@@ -260,7 +257,7 @@ ap AS (SELECT cls, level, sum(v * CASE WHEN x IN (0, 100) THEN 0.5e0 ELSE 1 END)
 @query("average_precision", f"WITH {AP_SQL} SELECT cls, round_even(max(CASE WHEN level = 0.5e0 THEN ap END), 6) AS map50, round_even(avg(ap), 6) AS map5095 FROM ap GROUP BY cls")
 def average_precision(spark, d):
     t = truth_boxes(spark, d)
-    j = detection.match(detections(spark, d), t, None)
+    j = detection.match(detections(spark, d), t, detection.IOU_LEVELS)
     out = detection.detection_summary(detection.average_precision(j, t))
     return out.select("cls", F.bround("map50", 6).alias("map50"), F.bround("map5095", 6).alias("map5095"))
 

@@ -98,10 +98,10 @@ def test_average_precision_against_numpy(spark):
     box = "struct<x1:double,y1:double,x2:double,y2:double>"
     d = spark.createDataFrame(dets, f"image long, cls int, det_id long, conf double, box {box}")
     t = spark.createDataFrame(truths, f"image long, cls int, truth_id long, box {box}")
-    judged = detection.match(d, t, 0.5)
-    ap = detection.average_precision(judged, t).first().ap
+    judged = detection.match(d, t)
+    ap = detection.average_precision(judged, t, (0.5,)).first().ap
     ranked = sorted(judged.collect(), key=lambda r: (-r.conf, r.image, r.det_id))
-    hit = np.cumsum([r.tp for r in ranked])
+    hit = np.cumsum([len(r.hits) for r in ranked])
     recall = np.concatenate([[0.0], hit / len(truths), [1.0]])
     precision = np.concatenate([[1.0], hit / np.arange(1, len(ranked) + 1), [0.0]])
     envelope = np.flip(np.maximum.accumulate(np.flip(precision)))
