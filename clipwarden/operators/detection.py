@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import iou
 from .ordered import running_many
@@ -86,26 +86,29 @@ def average_precision(
     # one row per recall step k/n: the envelope at its first and last detection
     steps = ranking.select("cls", F.inline(cells)).groupBy(*keys, "ctp").agg(
         F.max("env").alias("first_p"), F.min("env").alias("last_p")
+    ).join(n, "cls")
+    k, total = F.col("ctp"), F.col("n")
+    first_point = lambda step: F.ceil(step * points / total)
+    holds_point = lambda step: first_point(step) < first_point(step + 1)
+    # at most two hundred steps hold an evaluation point or follow one that does
+    near = F.when(holds_point(k) | holds_point(k - 1), F.struct(k, F.struct("first_p", "last_p")))
+    curve = steps.groupBy(*keys, "n").agg(
+        F.max(F.struct("ctp", "last_p")).alias("_end"), F.map_from_entries(F.collect_list(near)).alias("_near")
     )
-    start = judged.select("cls").distinct().select(
-        "cls", F.explode(F.array(*[F.lit(v) for v in levels])).alias("level"), F.lit(0).cast("long").alias("ctp"),
-        F.lit(1.0).alias("first_p"), F.lit(1.0).alias("last_p"),
-    )
-    steps = steps.unionByName(start).groupBy(*keys, "ctp").agg(
-        F.max("first_p").alias("first_p"), F.min("last_p").alias("last_p")
-    )
-    following = steps.select(*keys, (F.col("ctp") - 1).alias("ctp"), F.col("first_p").alias("next_p"))
-    steps = steps.join(following, [*keys, "ctp"], "left").join(n, "cls")
-    k, total, last = F.col("ctp"), F.col("n"), F.col("next_p").isNull()
-    lo = F.ceil(k * points / total).cast("long")
-    hi = F.when(last, points).otherwise(F.ceil((k + 1) * points / total) - 1).cast("long")
-    grid = steps.filter(lo <= hi).withColumn("_x", F.explode(F.sequence(lo, hi)))
-    # distance from the step in units of one truth; the last step runs on to recall 1
-    away = F.col("_x") * total / points - k
-    weight = F.when(last, F.when(total > k, away / F.nullif(total - k, F.lit(0))).otherwise(1.0)).otherwise(away)
-    value = F.col("last_p") + (F.coalesce("next_p", F.lit(0.0)) - F.col("last_p")) * weight
-    half = F.when(F.col("_x").isin(0, points), 0.5).otherwise(1.0)
-    return grid.groupBy(*keys).agg((F.sum(value * half) / points).alias("ap"))
+
+    def at(x: Column) -> Column:
+        pos = x * total / points
+        step = F.floor(pos).cast("long")
+        here, following = F.element_at("_near", step), F.element_at("_near", step + 1)
+        # before the first detection the precision is one, past the last it falls to zero at recall one
+        p0 = F.coalesce(here["last_p"], F.lit(1.0))
+        end, left = F.col("_end"), F.nullif(total - F.col("_end.ctp"), F.lit(0))
+        tail = F.coalesce(end["last_p"] * (1 - (pos - end["ctp"]) / left), F.lit(0.0))
+        value = F.when(step >= end["ctp"], tail).otherwise(p0 + (following["first_p"] - p0) * (pos - step))
+        return value * F.when(x.isin(0, points), 0.5).otherwise(1.0)
+
+    total_area = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(points)), at), F.lit(0.0), lambda s, v: s + v)
+    return curve.select(*keys, (total_area / points).alias("ap"))
 
 
 def detection_summary(ap: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 Greedy tracking is sequential along a clip, yet what it remembers is small: the
 last box of each track that may still be matched.  A clip is therefore cut into
-pieces that run in parallel.  A piece needs the tracks alive at its start; they
-are first assumed to be none, then taken from the piece before, and pieces
-whose start changed run again until nothing changes.  As a track is forgotten
-after a few missed samples, this settles after two or three rounds, and the
-result is the sequential one.  Track numbers are put together afterwards: a
+pieces that run in parallel.  A piece needs the tracks alive at its start.  They
+are first guessed from a short stretch before the piece, then compared with
+what the piece before really ended with; pieces that started from something
+else run again, until every start equals the end before it.  The guess is
+nearly always right, as a track is forgotten after a few missed samples, and
+the result is the sequential one.  Track numbers are put together afterwards: a
 piece numbers its own new tracks, inherited ones are followed back through the
 pieces by doubling steps.
 
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpoint
+from .ordered import chunked
 
 # fixed values
 IOU_LIMIT, MAX_MISS, NEAR_PX, NEAR_SIDE = 0.25, 10, 60.0, 0.8
@@ -95,33 +97,54 @@ _RESULT = (
     "state array<struct<x1:double,y1:double,x2:double,y2:double,last:long,token:long>>"
 )
 _GEOMETRY = ("x1", "y1", "x2", "y2", "last")
+_NAMES = ("x1", "y1", "x2", "y2")
+# result rows: a box, the tracks at the end of the piece, the tracks it started from
+_BOX, _END, _START = 0, 1, 2
 
 
-def _run_piece(keys: Sequence[str], order: Sequence[str], match: Callable, memory: int):
-    names = ("x1", "y1", "x2", "y2")
+def _samples(boxes: pd.DataFrame, order: Sequence[str]):
+    """Samples in time order, each with its boxes in choosing order."""
+    ordered = boxes.sort_values(["idx", *order], kind="stable")
+    numbers = zip(ordered["idx"].tolist(), ordered["box_no"].tolist())
+    corners = zip(*[ordered[n].tolist() for n in _NAMES])
+    return groupby(zip(numbers, corners), key=lambda r: r[0][0])
 
-    def run(key, boxes: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+
+def _run_piece(keys: Sequence[str], order: Sequence[str], match: Callable, memory: int, size: int):
+    """One piece: from the given start, or from a guess made on the samples before it."""
+
+    def guess(before: pd.DataFrame, begin: int) -> list[_Track]:
         tracks: list[_Track] = []
-        if len(states):
-            # rows were put in position order; a slot is its place there
-            for slot, s in enumerate(states["state"].iloc[0]):
-                tracks.append(_Track((s["x1"], s["y1"], s["x2"], s["y2"]), int(s["last"]), -(slot + 1)))
+        for idx, sample in _samples(before, order):
+            _, tracks, _ = advance(tracks, idx, [c for _, c in sample], 0, match, memory)
+        return [t for t in tracks if begin - t.last <= memory]
+
+    def run(key, boxes: pd.DataFrame, states: pd.DataFrame | None) -> pd.DataFrame:
+        begin = key[-1] * size
+        if states is None:
+            tracks = guess(boxes[~boxes["_own"]], begin)
+        elif len(states):
+            tracks = [_Track(tuple(s[n] for n in _NAMES), int(s["last"]), 0) for s in states["state"].iloc[0]]
+        else:
+            tracks = []
+        # a slot is the place of a track in position order
+        tracks.sort(key=lambda t: (*t.box, t.last))
+        for slot, t in enumerate(tracks):
+            t.token = -(slot + 1)
+        started = [{**dict(zip(_NAMES, t.box)), "last": t.last, "token": t.token} for t in tracks]
         created, out = 0, []
-        ordered = boxes.sort_values(["idx", *order], kind="stable")
-        numbers = zip(ordered["idx"].tolist(), ordered["box_no"].tolist())
-        corners = zip(*[ordered[n].tolist() for n in names])
-        for idx, sample in groupby(zip(numbers, corners), key=lambda r: r[0][0]):
+        for idx, sample in _samples(boxes[boxes["_own"]], order):
             rows = list(sample)
             tokens, tracks, created = advance(tracks, idx, [c for _, c in rows], created, match, memory)
             out += [(idx, n[1], t) for (n, _), t in zip(rows, tokens)]
-        state = [{**dict(zip(names, t.box)), "last": t.last, "token": t.token} for t in tracks]
+        ended = [{**dict(zip(_NAMES, t.box)), "last": t.last, "token": t.token} for t in tracks]
         n = len(out)
-        columns = {k: [v] * (n + 1) for k, v in zip((*keys, "piece"), key)}
-        columns["kind"] = [0] * n + [1]
+        columns = {k: [v] * (n + 2) for k, v in zip((*keys, "piece"), key)}
+        columns["kind"] = [_BOX] * n + [_END, _START]
         for i, c in enumerate(("idx", "box_no", "token")):
-            columns[c] = [o[i] for o in out] + [None]
-        columns["created"] = [None] * n + [created]
-        columns["state"] = [None] * n + [state]
+            columns[c] = [o[i] for o in out] + [None, None]
+        columns["created"] = [None] * n + [created, None]
+        columns["state"] = [None] * n + [ended, started]
         frame = pd.DataFrame(columns)
         for c in ("idx", "box_no", "token", "created"):
             frame[c] = frame[c].astype("Int64")
@@ -134,7 +157,7 @@ def _states(results: DataFrame, keys: Sequence[str], piece: int, memory: int) ->
     """The tracks each piece hands to the next one, in position order."""
     # the shifted piece number gets its own step: inside the lambda a new column of
     # the same select would hide the old one
-    handed = results.filter("kind = 1").select(*keys, (F.col("piece") + 1).alias("piece"), "state")
+    handed = results.filter(F.col("kind") == _END).select(*keys, (F.col("piece") + 1).alias("piece"), "state")
     usable = F.filter("state", lambda t: F.col("piece") * piece - t["last"] <= memory)
     return handed.withColumn("state", F.array_sort(usable)).filter(F.size("state") > 0)
 
@@ -155,43 +178,40 @@ def link(
     if piece <= memory:
         raise ValueError("a piece must be longer than the memory of a track")
     keys, at = list(keys), [*keys, "piece"]
-    columns = list(dict.fromkeys(["idx", "box_no", "x1", "y1", "x2", "y2", *order]))
-    cut = checkpoint(
-        boxes.select(*keys, *columns).withColumn("piece", F.floor(F.col("idx") / piece).cast("long"))
-    )
+    columns = list(dict.fromkeys(["idx", "box_no", *_NAMES, *order]))
+    # the samples before a piece serve to guess the tracks it starts with
+    cut = chunked(boxes.select(*keys, *columns), keys, "idx", back=min(4 * memory, piece - 1), size=piece)
+    cut = checkpoint(cut.withColumnRenamed("_piece", "piece"))
     schema = _RESULT.format(keys=", ".join(f"{k} {dict(boxes.dtypes)[k]}" for k in keys))
-    run = _run_piece(keys, order, match, memory)
-    no_state = _states(_empty(cut, schema), keys, piece, memory)
-
-    def go(part: DataFrame, states: DataFrame) -> DataFrame:
-        return part.groupBy(*at).cogroup(states.groupBy(*at)).applyInPandas(
-            lambda key, left, right: run(key, left, right) if len(left) else _nothing(keys), schema
+    run = _run_piece(keys, order, match, memory, piece)
+    results = checkpoint(
+        cut.groupBy(*at).applyInPandas(
+            lambda key, rows: run(key, rows, None) if rows["_own"].any() else _nothing(keys), schema
         )
-
+    )
+    own = cut.filter("_own").drop("_own").withColumn("_own", F.lit(True))
     geometry = F.transform("state", lambda t: F.struct(*[t[c] for c in _GEOMETRY]))
-    results = checkpoint(go(cut, no_state))
-    used = no_state
     while True:
-        states = _states(results, keys, piece, memory).join(cut.select(*at).distinct(), at, "left_semi")
-        changed = (
-            states.select(*at, geometry.alias("_new"))
-            .join(used.select(*at, geometry.alias("_old")), at, "full")
-            .filter(~F.col("_new").eqNullSafe(F.col("_old")))
-            .select(*at)
-        )
-        changed = checkpoint(changed)
+        started = results.filter(F.col("kind") == _START).select(*at, geometry.alias("_old"))
+        states = _states(results, keys, piece, memory)
+        given = states.select(*at, geometry.alias("_new"))
+        changed = started.join(given, at, "left").withColumn("_new", F.coalesce("_new", F.slice("_old", 1, 0)))
+        changed = checkpoint(changed.filter(F.col("_new") != F.col("_old")).select(*at))
         if changed.isEmpty():
             break
-        used = checkpoint(states)
-        again = go(cut.join(changed, at, "left_semi"), used.join(changed, at, "left_semi"))
+        again = (
+            own.join(changed, at, "left_semi").groupBy(*at)
+            .cogroup(states.join(changed, at, "left_semi").groupBy(*at))
+            .applyInPandas(run, schema)
+        )
         results = checkpoint(results.join(changed, at, "left_anti").unionByName(again))
 
     before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    base = results.filter("kind = 1").select(
+    base = results.filter(F.col("kind") == _END).select(
         *at, F.coalesce(F.sum("created").over(before), F.lit(0)).alias("base")
     )
     roots = _roots(_states(results, keys, piece, memory), keys)
-    own = results.filter("kind = 0").select(*at, "idx", "box_no", "token")
+    own = results.filter(F.col("kind") == _BOX).select(*at, "idx", "box_no", "token")
     placed = own.withColumn("slot", F.when(F.col("token") < 0, -F.col("token") - 1)).join(roots, [*at, "slot"], "left")
     placed = placed.select(
         *keys, "idx", "box_no",
@@ -201,11 +221,8 @@ def link(
 
 
 def _nothing(keys: Sequence[str]) -> pd.DataFrame:
-    return pd.DataFrame({c: [] for c in (*keys, "piece", "kind", "idx", "box_no", "token", "created", "state")})
-
-
-def _empty(like: DataFrame, schema: str) -> DataFrame:
-    return like.sparkSession.createDataFrame([], schema)
+    names = (*keys, "piece", "kind", "idx", "box_no", "token", "created", "state")
+    return pd.DataFrame({c: pd.Series(dtype=object) for c in names})
 
 
 def _roots(states: DataFrame, keys: Sequence[str]) -> DataFrame:

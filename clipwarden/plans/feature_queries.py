@@ -145,13 +145,11 @@ def keypoints(spark, d) -> DataFrame:
     """17 keypoints per order line, by integer arithmetic; some points are unseen."""
     li = table(spark, d, "lineitem")
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    kp = F.transform(
-        F.sequence(F.lit(0), F.lit(16)),
-        lambda i: F.struct(
-            ((p * (i + 3)) % 640).cast("double").alias("x"), ((s * (i + 7) + p) % 480).cast("double").alias("y"),
-            ((p + s * (i + 1)) % 10 / 10.0).alias("c"),
-        ),
+    point = lambda i: F.struct(
+        ((p * (i + 3)) % 640).cast("double").alias("x"), ((s * (i + 7) + p) % 480).cast("double").alias("y"),
+        ((p + s * (i + 1)) % 10 / 10.0).alias("c"),
     )
+    kp = F.array(*[point(i) for i in range(17)])
     return li.select(
         F.col("l_orderkey").alias("image"), (p * 1000000 + s).alias("slot"), kp.alias("kp"), ((p % 100) / 100.0).alias("conf"),
         (p % 200).cast("double").alias("x1"), (s % 100).cast("double").alias("y1"), (p % 200 + F.col("l_quantity")).alias("x2"), (s % 100 + 25).cast("double").alias("y2"),
