@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import timecode as T
 from .joins import away_from
 from .ordered import (
-    carry, group_size, hash_bucket, hash_rank_key, running_total, time_bucket, top_per_group, with_position,
+    carry_both, hash_bucket, hash_rank_key, running_total, time_bucket, top_per_group, with_position,
 )
 
 # ---- picking -------------------------------------------------------------------
@@ -35,7 +35,7 @@ def pick_even(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, k: int
 ) -> DataFrame:
     """``k`` evenly spaced rows of every group."""
-    placed = with_position(group_size(df, keys, "_n"), keys, order, bucket, "_r")
+    placed = with_position(df, keys, order, bucket, "_r", "_n")
     return placed.filter(evenly_spaced(F.col("_r"), F.col("_n"), k)).drop("_n", "_r")
 
 
@@ -63,13 +63,11 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 def sample_share(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """Exactly ``int(n * share)`` rows in hash order, without sorting everything in one task."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
     ranked = with_position(
-        df.withColumn("_h", hash_rank_key(key, seed=seed)), [], ["_h", key], hash_bucket("_h"), "_r"
+        df.withColumn("_h", hash_rank_key(key, seed=seed)), [], ["_h", key], hash_bucket("_h"), "_r", "_n"
     )
     return (
-        ranked.withColumn("_n", n.scalar())
-        .filter(F.col("_r") < F.floor(F.col("_n") * F.lit(share)))
+        ranked.filter(F.col("_r") < F.floor(F.col("_n") * F.lit(share)))
         .drop("_h", "_r", "_n")
     )
 
@@ -97,8 +95,8 @@ def stratified_split(
     groups: DataFrame, strata: Sequence[str], key: str, share: float = 0.2, seed: int = 0
 ) -> DataFrame:
     """Whole groups to train or val inside each stratum: ``max(1, round(n * share))`` to val, none of one."""
-    ranked = group_size(groups, strata, "_n").withColumn("_h", hash_rank_key(key, seed=seed))
-    ranked = with_position(ranked, strata, ["_h", key], hash_bucket("_h"), "_r")
+    ranked = groups.withColumn("_h", hash_rank_key(key, seed=seed))
+    ranked = with_position(ranked, strata, ["_h", key], hash_bucket("_h"), "_r", "_n")
     n_val = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.bround(F.col("_n") * share).cast("long"))).otherwise(0)
     return ranked.withColumn("split", F.when(F.col("_r") < n_val, "val").otherwise("train")).drop("_n", "_r", "_h")
 
@@ -109,10 +107,9 @@ def leak_free_split(files: DataFrame, name: str, group: str, share: float = 0.2,
     rest = [c for c in files.columns if c != name]
     unique = files.groupBy(name).agg(F.min_by(F.struct(*rest), priority).alias("_f")).select(name, "_f.*").drop("split")
     groups = unique.select(group).distinct()
-    n = groups.agg(F.count(F.lit(1)).alias("n"))
     ranked = with_position(
-        groups.withColumn("_h", hash_rank_key(group, seed=seed)), [], ["_h", group], hash_bucket("_h"), "_r"
-    ).withColumn("_n", n.scalar())
+        groups.withColumn("_h", hash_rank_key(group, seed=seed)), [], ["_h", group], hash_bucket("_h"), "_r", "_n"
+    )
     n_val = F.greatest(F.lit(1), F.floor(F.col("_n") * share).cast("long"))
     split = ranked.select(group, F.when(F.col("_r") < n_val, "val").otherwise("train").alias("split"))
     return unique.join(split, group)
@@ -120,8 +117,8 @@ def leak_free_split(files: DataFrame, name: str, group: str, share: float = 0.2,
 
 def half_per_group(df: DataFrame, keys: Sequence[str], key: str, seed: int = 0) -> DataFrame:
     """``n // 2`` rows of every group in hash order."""
-    ranked = group_size(df, keys, "_n").withColumn("_h", hash_rank_key(key, seed=seed))
-    ranked = with_position(ranked, keys, ["_h", key], hash_bucket("_h"), "_r")
+    ranked = df.withColumn("_h", hash_rank_key(key, seed=seed))
+    ranked = with_position(ranked, keys, ["_h", key], hash_bucket("_h"), "_r", "_n")
     return ranked.filter(F.col("_r") < F.floor(F.col("_n") / 2)).drop("_n", "_r", "_h")
 
 
@@ -389,9 +386,8 @@ def expected_area(frames: DataFrame, seeds: DataFrame, seconds: float = 1800.0)
     )
     both = both.unionByName(marks, allowMissingColumns=True)
     bucket = time_bucket("t", seconds)
-    both = carry(both, keys, ["t", "_side"], bucket, F.col("_seed"), "_last")
-    # a seed at the same time is "at or before"; looking ahead it only matters past it
-    both = carry(both, keys, ["t", "_side"], bucket, F.col("_seed"), "_next", ahead=True)
+    # a seed at the same time sorts before the frame: it is the last one, not the next
+    both = carry_both(both, keys, ["t", "_side"], bucket, F.col("_seed"), "_last", "_next")
     a, b = F.col("_last"), F.col("_next")
     w = F.when(b["t"] > a["t"], (F.col("t") - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0.0))).otherwise(0.0)
     value = F.when(a.isNull(), b["area"]).when(b.isNull(), a["area"]).otherwise(a["area"] + (b["area"] - a["area"]) * w)

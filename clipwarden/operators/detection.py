@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import iou
+from ..session import checkpoint
 from .ordered import running_many
 
 IOU_LEVELS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))  # fixed values
@@ -72,13 +73,15 @@ def average_precision(
     """
     n = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     spread = range(len(levels))
-    ranking = judged.select("cls", (-F.col("conf")).alias("_rank"), "image", "det_id", "hits")
+    # the ranking is read by two passes, each in two parts
+    ranking = checkpoint(judged.select("cls", (-F.col("conf")).alias("_rank"), "image", "det_id", "hits"))
     order = ["_rank", "image", "det_id"]
     bucket = F.floor(F.col("_rank") * 1000).cast("long")
     hit = lambda v: F.array_contains("hits", F.lit(v)).cast("long")
     sums = {f"c{i}": hit(levels[i]) for i in spread}
     sums["found"] = F.lit(1).cast("long")
-    ranking = running_many(ranking, ["cls"], order, sums, bucket, inclusive=True).drop("hits")
+    ranking = running_many(ranking, ["cls"], order, sums, bucket, inclusive=True)
+    ranking = checkpoint(ranking.drop("hits"))
     precision = {f"e{i}": F.col(f"c{i}") / F.col("found") for i in spread}
     ranking = running_many(ranking, ["cls"], order, precision, bucket, F.max, ahead=True, inclusive=True)
     cells = F.array(*[F.struct(F.lit(levels[i]).alias("level"), F.col(f"c{i}").alias("ctp"), F.col(f"e{i}").alias("env")) for i in spread])

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import carry, time_bucket
+from .ordered import carry_both, next_value, time_bucket
 
 
 def with_truth(samples: DataFrame, truth: DataFrame) -> DataFrame:
@@ -88,8 +88,7 @@ def nearest(
         right.select(*keys, F.lit(None).cast("long").alias("row_id"), t, F.col(t).alias("_rt"))
     ).withColumn("_side", F.when(F.col("_rt").isNull(), 1).otherwise(0))
     bucket = time_bucket(t, seconds)
-    both = carry(both, keys, [t, "_side"], bucket, F.col("_rt"), "_last")
-    both = carry(both, keys, [t, "_side"], bucket, F.col("_rt"), "_next", ahead=True)
+    both = carry_both(both, keys, [t, "_side"], bucket, F.col("_rt"), "_last", "_next")
     gap_last, gap_next = F.col(t) - F.col("_last"), F.col("_next") - F.col(t)
     pick = F.when(F.col("_last").isNull(), F.col("_next")).when(
         F.col("_next").isNull() | (gap_last <= gap_next), F.col("_last")
@@ -99,8 +98,6 @@ def nearest(
 
 def seed_segments(seeds: DataFrame, keys: Sequence[str] = ("clip", "obj"), t: str = "t", seconds: float = 1800.0) -> DataFrame:
     """Each seed owns the time up to the next one; of two at the same time the later row counts."""
-    from .ordered import next_value
-
     last = seeds.groupBy(*keys, t).agg(F.max_by(F.struct(*[c for c in seeds.columns if c not in (*keys, t)]), "seed").alias("_s"))
     last = last.select(*keys, t, "_s.*")
     return next_value(last, keys, t, time_bucket(t, seconds), "until")

@@ -51,16 +51,24 @@ def running_many(
     combine=F.sum,
     ahead: bool = False,
     inclusive: bool = False,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Adds ``combine`` of each value over the earlier (later) rows of the group.
 
     ``bucket`` must never decrease along ``order``.  The big side is shuffled
     once, on (keys, bucket); what comes from other buckets is read from a table
     with one row per bucket.  ``combine`` is ``sum``, ``max`` or ``min``.
+    ``totals`` maps an output to the column for the value of the whole group,
+    which the bucket table gives for free.
+
+    The bucket table reads the input a second time, with a few columns.  That
+    is cheap on a scan; put ``session.checkpoint`` before it when the input is
+    itself the result of heavy work.
     """
     ranked = [c.desc() if ahead else c.asc() for c in _cols(order)]
     border = F.col("_ord_bucket").desc() if ahead else F.col("_ord_bucket").asc()
     names = {f"_ord_value{i}": out for i, out in enumerate(values)}
+    totals = totals or {}
     tagged = df.withColumns({"_ord_bucket": bucket, **{n: values[out] for n, out in names.items()}})
     inside = (
         Window.partitionBy(*keys, "_ord_bucket")
@@ -71,7 +79,11 @@ def running_many(
     edges = (
         tagged.groupBy(*keys, "_ord_bucket")
         .agg(*[combine(n).alias(n) for n in names])
-        .select(*keys, "_ord_bucket", *[combine(n).over(before).alias(f"{n}_before") for n in names])
+        .select(
+            *keys, "_ord_bucket",
+            *[combine(n).over(before).alias(f"{n}_before") for n in names],
+            *[combine(n).over(Window.partitionBy(*keys)).alias(totals[o]) for n, o in names.items() if o in totals],
+        )
     )
 
     def total(n: str) -> Column:
@@ -105,9 +117,11 @@ def with_position(
     order: Sequence[str | Column],
     bucket: Column,
     out: str = "idx",
+    size: str | None = None,
 ) -> DataFrame:
-    """Adds the dense zero-based position of each row inside its group."""
-    return running_total(df, keys, order, F.lit(1).cast("long"), bucket, out)
+    """Adds the dense zero-based position of each row inside its group, and the group's size on request."""
+    one = F.lit(1).cast("long")
+    return running_many(df, keys, order, {out: one}, bucket, totals={out: size} if size else None)
 
 
 def chunked(
@@ -187,6 +201,43 @@ def carry(
     )
 
 
+def carry_both(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    bucket: Column,
+    value: Column,
+    last: str,
+    following: str,
+) -> DataFrame:
+    """Nearest non-null values at or before and at or after each row, in one pass."""
+    tagged = df.withColumn("_ord_bucket", bucket).withColumn("_ord_value", value)
+    cols = _cols(order)
+    inside = Window.partitionBy(*keys, "_ord_bucket")
+    up = inside.orderBy(*[c.asc() for c in cols]).rowsBetween(Window.unboundedPreceding, 0)
+    down = inside.orderBy(*[c.desc() for c in cols]).rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("_ord_value").isNotNull(), F.struct(*cols))
+    edge = tagged.groupBy(*keys, "_ord_bucket").agg(
+        F.max_by("_ord_value", step).alias("_ord_high"), F.min_by("_ord_value", step).alias("_ord_low")
+    )
+    across = Window.partitionBy(*keys)
+    before = across.orderBy(F.asc("_ord_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    after = across.orderBy(F.desc("_ord_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.select(
+        *keys, "_ord_bucket",
+        F.last("_ord_high", ignorenulls=True).over(before).alias("_ord_before"),
+        F.last("_ord_low", ignorenulls=True).over(after).alias("_ord_after"),
+    )
+    return (
+        tagged.withColumn("_ord_up", F.last("_ord_value", ignorenulls=True).over(up))
+        .withColumn("_ord_down", F.last("_ord_value", ignorenulls=True).over(down))
+        .join(edge, [*keys, "_ord_bucket"])
+        .withColumn(last, F.coalesce("_ord_up", "_ord_before"))
+        .withColumn(following, F.coalesce("_ord_down", "_ord_after"))
+        .drop("_ord_bucket", "_ord_value", "_ord_up", "_ord_down", "_ord_before", "_ord_after")
+    )
+
+
 def next_value(
     df: DataFrame, keys: Sequence[str], order: str, bucket: Column, out: str
 ) -> DataFrame:
@@ -204,8 +255,3 @@ def top_per_group(
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
-
-
-def group_size(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
-    """Adds the row count of the group through a pre-aggregated join."""
-    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), list(keys))

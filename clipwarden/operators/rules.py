@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpoint
 from .ordered import chunked, piece_window, time_bucket, next_value, with_position
 
 ALARM_DELAY_S = 10.0  # fixed value: the fire alarm is due ten seconds after onset
@@ -128,7 +129,8 @@ def settle(
     (``prev_t``) decides.  The alarm is the latest value up to the first final
     detection.
     """
-    times = detections.groupBy(*keys, at).agg(F.max(value).alias("_value"))
+    # one row per detection time, needed three times below
+    times = checkpoint(detections.groupBy(*keys, at).agg(F.max(value).alias("_value")))
     times = next_value(times, keys, at, time_bucket(at, seconds), "_next")
     # only the samples that are themselves detection times matter
     before_next = samples.select(*keys, F.col(t).alias("_next"), F.col("prev_t").alias("_before"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import signals as S
 from ..operators import features, joins, rules, scoring, sweep
-from ..operators.ordered import chunked, piece_window
+from ..session import checkpoint
 from . import presets
 from .inputs import INDEXED_SQL, SIGNAL_SQL, TRUTH_SQL, VERDICT_SQL, f1_sql, signal, table, truth
 from .registry import query
@@ -277,10 +277,13 @@ def events_only(spark, d) -> DataFrame:
     return truth(spark, d).filter(F.col("start_s").isNotNull())
 
 
-def grid_run(spark, d, grid, source=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grid_run(spark, d, grid, source=None, reuse: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fired verdicts, ground truth and totals; ``reuse`` keeps the fired rows for a second reading."""
     sig = source if source is not None else with_base(spark, d)
     gt = events_only(spark, d)
     fired = sweep.fired_verdicts(sweep.sweep_onsets(sig, grid), gt, rules.ALARM_DELAY_S)
+    if reuse:
+        fired = checkpoint(fired)
     totals = sweep.sweep_totals(fired, gt, sweep.rule_table(spark, grid))
     return fired, gt, totals
 
@@ -306,7 +309,7 @@ def fire_sweep_top15(spark, d):
     FROM totals, b WHERE f1 >= best - 0.01e0 GROUP BY best""",
 )
 def sweep_stability(spark, d):
-    return sweep.stability(grid_run(spark, d, presets.rise_grid())[2])
+    return sweep.stability(grid_run(spark, d, presets.rise_grid(), reuse=True)[2])
 
 
 @query("detail_sweep_630", f"WITH {grid_sql(presets.detail_grid())} SELECT ordinal, tp, fn, fp, f1 FROM totals ORDER BY f1 DESC, fp, ordinal LIMIT 12")
@@ -341,7 +344,7 @@ def named_rules(spark, d):
     SELECT clip, start_s, alarm, verdict FROM verdicts JOIN b USING (ordinal)""",
 )
 def best_rule_verdicts(spark, d):
-    fired, gt, totals = grid_run(spark, d, list(presets.NAMED_RULES.values()))
+    fired, gt, totals = grid_run(spark, d, list(presets.NAMED_RULES.values()), reuse=True)
     best = totals.orderBy(F.desc("f1"), "ordinal").limit(1).select("ordinal")
     own = fired.withColumn("_best", best.scalar()).filter(F.col("ordinal") == F.col("_best")).select("clip", "alarm")
     return gt.join(own, "clip", "left").withColumn("verdict", scoring.verdict(F.col("alarm"), F.col("start_s")))
@@ -357,7 +360,7 @@ held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY
 
 @query("leave_one_clip_out", f"WITH {LOO_SQL} SELECT clip, ordinal, f1_rest, m_tp AS tp, m_fn AS fn, m_fp AS fp FROM held")
 def leave_one_clip_out(spark, d):
-    fired, gt, totals = grid_run(spark, d, presets.held_out_fire_grid())
+    fired, gt, totals = grid_run(spark, d, presets.held_out_fire_grid(), reuse=True)
     return sweep.hold_out(fired, gt, totals).withColumns({c: F.col(c).cast("int") for c in ("tp", "fn", "fp")})
 
 
@@ -367,13 +370,13 @@ def leave_one_clip_out(spark, d):
     SELECT tp, fn, fp, {f1_sql()} AS f1 FROM c""",
 )
 def leave_one_out_summary(spark, d):
-    fired, gt, totals = grid_run(spark, d, presets.held_out_fire_grid())
+    fired, gt, totals = grid_run(spark, d, presets.held_out_fire_grid(), reuse=True)
     return sweep.hold_out_summary(sweep.hold_out(fired, gt, totals))
 
 
 @query("pick_frequency", f"WITH {LOO_SQL} SELECT ordinal, count(*) AS picked FROM held GROUP BY ordinal ORDER BY picked DESC, ordinal")
 def pick_frequency(spark, d):
-    fired, gt, totals = grid_run(spark, d, presets.held_out_fire_grid())
+    fired, gt, totals = grid_run(spark, d, presets.held_out_fire_grid(), reuse=True)
     return sweep.pick_frequency(sweep.hold_out(fired, gt, totals))
 
 
