@@ -14,8 +14,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.geometry import suppress
 from ..session import checkpoint
 from .ordered import top_per_group
 
@@ -81,6 +82,52 @@ def keep_diverse(
             return kept
 
 
+def suppress_frames(
+    boxes: DataFrame,
+    keys: Sequence[str],
+    overlaps: Callable[[Column, Column], Column],
+    order: Sequence[Column],
+    box: str = "b",
+    limit: int = 1000,
+    batch: int = 500,
+) -> DataFrame:
+    """Greedy suppression of every frame: the rows that stay, ``keys`` and ``box``.
+
+    Frames of up to ``limit`` boxes are decided in one array expression.  A
+    larger one never becomes an array: its best ``batch`` boxes are decided,
+    what they exclude is dropped by a join, and so on with the rest.  ``order``
+    must be total on the columns of ``boxes``.
+    """
+    keys = list(keys)
+    sizes = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = checkpoint(sizes.filter(F.col("_n") > limit).select(*keys))
+    small = boxes if large.isEmpty() else boxes.join(large, keys, "left_anti")
+    ranked = small.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = _decide(ranked, keys, overlaps, box)
+    if large.isEmpty():
+        return kept
+    remaining = checkpoint(boxes.join(large, keys, "left_semi"))
+    while not remaining.isEmpty():
+        head = checkpoint(top_per_group(remaining, keys, order, batch, "_rank"))
+        fresh = checkpoint(_decide(head, keys, overlaps, box))
+        kept = kept.unionByName(fresh)
+        rest = remaining.join(head.select(*keys, F.col(box).alias("_seen")), [
+            *[remaining[k] == head[k] for k in keys], remaining[box].eqNullSafe(F.col("_seen"))
+        ], "left_anti")
+        near = fresh.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(box).alias("_kept"))
+        hit = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [overlaps(F.col("_kept"), F.col(box))]
+        remaining = checkpoint(rest.join(near, hit, "left_anti"))
+    return kept
+
+
+def _decide(rows: DataFrame, keys: list[str], overlaps, box: str) -> DataFrame:
+    frame = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", F.col(box).alias("_b")))).alias("_f"))
+    ranked = F.transform("_f", lambda e: e["_b"])
+    # the array is in deciding order already
+    kept = suppress(ranked, overlaps, order=lambda b: F.lit(0))
+    return frame.select(*keys, F.explode(kept).alias(box))
+
+
 def too_close(a: Column, b: Column, limit: float) -> Column:
     dot = F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v

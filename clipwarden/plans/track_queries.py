@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..operators import detection, joins, rules
+from ..operators import detection, joins, rules, suppression
 from . import presets
 from .inputs import (
     BOXES_SQL, DET_SQL, TRUTH_BOX_SQL, ZONE_TAG_SQL, boxes, contain_sql, detections, inside_sql, iou_sql,
@@ -195,18 +195,17 @@ def nms_sql(overlap: str, extra: str = "") -> str:
     SELECT image, CAST(len(kept) AS INTEGER) AS kept, CAST(list_sum(list_transform(kept, lambda k: k.det_id)) AS BIGINT) AS id_sum FROM fin"""
 
 
-def frames(spark, d) -> DataFrame:
-    det = detections(spark, d).select("image", F.struct("det_id", "cls", "conf", "box.x1", "box.y1", "box.x2", "box.y2").alias("b"))
-    # the array order is the tie order; a frame holds at most a few hundred boxes
-    return det.groupBy("image").agg(F.sort_array(F.collect_list(F.struct(F.col("b.det_id").alias("o"), "b"))).alias("s")).select(
-        "image", F.transform("s", lambda e: e["b"]).alias("boxes")
+def kept_boxes(spark, d, overlap) -> DataFrame:
+    det = detections(spark, d).select(
+        "image", F.struct("det_id", "cls", "conf", "box.x1", "box.y1", "box.x2", "box.y2").alias("b")
     )
+    return suppression.suppress_frames(det, ["image"], overlap, [F.desc("b.conf"), F.asc("b.det_id")])
 
 
 def _kept(spark, d, overlap) -> DataFrame:
-    kept = frames(spark, d).select("image", G.suppress(F.col("boxes"), overlap).alias("kept"))
-    ids = F.aggregate("kept", F.lit(0).cast("long"), lambda s, b: s + b["det_id"])
-    return kept.select("image", F.size("kept").alias("kept"), ids.alias("id_sum"))
+    return kept_boxes(spark, d, overlap).groupBy("image").agg(
+        F.count(F.lit(1)).cast("int").alias("kept"), F.sum("b.det_id").alias("id_sum")
+    )
 
 
 @query("suppress_person", nms_sql(f"{iou_sql('n.b', 'k')} >= 0.5e0 OR {contain_sql('n.b', 'k')} >= 0.75e0"))
@@ -373,10 +372,10 @@ def top_people_per_frame(spark, d):
 
 def tracked_frames(spark, d) -> DataFrame:
     """Suppressed boxes of ten long clips: consecutive orders are consecutive samples."""
-    kept = frames(spark, d).select("image", F.posexplode(G.suppress(F.col("boxes"), G.person_overlap())).alias("box_no", "b"))
+    kept = kept_boxes(spark, d, G.person_overlap())
     px = lambda c: F.col(f"b.{c}") * 12.0
     return kept.select(
-        (F.col("image") % 10).alias("clip"), F.floor(F.col("image") / 10).alias("idx"), F.col("box_no").cast("long").alias("box_no"),
+        (F.col("image") % 10).alias("clip"), F.floor(F.col("image") / 10).alias("idx"), F.col("b.det_id").alias("box_no"),
         F.col("b.conf").alias("conf"), *[px(c).alias(c) for c in ("x1", "y1", "x2", "y2")],
     )
 

@@ -108,3 +108,29 @@ def test_average_precision_against_numpy(spark):
     x = np.linspace(0, 1, 101)
     want = np.trapezoid(np.interp(x, recall, envelope), x)
     assert abs(ap - want) < 1e-9
+
+
+def test_large_frames_are_suppressed_in_rounds(spark):
+    from clipwarden.functions import geometry as G
+
+    rng = random.Random(8)
+    rows = []
+    for image, n in ((0, 150), (1, 6), (2, 1)):
+        for i in range(n):
+            x, y = rng.uniform(0, 200), rng.uniform(0, 200)
+            rows.append((image, (i, round(rng.random(), 2), x, y, x + 40, y + 40)))
+    df = spark.createDataFrame(rows, "image int, b struct<id:int,conf:double,x1:double,y1:double,x2:double,y2:double>")
+    order = [F.desc("b.conf"), F.asc("b.id")]
+    run = lambda **k: {(r.image, r.b.id) for r in suppression.suppress_frames(df, ["image"], G.person_overlap(), order, **k).collect()}
+    whole = run()
+    assert run(limit=5, batch=7) == whole
+    iou = lambda a, b: (lambda w, h: max(0, w) * max(0, h) / (3200 - max(0, w) * max(0, h)))(min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3]))
+    contain = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3])) / 1600
+    want = set()
+    for image in (0, 1, 2):
+        kept = []
+        for b in sorted((r[1] for r in rows if r[0] == image), key=lambda b: (-b[1], b[0])):
+            if all(iou(b, k) < 0.5 and contain(b, k) < 0.75 for k in kept):
+                kept.append(b)
+                want.add((image, b[0]))
+    assert whole == want
