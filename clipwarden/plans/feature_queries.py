@@ -151,7 +151,7 @@ def keypoints(spark, d) -> DataFrame:
     )
     kp = F.array(*[point(i) for i in range(17)])
     return li.select(
-        F.col("l_orderkey").alias("image"), (p * 1000000 + s).alias("slot"), kp.alias("kp"), ((p % 100) / 100.0).alias("conf"),
+        F.col("l_orderkey").alias("image"), (((p * 10000 + s % 10000) * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("long")).alias("slot"), kp.alias("kp"), ((p % 100) / 100.0).alias("conf"),
         (p % 200).cast("double").alias("x1"), (s % 100).cast("double").alias("y1"), (p % 200 + F.col("l_quantity")).alias("x2"), (s % 100 + 25).cast("double").alias("y2"),
     )
 
@@ -160,7 +160,7 @@ def _kp(i: str) -> str:
     return f"CAST((p * (({i}) + 3)) % 640 AS DOUBLE), CAST((s * (({i}) + 7) + p) % 480 AS DOUBLE), CAST((p + s * (({i}) + 1)) % 10 AS DOUBLE) / 10"
 
 
-KP_SQL = f"""lk AS (SELECT l_orderkey AS image, l_partkey * 1000000 + l_suppkey AS slot, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem),
+KP_SQL = f"""lk AS (SELECT l_orderkey AS image, ((l_partkey * 10000 + l_suppkey % 10000) * 8 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT) AS slot, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem),
 kpt AS (SELECT image, slot, p, s, q, i, CAST((p * (i + 3)) % 640 AS DOUBLE) AS x, CAST((s * (i + 7) + p) % 480 AS DOUBLE) AS y, CAST((p + s * (i + 1)) % 10 AS DOUBLE) / 10 AS c
   FROM lk, (SELECT unnest(range(17)) AS i)),
 an AS (SELECT image, slot, avg(x) FILTER (i IN (5, 6) AND c >= 0.2e0) AS sx, avg(y) FILTER (i IN (5, 6) AND c >= 0.2e0) AS sy,

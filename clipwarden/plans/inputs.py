@@ -150,7 +150,9 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
     h = 20.0 + (F.col("l_linenumber") * 5).cast("double")
     return li.select(
         F.col("l_orderkey").alias("image"),
-        (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("det_id"),
+        (
+            ((F.col("l_partkey") * 10000 + F.col("l_suppkey") % 10000) * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("long")
+        ).alias("det_id"),
         (F.col("l_linenumber") % 2).alias("cls"),
         ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber")) % 1000 / 1000.0).alias("conf"),
         F.struct(x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2")).alias("box"),
@@ -172,7 +174,7 @@ def truth_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 DET_SQL = """det AS (
-  SELECT l_orderkey AS image, l_partkey * 1000000 + l_suppkey AS det_id, CAST(l_linenumber % 2 AS INTEGER) AS cls,
+  SELECT l_orderkey AS image, ((l_partkey * 10000 + l_suppkey % 10000) * 8 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT) AS det_id, CAST(l_linenumber % 2 AS INTEGER) AS cls,
          CAST((l_partkey * 7 + l_suppkey * 13 + l_linenumber) % 1000 AS DOUBLE) / 1000 AS conf,
          CAST(l_partkey % 37 * 2 AS DOUBLE) AS x1, CAST(l_suppkey % 23 * 3 AS DOUBLE) AS y1,
          CAST(l_partkey % 37 * 2 AS DOUBLE) + (20e0 + l_quantity) AS x2,

@@ -16,7 +16,7 @@ from .inputs import table
 from .registry import query
 
 LINES_SQL = """ln AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q, l_linenumber AS n,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 1000000 + l_suppkey) - 1 AS pos FROM lineitem)"""
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey * 1000000 + l_suppkey, l_quantity, l_linenumber) - 1 AS pos FROM lineitem)"""
 
 
 def grouped(spark, d) -> DataFrame:

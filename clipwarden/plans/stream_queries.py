@@ -21,7 +21,7 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
         micros = F.unix_micros("ts")
     k = F.get_json_object("props", "$.k").cast("double") / 100.0
     return ev.select(
-        F.col("user_id").alias("clip"), "event_id", "event_type", "ts", ((micros - F.lit(EPOCH_MICROS)) / F.lit(3.6e9)).alias("t"),
+        F.col("user_id").alias("clip"), "event_id", "event_type", F.timestamp_micros(micros).alias("ts"), ((micros - F.lit(EPOCH_MICROS)) / F.lit(3.6e9)).alias("t"),
         (F.col("value") / 250.0).alias("fire"), k.alias("smoke"), "value",
     )
 
@@ -85,7 +85,7 @@ def stream_tracks(spark, d):
 )
 def stream_sample_grid(spark, d):
     s = event_stream(spark, d).select(
-        "clip", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).alias("cls"), F.col("value").alias("conf")
+        "clip", "ts", F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).alias("cls"), F.col("value").alias("conf")
     )
     rows, _ = run_available(O.sample_grid(s, width="1 hour", late="1 hour"), "complete")
     last = rows.agg(F.max("batch").alias("b"))
@@ -99,7 +99,7 @@ def stream_sample_grid(spark, d):
     SELECT clip, CAST((s + 12) * 3600 AS BIGINT) AS "at", max(fire) AS fire_max, round_even(avg(fire), 6) AS fire_mean, round_even(stddev_pop(fire), 6) AS fire_std, count(*) FILTER (fire >= 0.4e0) AS strong, count(*) AS n FROM w GROUP BY clip, s""",
 )
 def stream_sliding_summary(spark, d):
-    s = event_stream(spark, d).select("clip", F.col("ts").cast("timestamp").alias("ts"), "fire")
+    s = event_stream(spark, d).select("clip", "ts", "fire")
     rows, _ = run_available(O.sliding_summary(s, width="12 hours", step="4 hours", late="1 hour"), "complete")
     last = rows.agg(F.max("batch").alias("b"))
     rows = rows.withColumn("_b", last.scalar()).filter(F.col("batch") == F.col("_b"))
