@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import keys as K, signals as S, timecode as T
-from ..operators import curation as C, detection, features, joins, suppression
+from ..operators import curation as C, joins, suppression
 from ..operators.ordered import hash_bucket, hash_rank_key, with_position
 from .inputs import DET_SQL, SIGNAL_SQL, TRUTH_SQL, detections, signal, table, truth
 from .registry import query

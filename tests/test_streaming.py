@@ -2,7 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
 
 from clipwarden.operators import rules, tracking
 from clipwarden.streaming import online
