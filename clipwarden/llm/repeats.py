@@ -27,6 +27,7 @@ from .text import blank_words, keyed, plain_id
 WORDS = 13
 SHORTEST = 8  # the first level has at most so many words
 CHUNK_WORDS = 1_500_000
+SALTS = 1 << 16
 
 ROWS = "key bigint, id bigint, rk bigint, decided binary"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +114,7 @@ def _settle(hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray, rks: np.ndar
     packed = [x.tobytes() for x in np.split(h[decided], at[1:])] if len(docs) else []
     open_ = np.flatnonzero(~sure)
     seen = np.flatnonzero(witness)
-    key = np.concatenate((h[open_], h[seen], _mixed(rks[docs].view(np.uint64) ^ _MIX))).view(np.int64)
+    key = np.concatenate((h[open_], h[seen], _mixed(_mixed(ids[docs].view(np.uint64) ^ _MIX) + rks[docs].view(np.uint64)))).view(np.int64)
     nulls = len(seen)
     return pa.RecordBatch.from_arrays(
         [
@@ -218,7 +219,8 @@ def _met(rows: DataFrame, last: bool) -> DataFrame:
 def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Keys of each document's windows that also start in a document with a smaller id: (id, rk, open, decided).
 
-    ``docs`` has id, rk and text.  Two rows with one id count as one document.
+    ``docs`` has id, text and rk, by which rows of one id may be kept apart.
+    Two rows with one id count as one document.
     """
     steps = levels(words)
     one = docs.select("id", "rk", word_hashes(F.col("text")).alias("w"))
@@ -257,23 +259,29 @@ def _removed(words: int):
 
 
 def drop_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, rk, n_words, removed (start, length, …) and kept_words.
+    """One row per document: doc_id, n_words, removed (start, length, …) and kept_words.
 
     Every word in a window of ``words`` words that also starts in a document
     with a smaller id is removed.  A null text has no words, texts shorter than
     a window keep all; a null id counts as the largest; rows with one id do not
     count as repeats of each other.
     """
-    base = keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).repartition("id", "rk")
+    # whether a window of a document goes depends on the document's id alone, so results may be kept by id;
+    # a few bits of the text's hash beside it keep many rows of one id (or of none) apart
+    base = (
+        keyed(docs, id_col, text_col)
+        .select("id", F.pmod(F.col("rk"), F.lit(SALTS)).cast("long").alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
+        .repartition("id", "rk")
+    )
     found = repeated_windows(base, words)
     joined = base.join(found, ["id", "rk"], "left")
     hit = F.col("open").isNotNull()
     with_spans = joined.withColumn("_removed", _removed(words)(F.when(hit, word_hashes(F.col("text"))), F.col("open"), F.col("decided")))
     cut = F.coalesce("_removed", F.array().cast("array<int>"))
     return (
-        with_spans.select("id", "rk", blank_words(F.col("text")).alias("_w"), cut.alias("removed"))
-        .select("id", "rk", F.size("_w").cast("long").alias("n_words"), "removed", _kept().alias("kept_words"))
-        .select(plain_id().alias("doc_id"), "rk", "n_words", "removed", "kept_words")
+        with_spans.select("id", blank_words(F.col("text")).alias("_w"), cut.alias("removed"))
+        .select("id", F.size("_w").cast("long").alias("n_words"), "removed", _kept().alias("kept_words"))
+        .select(plain_id().alias("doc_id"), "n_words", "removed", "kept_words")
     )
 
 
