@@ -92,39 +92,65 @@ def _first_candidates(words: np.ndarray, sizes: np.ndarray, n: int, longer: int)
     return np.flatnonzero(chosen)
 
 
-def _settle(hashes: np.ndarray, owner: np.ndarray, ids: np.ndarray, rks: np.ndarray, last: bool) -> pa.RecordBatch:
-    """Rows of one chunk: open (key, id, rk), witness (key, id) and decided (packed keys of a document)."""
+def _packed_runs(owner: np.ndarray, place: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each document in ``owner`` its mark, then (start, count) of the runs of its places."""
+    order = np.lexsort((place, owner))
+    o, p = owner[order], place[order]
+    first = np.ones(len(o), bool)
+    first[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1)
+    starts = np.flatnonzero(first)
+    runs = np.stack((p[starts], np.diff(np.r_[starts, len(p)])), axis=1).astype("<i4")
+    docs, at = np.unique(o[starts], return_index=True)
+    return docs, [marks[d].tobytes() + r.tobytes() for d, r in zip(docs, np.split(runs, at[1:]))] if len(docs) else []
+
+
+def _alive(hashes: np.ndarray, open_keys, decided, mark: int) -> np.ndarray:
+    """Which of a document's windows survived, from the keys and the packed runs that came back."""
+    flags = np.zeros(len(hashes), bool)
+    if open_keys is not None and len(open_keys):
+        flags |= np.isin(hashes, np.asarray(open_keys, np.int64).view(np.uint64))
+    for blob in decided if decided is not None else ():
+        if np.frombuffer(blob, "<i8", 1)[0] == mark:
+            runs = np.frombuffer(blob, "<i4", offset=8).reshape(-1, 2)
+            steps = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(steps, runs[:, 0], 1)
+            np.add.at(steps, runs.sum(axis=1), -1)
+            flags |= np.cumsum(steps[:-1]) > 0
+    return flags
+
+
+def _settle(batch: pa.RecordBatch, hashes: np.ndarray, owner: np.ndarray, place: np.ndarray, last: bool) -> pa.RecordBatch:
+    """Rows of one chunk: open (key, id, rk), witness (key, id) and decided (packed runs of a document)."""
+    ids, rks, marks = (np.asarray(batch.column(c)) for c in ("id", "rk", "mark"))
     order = np.lexsort((owner, ids[owner], hashes))
     h, o = hashes[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    group = np.cumsum(new) - 1
     h, o = h[new], o[new]
     first = np.ones(len(h), bool)
     first[1:] = h[1:] != h[:-1]
     starts = np.flatnonzero(first)
     counts = np.diff(np.r_[starts, len(h)])
     least = np.repeat(ids[o[starts]], counts)
-    most = np.repeat(ids[o[starts + counts - 1]], counts) if len(h) else least
+    most = np.repeat(ids[o[starts + counts - 1]], counts)
     # last level: all but the smallest id are repeats; before: all, where two ids have the window
     sure = ids[o] > least if last else most > least
-    witness = np.zeros(len(h), bool) if last else first & sure
-    decided = np.flatnonzero(sure)
-    decided = decided[np.argsort(o[decided], kind="stable")]
-    docs, at = np.unique(o[decided], return_index=True)
-    packed = [x.tobytes() for x in np.split(h[decided], at[1:])] if len(docs) else []
+    gone = sure[group]
+    docs, packed = _packed_runs(owner[order][gone], place[order][gone], marks)
     open_ = np.flatnonzero(~sure)
-    seen = np.flatnonzero(witness)
-    key = np.concatenate((h[open_], h[seen], _mixed(_mixed(ids[docs].view(np.uint64) ^ _MIX) + rks[docs].view(np.uint64)))).view(np.int64)
-    nulls = len(seen)
+    open_ = open_[np.argsort(o[open_], kind="stable")]  # rows of a document stay together and pack better
+    seen = np.flatnonzero(first & sure) if not last else open_[:0]
+    spread = _mixed(_mixed(ids[docs].view(np.uint64) ^ _MIX) + rks[docs].view(np.uint64))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(key),
+            pa.array(np.concatenate((h[open_], h[seen], spread)).view(np.int64)),
             pa.array(np.concatenate((ids[o[open_]], ids[o[seen]], ids[docs]))),
             pa.array(
-                np.concatenate((rks[o[open_]], np.zeros(nulls, np.int64), rks[docs])),
-                mask=np.concatenate((np.zeros(len(open_), bool), np.ones(nulls, bool), np.zeros(len(docs), bool))),
+                np.concatenate((rks[o[open_]], np.zeros(len(seen), np.int64), rks[docs])),
+                mask=np.repeat([False, True, False], [len(open_), len(seen), len(docs)]),
             ),
-            pa.array([None] * (len(open_) + nulls) + packed, pa.binary()),
+            pa.array([None] * (len(open_) + len(seen)) + packed, pa.binary()),
         ],
         ["key", "id", "rk", "decided"],
     )
@@ -149,23 +175,23 @@ def _words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()).view(np.uint64), np.diff(np.asarray(column.offsets)).astype(np.int64)
 
 
+def _owners(sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document of each place and the place in it."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)[places]
+    return owner, places - (np.cumsum(sizes) - sizes)[owner]
+
+
 def _first_level(n: int, longer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches):
             words, sizes = _words_of(batch)
             places = _first_candidates(words, sizes, n, longer)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[places]
-            yield _settle(window_hashes(words, n)[places], owner, np.asarray(batch.column("id")), np.asarray(batch.column("rk")), longer == n)
+            owner, inside = _owners(sizes, places)
+            yield _settle(batch, window_hashes(words, n)[places], owner, inside, longer == n)
 
     return run
 
 
-def survivors_of(open_keys, decided) -> np.ndarray:
-    parts = [np.asarray(open_keys, np.int64).view(np.uint64)] if open_keys is not None and len(open_keys) else []
-    parts += [np.frombuffer(d, np.uint64) for d in (decided if decided is not None else ())]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-
-
 def _next_level(before: int, n: int, first: bool, longer: int):
     """Windows of ``n`` words of which the halves (at the first step: the least window inside) survived."""
 
@@ -175,10 +201,11 @@ def _next_level(before: int, n: int, first: bool, longer: int):
             old = window_hashes(words, before)
             alive = np.zeros(len(old), bool)
             ends = np.cumsum(sizes)
-            for i, (o, d) in enumerate(zip(batch.column("open").to_pylist(), batch.column("decided").to_pylist())):
+            back = zip(*(batch.column(c).to_pylist() for c in ("open", "decided", "mark")))
+            for i, (o, d, mark) in enumerate(back):
                 a, b = int(ends[i] - sizes[i]), int(ends[i] - before + 1)
                 if b > a:
-                    alive[a:b] = np.isin(old[a:b], survivors_of(o, d))
+                    alive[a:b] = _alive(old[a:b], o, d, mark)
             count = max(0, len(words) - n + 1)
             whole = _starts_inside(sizes, n)[:count]
             if first:
@@ -190,8 +217,8 @@ def _next_level(before: int, n: int, first: bool, longer: int):
             else:
                 ok = alive[:count] & alive[n - before : n - before + count]
             places = np.flatnonzero(ok & whole)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[places]
-            yield _settle(window_hashes(words, n)[places], owner, np.asarray(batch.column("id")), np.asarray(batch.column("rk")), longer == n)
+            owner, inside = _owners(sizes, places)
+            yield _settle(batch, window_hashes(words, n)[places], owner, inside, longer == n)
 
     return run
 
@@ -223,13 +250,14 @@ def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Two rows with one id count as one document.
     """
     steps = levels(words)
-    one = docs.select("id", "rk", word_hashes(F.col("text")).alias("w"))
+    mark = F.xxhash64("text").alias("mark")
+    one = docs.select("id", "rk", mark, word_hashes(F.col("text")).alias("w"))
     rows = one.mapInArrow(_first_level(steps[0], steps[min(1, len(steps) - 1)]), ROWS)
     for i in range(1, len(steps)):
         alive = _met(rows, False)
         rows = (
             docs.join(alive, ["id", "rk"])
-            .select("id", "rk", word_hashes(F.col("text")).alias("w"), "open", "decided")
+            .select("id", "rk", mark, word_hashes(F.col("text")).alias("w"), "open", "decided")
             .mapInArrow(_next_level(steps[i - 1], steps[i], i == 1, words), ROWS)
         )
     return _met(rows, True)
@@ -237,23 +265,21 @@ def repeated_windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def _removed(words: int):
     @F.pandas_udf("array<int>")
-    def spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         """Removed runs as start, length, start, length, …"""
-        for hashes, opened, decided in batches:
+        for columns in batches:
             out = []
-            for w, o, d in zip(hashes, opened, decided):
-                keys = survivors_of(o, d)
-                if w is None or not len(keys):
-                    out.append(None)
-                    continue
-                starts = np.flatnonzero(np.isin(window_hashes(np.asarray(w).view(np.uint64), words), keys))
-                cut = np.flatnonzero(np.r_[True, np.diff(starts) > words]) if len(starts) else np.empty(0, int)
-                if not len(cut):
+            for w, o, d, mark in zip(*columns):
+                starts = np.empty(0, np.int64)
+                if w is not None:
+                    starts = np.flatnonzero(_alive(window_hashes(np.asarray(w).view(np.uint64), words), o, d, mark))
+                if not len(starts):
                     out.append(None)
                     continue
+                cut = np.flatnonzero(np.r_[True, np.diff(starts) > words])
                 begin, end = starts[cut], starts[np.r_[cut[1:] - 1, len(starts) - 1]] + words
                 out.append(np.stack((begin, end - begin), axis=1).ravel().astype(np.int32))
-            yield pd.Series(out)
+            yield pd.Series(out, dtype=object)
 
     return spans
 
@@ -270,13 +296,13 @@ def drop_repeats(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     # a few bits of the text's hash beside it keep many rows of one id (or of none) apart
     base = (
         keyed(docs, id_col, text_col)
-        .select("id", F.pmod(F.col("rk"), F.lit(SALTS)).cast("long").alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
+        .select("id", F.col("rk").bitwiseAND(F.lit(SALTS - 1)).alias("rk"), F.coalesce("text", F.lit("")).alias("text"))
         .repartition("id", "rk")
     )
     found = repeated_windows(base, words)
     joined = base.join(found, ["id", "rk"], "left")
     hit = F.col("open").isNotNull()
-    with_spans = joined.withColumn("_removed", _removed(words)(F.when(hit, word_hashes(F.col("text"))), F.col("open"), F.col("decided")))
+    with_spans = joined.withColumn("_removed", _removed(words)(F.when(hit, word_hashes(F.col("text"))), F.col("open"), F.col("decided"), F.xxhash64("text")))
     cut = F.coalesce("_removed", F.array().cast("array<int>"))
     return (
         with_spans.select("id", blank_words(F.col("text")).alias("_w"), cut.alias("removed"))
