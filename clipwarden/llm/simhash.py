@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -58,20 +57,20 @@ def _bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(set_, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
-def _fingerprint(hashes: Column) -> Column:
-    @F.pandas_udf("bigint")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for arrays in batches:
-            sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-            flat = np.concatenate(arrays.values) if sizes.sum() else np.empty(0, np.int64)
-            yield pd.Series(_bits(np.asarray(flat, np.int64).view(np.uint64), sizes), dtype="int64")
-
-    return run(hashes)
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = batch.column("hashes")
+        sizes = np.diff(np.asarray(hashes.offsets)).astype(np.int64)
+        fp = _bits(np.asarray(hashes.flatten()).view(np.uint64), sizes)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rk"), pa.array(fp)], ["id", "rk", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rk, fp); texts without words, and nulls, have fingerprint zero."""
-    return keyed(docs, id_col, text_col).select("id", "rk", _fingerprint(shingle_hashes(F.col("text"))).alias("fp"))
+    return (
+        keyed(docs, id_col, text_col).select("id", "rk", shingle_hashes(F.col("text")).alias("hashes"))
+        .mapInArrow(_fingerprints, "id bigint, rk bigint, fp bigint")
+    )
 
 
 _LOW_BITS = 0x5555555555555555
