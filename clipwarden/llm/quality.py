@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import blank_words, keyed
 
-SAMPLE_ROWS = 12_000  # labelled rows the fit looks at, at most
-MIN_ROWS = 3  # a word of fewer sampled rows gets no weight
+SAMPLE_ROWS = 5_000  # labelled rows the fit looks at, at most
+MIN_ROWS = 8  # a word of fewer sampled rows gets no weight; of small samples down to 3, one row in 500
 MAX_FEATURES = 200_000  # words with a weight, the most frequent first
 GRADES = 3
-KEEP_AT_LEAST = 0.5  # probability of the highest grade from which a document stays
+KEEP_AT_LEAST = 0.6  # probability of the highest grade from which a document stays
 
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 BANDS = 12
@@ -108,22 +108,26 @@ class OrdinalModel:
 
 def fit(
     keys: np.ndarray, marks: np.ndarray, sizes: np.ndarray, grades: np.ndarray,
-    steps: int = 150, rate: float = 0.1, penalty: float = 2e-5,
+    steps: int = 300, rate: float = 0.1, penalty: float = 2e-4,
     min_rows: int = MIN_ROWS, max_features: int = MAX_FEATURES,
 ) -> OrdinalModel:
     """Penalised likelihood of the cumulative-logit model, by Adam over the whole sample."""
     n = len(sizes)
     row = np.repeat(np.arange(n), sizes)
     known, at = np.unique(keys, return_inverse=True)
-    pairs = np.unique(row * np.int64(max(1, len(known))) + at) if n and len(known) else np.empty(0, np.int64)
+    if len(known):
+        at += row * np.int64(len(known))
+    pairs = np.unique(at)  # each word once in a row
+    del at, row
     prow, pat = (pairs // max(1, len(known))), (pairs % max(1, len(known)))
+    del pairs
     rows_of = np.bincount(pat, minlength=len(known))
-    frequent = np.flatnonzero(rows_of >= min_rows)
+    frequent = np.flatnonzero(rows_of >= min(min_rows, max(3, n // 500)))
     frequent = np.sort(frequent[np.lexsort((frequent, -rows_of[frequent]))][:max_features])
     place = np.full(len(known), -1)
     place[frequent] = np.arange(len(frequent))
     held = place[pat] >= 0
-    prow, pat = prow[held], place[pat[held]]
+    prow, pat = prow[held].astype(np.int32), place[pat[held]].astype(np.int32)
     bands = band_features(keys, marks, sizes)
     k = GRADES - 1
     share = np.array([np.clip((grades <= g).mean() if n else 0.5, 1e-3, 1 - 1e-3) for g in range(k)])
