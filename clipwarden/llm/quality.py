@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import blank_words, keyed
+from .text import blank_words, keyed, small_batches
 
 SAMPLE_ROWS = 5_000  # labelled rows the fit looks at, at most
 MIN_ROWS = 8  # a word of fewer sampled rows gets no weight; of small samples down to 3, one row in 500
@@ -225,6 +225,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
     A null text is graded as the empty text; null ids stay null; repeated rows
     get equal grades.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), score_columns(model, text_col).alias("_s")).select(
         "doc_id", "_s.expected_grade", F.col("_s.tail").alias("tail_probability"), (F.col("_s.tail") >= keep).alias("keep")
     )
@@ -232,4 +233,5 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
 
 def keep_good(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: float = KEEP_AT_LEAST) -> DataFrame:
     """The documents whose probability of the highest grade is at least ``keep``, with their own columns."""
+    small_batches(docs.sparkSession)
     return docs.withColumn("_cw_grade", score_columns(model, text_col)).filter(F.col("_cw_grade.tail") >= keep).select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
-from .text import LAST_ID, ascii_lower, blank_words, keyed, let, plain_id, row_key, stored
+from .text import LAST_ID, ascii_lower, blank_words, keyed, let, plain_id, row_key, small_batches, stored
 
 BITS_APART = 3
 SHINGLE = 3
@@ -67,6 +67,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rk, fp); texts without words, and nulls, have fingerprint zero."""
+    small_batches(docs.sparkSession)
     return (
         keyed(docs, id_col, text_col).select("id", "rk", shingle_hashes(F.col("text")).alias("hashes"))
         .mapInArrow(_fingerprints, "id bigint, rk bigint, fp bigint")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .encoding import encoder
-from .text import keyed, plain_id, shared_folder
+from .text import keyed, plain_id, shared_folder, small_batches
 
 MAGIC = b"CWT1"
 BLOCK = 1024
@@ -134,6 +134,7 @@ def write_token_files(
         if ids:
             yield closed()
 
+    small_batches(docs.sparkSession)
     (
         keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
         .repartitionByRange("id", "rk").sortWithinPartitions("id", "rk").select("id", "text")
