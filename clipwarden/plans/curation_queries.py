@@ -221,19 +221,19 @@ def eligibility_reasons(spark, d):
 
 @query(
     "hard_negatives",
-    f"""WITH {SIGNAL_SQL}, pos AS (SELECT clip, round_even(t * 2, 0) / 2 AS t, fire >= 0.3e0 AS by_hand FROM sig WHERE smoke > 0.4e0 AND t BETWEEN 200 AND 500),
+    f"""WITH {SIGNAL_SQL}, pos AS (SELECT clip, round_even(t * 2, 0) / 2 AS t, fire >= 0.3e0 AS by_hand FROM sig WHERE smoke > 0.9e0), dur AS (SELECT clip, max(t) AS dur FROM sig GROUP BY clip),
     sp AS (SELECT clip, min(t) AS f0, max(t) AS f1, count(*) FILTER (by_hand) AS hand FROM pos GROUP BY clip HAVING count(*) FILTER (by_hand) > 0),
     k AS (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS k),
     c AS (SELECT clip, hand, round_even(f0 - 5e0 - k * 0.5e0, 1) AS t, k * 2 AS o FROM sp, k UNION ALL SELECT clip, hand, round_even(f1 + 5e0 + k * 0.5e0, 1), k * 2 + 1 FROM sp, k),
-    f AS (SELECT * FROM c WHERE (o % 2 = 0 AND t >= 0.5e0) OR (o % 2 = 1 AND t <= 720 - 0.5e0)),
+    f AS (SELECT c.* FROM c JOIN dur USING (clip) WHERE (o % 2 = 0 AND t >= 0.5e0) OR (o % 2 = 1 AND t <= dur - 0.5e0)),
     g AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.clip = f.clip AND abs(f.t - p.t) < 0.5e0)),
     r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY o) AS rank FROM g)
     SELECT clip, t, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= hand""",
 )
 def hard_negatives(spark, d):
-    s = signal(spark, d).filter((F.col("smoke") > 0.4) & F.col("t").between(200, 500))
+    s = signal(spark, d).filter("smoke > 0.9D")
     pos = s.select("clip", T.snap(F.col("t")).alias("t"), (F.col("fire") >= 0.3).alias("by_hand"))
-    clips = signal(spark, d).select("clip").distinct().withColumn("dur", F.lit(720.0))
+    clips = signal(spark, d).groupBy("clip").agg(F.max("t").alias("dur"))
     return C.hard_negatives(pos, clips)
 
 
@@ -327,13 +327,13 @@ def mining_rows(spark, d) -> DataFrame:
         CASE WHEN len(ids) >= 6 OR list_bool_or(list_transform(kept, lambda k: list_inner_product(k::DOUBLE[], n.sig::DOUBLE[]) > 0.3e0)) THEN ids ELSE list_append(ids, n.vec_id) END
       FROM st s JOIN e n ON n.clip = s.clip AND n.r = s.r + 1),
     f AS (SELECT clip, arg_max(ids, r) AS ids FROM st GROUP BY clip), u AS (SELECT unnest(ids) AS vec_id FROM f)
-    SELECT e.clip, e.vec_id, e.conf FROM e JOIN u USING (vec_id) ORDER BY conf DESC, vec_id LIMIT 60""",
+    SELECT e.clip, e.vec_id, e.conf FROM e JOIN u USING (vec_id) ORDER BY conf DESC, vec_id LIMIT 2000""",
 )
 def mine_diverse(spark, d):
     kept = suppression.keep_diverse(
         mining_rows(spark, d), ["clip"], [F.desc("conf"), F.asc("vec_id")], "vec_id", "sig", 0.3, 6
     )
-    return kept.orderBy(F.desc("conf"), "vec_id").limit(60).select("clip", "vec_id", "conf")
+    return kept.orderBy(F.desc("conf"), "vec_id").limit(2000).select("clip", "vec_id", "conf")
 
 
 @query(
@@ -372,11 +372,11 @@ def sample_validation(spark, d):
 @query(
     "positive_negative_sample",
     f"""WITH {DET_SQL}, p AS (SELECT image, bool_or(cls = 0) AS f FROM det GROUP BY image)
-    (SELECT image, true AS positive FROM p WHERE f ORDER BY {h_sql('image')}, image LIMIT 1200) UNION ALL (SELECT image, false FROM p WHERE NOT f ORDER BY {h_sql('image')}, image LIMIT 200)""",
+    (SELECT image, true AS positive FROM p WHERE f ORDER BY {h_sql('image')}, image LIMIT 12000) UNION ALL (SELECT image, false FROM p WHERE NOT f ORDER BY {h_sql('image')}, image LIMIT 2000)""",
 )
 def positive_negative_sample(spark, d):
     p = detections(spark, d).groupBy("image").agg(F.bool_or(F.col("cls") == 0).alias("positive"))
-    return C.sample_rows(p.filter("positive"), "image", 1200).unionByName(C.sample_rows(p.filter("NOT positive"), "image", 200))
+    return C.sample_rows(p.filter("positive"), "image", 12000).unionByName(C.sample_rows(p.filter("NOT positive"), "image", 2000))
 
 
 @query(

@@ -158,9 +158,9 @@ def deduplicate_results(spark, d):
     return r.select("item", "f1", "tp", "fn", "fp", "name", F.size("members").cast("long").alias("members"), F.element_at("clips", F.lit("c")).alias("clip_from"), F.size("rules").cast("long").alias("rules"))
 
 
-@query("results_by_score", f"WITH {RES_SQL} SELECT seq, item, f1, name FROM rs ORDER BY f1 DESC, name, seq LIMIT 200")
+@query("results_by_score", f"WITH {RES_SQL} SELECT seq, item, f1, name FROM rs ORDER BY f1 DESC, name, seq")
 def results_by_score(spark, d):
-    return results(spark, d).orderBy(F.desc("f1"), "name", "seq").limit(200).select("seq", "item", "f1", "name")
+    return results(spark, d).orderBy(F.desc("f1"), "name", "seq").select("seq", "item", "f1", "name")
 
 
 @query("model_comparison", "SELECT p_brand AS name, round_even(avg(p_retailprice), 4) AS map5095 FROM part GROUP BY p_brand ORDER BY map5095 DESC, name")

@@ -60,8 +60,8 @@ def rise_grid() -> list[FireRule]:
 
 def fused_grid() -> list[FireRule]:
     """405 points for fused signals."""
-    fire = (0.10, 0.14, 0.18, 0.22, 0.26, 0.30, 0.34, 0.40, 0.50)
-    windows = ((6, 3), (8, 4), (10, 5), (12, 5), (12, 7), (16, 7), (16, 9), (20, 9), (20, 12))
+    fire = (0.10, 0.12, 0.15, 0.18, 0.20, 0.25, 0.30, 0.40, 0.50)
+    windows = ((2, 2), (3, 2), (4, 2), (4, 3), (6, 3), (6, 4), (8, 4), (8, 5), (12, 6))
     return [_rise(f, r, w, h) for f, (w, h), r in product(fire, windows, RISE_STEPS)]
 
 

@@ -111,8 +111,10 @@ def media_listing(spark, d):
     folder = F.when(F.col("o_orderkey") % 10 == 0, "/Infrared/").otherwise("/rgb/")
     cat = text_of("cat", F.col("o_custkey") % 5)
     files = o.select(cat.alias("category"), text_of("/raw/", cat, folder, F.col("o_orderkey"), ext).alias("path"))
-    # the first characters of a path are its sort bucket; keys of one length keep it bounded
-    return M.sampled_listing(M.listing(files), ["category"], 600, F.substring("path", 1, 14)).select("category", "path", "kind")
+    # a bucket is the folder with as many characters of the name as leave some thousand files in it
+    digits = len(str(o.count() // 4096))
+    bucket = F.regexp_extract("path", f"^(.*/[^/]{{0,{digits}}})", 1)
+    return M.sampled_listing(M.listing(files), ["category"], 600, bucket).select("category", "path", "kind")
 
 
 @query(

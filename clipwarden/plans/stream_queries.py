@@ -11,10 +11,18 @@ from .registry import query
 from .signal_queries import frame_onset_sql
 
 
+def file_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a file stream, one file per micro-batch; the table is one file or a folder of files at any depth.
+
+    The path is a pattern, since a stream takes a plain path for a folder.
+    """
+    reader = spark.readStream.schema(table(spark, d, name).schema)
+    return reader.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")
+
+
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The event table as a file stream, one file per micro-batch."""
-    schema = table(spark, d, "events").schema
-    ev = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    ev = file_stream(spark, d, "events")
     if dict(ev.dtypes)["ts"] == "timestamp_ntz":
         micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     else:
@@ -68,8 +76,7 @@ def stream_loiterers(spark, d):
 @query("stream_tracks")
 def stream_tracks(spark, d):
     """Order lines as a stream of boxes; equals the batch tracker (see tests)."""
-    schema = table(spark, d, "lineitem").schema
-    li = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    li = file_stream(spark, d, "lineitem")
     x, y = (F.col("l_partkey") % 37 * 24).cast("double"), (F.col("l_suppkey") % 23 * 36).cast("double")
     b = li.select(
         (F.col("l_orderkey") % 40).alias("clip"), F.floor(F.col("l_orderkey") / 40).alias("idx"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("box_no"),

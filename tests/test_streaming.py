@@ -60,3 +60,17 @@ def test_late_rows_are_counted(spark, tmp_path):
     n = online.late_rows(q)
     q.stop()
     assert n == 1
+
+
+def test_streams_read_a_table_stored_as_a_folder(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("events", "lineitem", "customer", "orders"):
+        whole = spark.read.parquet(f"{sf}/{name}.parquet")
+        whole.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    queries = entry.queries()
+    got = queries["stream_enriched"](spark, str(tmp_path))
+    want = queries["stream_enriched"](spark, sf)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert want.count() > 0
