@@ -482,7 +482,7 @@ def best_old_rule(spark, d):
 )
 def log_sections(spark, d):
     s = L.sections(log_docs(spark, d))
-    score = F.regexp_extract("line", L.SCORE, 1).try_cast("double")
+    score = L.stated_score(F.col("line"))
     rank = s.groupBy("file", "section", "section_no").agg(F.count(F.lit(1)).alias("lines"), F.max(score).alias("best"))
     # a leading text without a header is section 0 of the split
     first = F.when(F.col("file").isNotNull(), F.col("section_no"))
