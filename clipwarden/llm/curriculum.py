@@ -25,7 +25,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 SLOPE = 0.5
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 @dataclass(frozen=True)
