@@ -2,17 +2,22 @@
 
 The share of a line is the number of pages of the host that contain it, divided
 by all pages of the host.  A host has at most ``lines per page / ratio`` lines
-above the ratio, so what is joined back is one short list per host; the pages
-themselves are never shuffled when the hosts' lists are small, and a hot host
-is split by the adaptive join otherwise.
+above the ratio, so what is joined back is one short list per host.  Where the
+lists are small Spark broadcasts them and no page moves; otherwise the pages of
+a large host are dealt by (host, part) and its list is repeated once per part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .text import stored
+
 RATIO = 0.3
 MIN_PAGES = 3
+#: hosts with more than this share of all pages are dealt in parts, so there are fewer than 1 / share of them
+LARGE_SHARE = 0.001
+PART_PAGES = 2000
 
 INVISIBLE = r"(?is)<!--.*?-->|<(script|style|head)\b.*?</(script|style|head)>"
 BLOCK_TAG = r"(?i)</?(p|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|table|tr|td|th|br|hr|body|html|blockquote|pre)\b[^>]*>|[\r\n]+"
@@ -48,6 +53,8 @@ def drop_site_lines(
     ``ratio`` of them contain it.  Pages without a host form one site of their
     own (the empty host); null texts have no lines; repeated pages count as
     pages.  ``prefix`` keeps the new names apart from columns of ``pages``.
+    Parts go by a hash of the row, so pages of one host are spread unless they
+    agree in every column.
     """
     name = {n: prefix + n for n in ("host", "host_pages", "n_lines", "kept", "n_dropped")}
     with_host = pages.withColumns({name["host"]: F.coalesce(host, F.lit("")), "_cw_lines": lines})
@@ -63,9 +70,19 @@ def drop_site_lines(
         .filter((F.col("_cw_all") >= min_pages) & (F.col("_cw_pages") > F.lit(float(ratio)) * F.col("_cw_all")))
         .groupBy("_cw_h").agg(F.collect_list("_cw_key").alias("_cw_drop"))
     )
-    lists = totals.join(common, "_cw_h", "left")
+    lists = stored(totals.join(common, "_cw_h", "left"))
+    n_pages = lists.agg(F.sum("_cw_all")).first()[0] or 0
+    parts = F.when(F.col("_cw_all") > LARGE_SHARE * n_pages, F.ceil(F.col("_cw_all") / PART_PAGES)).otherwise(1).cast("int")
+    lists = lists.withColumn("_cw_parts", parts)
+    # fewer than 1 / LARGE_SHARE rows
+    large = F.broadcast(lists.filter("_cw_parts > 1").select(F.col("_cw_h").alias(name["host"]), "_cw_parts"))
+    hashed = [c for c, kind in pages.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = with_host.join(large, name["host"], "left").withColumn(
+        "_cw_part", F.when(F.col("_cw_parts") > 1, F.pmod(F.xxhash64(*hashed), F.col("_cw_parts"))).otherwise(0).cast("int")
+    ).drop("_cw_parts")
+    repeated = lists.withColumn("_cw_part", F.explode(F.sequence(F.lit(0), F.col("_cw_parts") - 1))).drop("_cw_parts")
     keep = F.filter("_cw_lines", lambda x: ~F.coalesce(F.array_contains("_cw_drop", F.xxhash64(x)), F.lit(False)))
-    kept = with_host.join(lists.withColumnRenamed("_cw_h", name["host"]), name["host"], "left").withColumn(
+    kept = dealt.join(repeated.withColumnRenamed("_cw_h", name["host"]), [name["host"], "_cw_part"], "left").withColumn(
         name["kept"], F.coalesce(keep, F.array().cast("array<string>"))
     )
     n_lines = F.greatest(F.coalesce(F.size("_cw_lines"), F.lit(0)), F.lit(0))
