@@ -59,14 +59,13 @@ def drop_site_lines(
     name = {n: prefix + n for n in ("host", "host_pages", "n_lines", "kept", "n_dropped")}
     with_host = pages.withColumns({name["host"]: F.coalesce(host, F.lit("")), "_cw_lines": lines})
     base = with_host.select(F.col(name["host"]).alias("_cw_h"), F.transform("_cw_lines", lambda x: F.xxhash64(x)).alias("_cw_keys"))
-    # the key null stands for the page itself, so pages and lines are counted in one pass
     seen = base.select(
-        "_cw_h",
-        F.explode(F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(F.coalesce("_cw_keys", F.array().cast("array<long>"))))).alias("_cw_key"),
+        "_cw_h", F.explode(F.array_distinct(F.coalesce("_cw_keys", F.array().cast("array<long>")))).alias("_cw_key")
     ).groupBy("_cw_h", "_cw_key").agg(F.count(F.lit(1)).alias("_cw_pages"))
-    totals = seen.filter(F.col("_cw_key").isNull()).select("_cw_h", F.col("_cw_pages").alias("_cw_all"))
+    # reads the hosts alone, so the lines are parsed once for both counts
+    totals = base.groupBy("_cw_h").agg(F.count(F.lit(1)).alias("_cw_all"))
     common = (
-        seen.filter(F.col("_cw_key").isNotNull() & (F.col("_cw_pages") >= 2)).join(totals, "_cw_h")
+        seen.filter(F.col("_cw_pages") >= 2).join(totals, "_cw_h")
         .filter((F.col("_cw_all") >= min_pages) & (F.col("_cw_pages") > F.lit(float(ratio)) * F.col("_cw_all")))
         .groupBy("_cw_h").agg(F.collect_list("_cw_key").alias("_cw_drop"))
     )
