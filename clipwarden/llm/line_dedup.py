@@ -21,21 +21,21 @@ PART_PAGES = 2000
 
 INVISIBLE = r"(?is)<!--.*?-->|<(script|style|head)\b.*?</(script|style|head)>"
 BLOCK_TAG = r"(?i)</?(p|div|li|ul|ol|nav|article|section|header|footer|main|aside|h[1-6]|table|tr|td|th|br|hr|body|html|blockquote|pre)\b[^>]*>|[\r\n]+"
-ANY_TAG = r"<[^>]*>"
+ANY_TAG = r"<[^>\n]*>"
+BLANKS = " \t"
 
 
 def html_lines(html: Column) -> Column:
     """Visible lines: block tags and line ends separate, other tags vanish, blanks at the ends go."""
     visible = F.regexp_replace(F.coalesce(html, F.lit("")), INVISIBLE, "\n")
-    pieces = F.split(visible, BLOCK_TAG)
-    return F.array_remove(F.transform(pieces, lambda p: F.regexp_replace(F.regexp_replace(p, ANY_TAG, ""), r"^[ \t]+|[ \t]+$", "")), "")
+    # over the whole text, as a pattern per line costs more than the line itself
+    separated = F.regexp_replace(F.regexp_replace(visible, BLOCK_TAG, "\n"), ANY_TAG, "")
+    return F.array_remove(F.transform(F.split(separated, "\n"), lambda p: F.trim(p, F.lit(BLANKS))), "")
 
 
 def text_lines(text: Column) -> Column:
     """Lines of plain text without blanks at the ends; empty lines vanish."""
-    return F.array_remove(
-        F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda p: F.regexp_replace(p, r"^[ \t]+|[ \t]+$", "")), ""
-    )
+    return F.array_remove(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda p: F.trim(p, F.lit(BLANKS))), "")
 
 
 def url_host(url: Column) -> Column:
