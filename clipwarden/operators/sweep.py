@@ -9,13 +9,15 @@ materialised.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import signals as S
-from ..plans.presets import FireRule
-from .ordered import chunked, piece_window
+from ..plans.presets import DwellRule, EntryRule, FireRule, RunRule
+from ..session import checkpoint
+from .ordered import carry, chunked, piece_window, time_bucket
 from .scoring import FALSE, HIT, f1_percent, verdict
 
 
@@ -91,6 +93,145 @@ def sweep_onsets(indexed: DataFrame, rules: Sequence[FireRule]) -> DataFrame:
     return fired.join(F.broadcast(table), ["_pred", "_frame"]).select("clip", "ordinal", "onset")
 
 
+def sweep_stays(
+    samples: DataFrame,
+    predicates: Sequence[str],
+    needs: Sequence[int],
+    gaps: Sequence[int] = (0,),
+    keys: Sequence[str] = ("clip",),
+    track: Sequence[str] = ("track",),
+) -> DataFrame:
+    """First stretch of every track for all predicates, lengths and pauses at once.
+
+    ``samples`` has ``keys, *track, idx, t, prev_t``.  A stretch is ``need``
+    qualified boxes with no pause over ``gap`` samples.  Returns ``_pred``,
+    ``_stay`` (the place in needs x gaps), ``at`` (its last box), ``since`` (its
+    first) and ``before`` (the sample before ``at``).
+    """
+    stays = list(product(needs, gaps))
+    cases = ", ".join(f"CASE WHEN {p} THEN {i} END" for i, p in enumerate(predicates))
+    met = samples.withColumn("_met", F.expr(f"array_compact(array({cases}))")).filter(F.size("_met") > 0)
+    met = met.select(*keys, *[c for c in track if c not in keys], "idx", "t", "prev_t", "_met")
+    reach = max((n - 1) * (g + 1) for n, g in stays)
+    cut = chunked(met, keys, "idx", back=reach, expands=True).withColumn("_pred", F.explode("_met")).drop("_met")
+    w = piece_window(keys, "idx", extra=[*[c for c in track if c not in keys], "_pred"])
+    pause = F.col("idx") - F.lag("idx").over(w) - 1
+    cut = cut.withColumns(
+        {f"_since{n}": F.lag("t", n - 1).over(w) for n in needs} | {f"_broken{g}": F.when(pause > g, 1).otherwise(0) for g in gaps}
+    )
+    breaks = {
+        f"_breaks{j}": F.sum(f"_broken{g}").over(w.rowsBetween(-(n - 2), 0)) if n > 1 else F.lit(0)
+        for j, (n, g) in enumerate(stays)
+    }
+    cut = cut.withColumns(breaks)
+    firsts = []
+    for j, (n, _) in enumerate(stays):
+        done = F.col("_own") & F.col(f"_since{n}").isNotNull() & (F.col(f"_breaks{j}") == 0)
+        # all three times grow along the track, so the first stretch holds the minima
+        firsts += [F.min(F.when(done, F.col(c))).alias(f"{out}{j}") for c, out in (("t", "at"), (f"_since{n}", "since"), ("prev_t", "before"))]
+    names = [*keys, *[c for c in track if c not in keys], "_pred"]
+    found = cut.groupBy(*names).agg(*firsts)
+    rows = F.array(*[F.struct(*[F.col(f"{c}{j}").alias(c) for c in ("at", "since", "before")]) for j in range(len(stays))])
+    return found.select(*names, F.posexplode(rows).alias("_stay", "_row")).select(*names, "_stay", "_row.*").filter("at IS NOT NULL")
+
+
+def settle_all(
+    found: DataFrame, settles: Sequence[float], value: str, keys: Sequence[str] = ("clip",), seconds: float = 1800.0
+) -> DataFrame:
+    """``rules.settle`` for several waits at once: (keys, _pred, _stay, _settle, onset).
+
+    The sample before the next detection comes with that detection, so the
+    samples are not read again.
+    """
+    group = [*keys, "_pred", "_stay"]
+    times = checkpoint(found.groupBy(*group, "at").agg(F.max(value).alias("_value"), F.min("before").alias("before")))
+    times = carry(times, group, ["at"], time_bucket("at", seconds), F.struct("at", "before"), "_next", ahead=True, inclusive=False)
+    quiet = F.col("_next.before") - F.col("at")
+    stops = times.groupBy(*group).agg(
+        *[F.min(F.when(F.col("_next").isNull() | (quiet >= s), F.col("at"))).alias(f"_stop{i}") for i, s in enumerate(settles)]
+    )
+    alarms = times.join(stops, group).groupBy(*group).agg(
+        *[F.max(F.when(F.col("at") <= F.col(f"_stop{i}"), F.col("_value"))).alias(f"_alarm{i}") for i in range(len(settles))]
+    )
+    return alarms.select(*group, F.posexplode(F.array(*[F.col(f"_alarm{i}") for i in range(len(settles))])).alias("_settle", "onset"))
+
+
+def _places(values) -> dict:
+    return {v: i for i, v in enumerate(dict.fromkeys(values))}
+
+
+def _by_ordinal(fired: DataFrame, lookup: list[tuple], names: Sequence[str]) -> DataFrame:
+    """Gives every grid point its row; the lookup has one row per grid point."""
+    table = fired.sparkSession.createDataFrame(lookup, ", ".join(["ordinal int", "_delay double", *[f"{n} int" for n in names]]))
+    return fired.join(F.broadcast(table), list(names)).select("clip", "ordinal", (F.col("onset") + F.col("_delay")).alias("onset"))
+
+
+def _in_zone(kinds) -> list[str]:
+    return [f"foot AND conf >= {conf}D AND corners >= {corners}" for conf, corners in kinds]
+
+
+def sweep_entries(samples: DataFrame, grid: Sequence[EntryRule]) -> DataFrame:
+    """Intrusion rules over ``clip, idx, t, prev_t, track, conf, foot, corners``."""
+    kinds, holds, settles = (_places(v) for v in ([r[:2] for r in grid], [r.hold for r in grid], [r.settle for r in grid]))
+    found = sweep_stays(samples.filter(F.col("conf") >= min(r.conf for r in grid)), _in_zone(kinds), list(holds))
+    fired = settle_all(found, list(settles), "at")
+    lookup = [(n, 0.0, kinds[r[:2]], holds[r.hold], settles[r.settle]) for n, r in enumerate(grid)]
+    return _by_ordinal(fired, lookup, ["_pred", "_stay", "_settle"])
+
+
+def sweep_dwells(samples: DataFrame, grid: Sequence[DwellRule], step_s: float = 0.5) -> DataFrame:
+    """Loitering rules over the same columns; the delay is only added."""
+    need = {r.dwell: max(1, -(-round(r.dwell * 1000) // round(step_s * 1000))) for r in grid}
+    kinds, settles = _places(r[:2] for r in grid), _places(r.settle for r in grid)
+    needs, gaps = list(dict.fromkeys(need.values())), list(dict.fromkeys(r.gap for r in grid))
+    stays = {s: j for j, s in enumerate(product(needs, gaps))}
+    found = sweep_stays(samples.filter(F.col("conf") >= min(r.conf for r in grid)), _in_zone(kinds), needs, gaps)
+    fired = settle_all(found, list(settles), "since")
+    lookup = [
+        (n, float(r.delay), kinds[r[:2]], stays[need[r.dwell], r.gap], settles[r.settle]) for n, r in enumerate(grid)
+    ]
+    return _by_ordinal(fired, lookup, ["_pred", "_stay", "_settle"])
+
+
+def sweep_runs(curves: DataFrame, grid: Sequence[RunRule]) -> DataFrame:
+    """Run-length rules over ``clip, track, idx, t, z``: the first track to fire decides."""
+    levels, needs = _places(r.threshold for r in grid), _places(r.need for r in grid)
+    found = sweep_stays(
+        curves.withColumn("prev_t", F.lit(None).cast("double")), [f"z >= {th}D" for th in levels], list(needs), keys=("clip", "track")
+    )
+    fired = found.groupBy("clip", "_pred", "_stay").agg(F.min("since").alias("onset"))
+    return _by_ordinal(fired, [(n, 0.0, levels[r.threshold], needs[r.need]) for n, r in enumerate(grid)], ["_pred", "_stay"])
+
+
+#: A rule family: (samples, grid) to rows (clip, ordinal, onset), one per clip and grid point that fires.
+RuleFamily = Callable[[DataFrame, Sequence[tuple]], DataFrame]
+
+
+def evaluate(
+    family: RuleFamily, samples: DataFrame, grid: Sequence[tuple], truth: DataFrame, delay: float = 0.0, digits: int | None = 2
+) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of the fired grid points, written once, and the totals of every grid point."""
+    fired = checkpoint(fired_verdicts(family(samples, grid), truth, delay))
+    return fired, sweep_totals(fired, truth, rule_table(truth.sparkSession, grid), digits)
+
+
+def held_out_report(held: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row: best score on all clips and its setting, held-out score, the setting picked most often.
+
+    Ties go to the first setting, and among equally frequent picks to the one of the smallest clip.
+    """
+    best = totals.agg(F.struct(
+        F.max("f1").alias("f1_full"), F.min_by("ordinal", F.struct(-F.col("f1"), F.col("ordinal"))).alias("best_full")
+    ).alias("b"))
+    picks = held.groupBy("ordinal").agg(F.count(F.lit(1)).alias("picked"), F.min("clip").alias("_first"))
+    most = picks.agg(F.struct(
+        F.sum("picked").alias("clips"), F.max("picked").alias("picked"),
+        F.min_by("ordinal", F.struct(-F.col("picked"), F.col("_first"))).alias("most_picked"),
+    ).alias("m"))
+    summary = hold_out_summary(held).withColumnRenamed("f1", "f1_held")
+    return summary.withColumns({"_b": best.scalar(), "_m": most.scalar()}).select("_b.*", *summary.columns, "_m.*")
+
+
 def fired_verdicts(fired: DataFrame, truth: DataFrame, delay: float = 0.0, alarm: str = "onset") -> DataFrame:
     """Verdict of every fired (clip, ordinal); clips without ground truth included."""
     return (

@@ -253,6 +253,14 @@ HIT_SQL = """CASE kind WHEN 'fire_only' THEN fire_v >= fire WHEN 'combined' THEN
   ELSE fire_v >= fire OR (rise IS NOT NULL AND smoke_v >= smoke_base + rise AND smoke_v >= 0.3e0) END"""
 
 
+RULE_SCORES_SQL = f"""verdicts AS (SELECT rules.ordinal, g.clip, g.start_s, alarm, {VERDICT_SQL} AS verdict
+             FROM rules CROSS JOIN ev_gt g LEFT JOIN fired f ON f.ordinal = rules.ordinal AND f.clip = g.clip),
+counts AS (SELECT ordinal, count(*) FILTER (verdict = 'hit') AS tp,
+                  count(*) FILTER (verdict <> 'hit') AS fn, count(*) FILTER (verdict = 'false') AS fp
+           FROM verdicts GROUP BY ordinal),
+totals AS (SELECT rules.*, tp, fn, fp, {f1_sql()} AS f1 FROM rules JOIN counts USING (ordinal))"""
+
+
 def grid_sql(grid, delay: float = 10.0, prefix: str = INDEXED_SQL) -> str:
     """Every rule on every sample, with a frame per rule; then verdicts of fired clips."""
     return f"""{prefix}, {BASE_SQL}, {TRUTH_SQL}, {_values(grid, FIRE_FIELDS)},
@@ -265,12 +273,7 @@ fr AS (SELECT ordinal, clip, hits, idx, t,
          min(CASE WHEN h = 1 THEN t END) OVER (PARTITION BY ordinal, clip ORDER BY idx ROWS BETWEEN win - 1 PRECEDING AND CURRENT ROW) AS o
        FROM hit),
 fired AS (SELECT ordinal, clip, arg_min(o, idx) + {delay} AS alarm FROM fr WHERE c >= hits GROUP BY ordinal, clip),
-verdicts AS (SELECT rules.ordinal, g.clip, g.start_s, alarm, {VERDICT_SQL} AS verdict
-             FROM rules CROSS JOIN ev_gt g LEFT JOIN fired f ON f.ordinal = rules.ordinal AND f.clip = g.clip),
-counts AS (SELECT ordinal, count(*) FILTER (verdict = 'hit') AS tp,
-                  count(*) FILTER (verdict <> 'hit') AS fn, count(*) FILTER (verdict = 'false') AS fp
-           FROM verdicts GROUP BY ordinal),
-totals AS (SELECT rules.*, tp, fn, fp, {f1_sql()} AS f1 FROM rules JOIN counts USING (ordinal))"""
+{RULE_SCORES_SQL}"""
 
 
 def events_only(spark, d) -> DataFrame:
@@ -350,12 +353,12 @@ def best_rule_verdicts(spark, d):
     return gt.join(own, "clip", "left").withColumn("verdict", scoring.verdict(F.col("alarm"), F.col("start_s")))
 
 
-LOO_SQL = f"""{grid_sql(presets.held_out_fire_grid())},
-mine AS (SELECT ordinal, clip, CASE WHEN verdict = 'hit' THEN 1 ELSE 0 END AS m_tp,
+HELD_SQL = f"""mine AS (SELECT ordinal, clip, CASE WHEN verdict = 'hit' THEN 1 ELSE 0 END AS m_tp,
                 CASE WHEN verdict = 'hit' THEN 0 ELSE 1 END AS m_fn, CASE WHEN verdict = 'false' THEN 1 ELSE 0 END AS m_fp FROM verdicts),
 rest AS (SELECT m.*, tp - m_tp AS r_tp, fn - m_fn AS r_fn, fp - m_fp AS r_fp FROM mine m JOIN counts USING (ordinal)),
 ranked AS (SELECT *, {f1_sql('r_tp', 'r_fn', 'r_fp')} AS f1_rest FROM rest),
 held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY f1_rest DESC, ordinal) AS rn FROM ranked) WHERE rn = 1)"""
+LOO_SQL = f"{grid_sql(presets.held_out_fire_grid())}, {HELD_SQL}"
 
 
 @query("leave_one_clip_out", f"WITH {LOO_SQL} SELECT clip, ordinal, f1_rest, m_tp AS tp, m_fn AS fn, m_fp AS fp FROM held")
