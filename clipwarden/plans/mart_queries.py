@@ -8,7 +8,7 @@ from ..operators import marts as M
 from .curation_queries import _label_sql, label_rows
 from .inputs import DET_SQL, SIGNAL_SQL, TRUTH_SQL, detections, signal, table, truth
 from .registry import query
-from .signal_queries import SCORED_SQL, grid_run, grid_sql, scored
+from .signal_queries import ALL_CLIPS_SQL, SCORED_SQL, all_clips, grid_run, grid_sql, scored
 from . import presets
 
 
@@ -111,15 +111,17 @@ def dataset_summary(spark, d):
 
 @query(
     "verdict_matrix",
-    f"""WITH {grid_sql(list(presets.NAMED_RULES.values()))}
+    f"""WITH {grid_sql(list(presets.NAMED_RULES.values()), clips=ALL_CLIPS_SQL)}
     SELECT clip, {', '.join(f"max(CASE WHEN ordinal = {i} THEN verdict END) AS rule{i}" for i in range(len(presets.NAMED_RULES)))} FROM verdicts GROUP BY clip""",
 )
 def verdict_matrix(spark, d):
-    """All clips by the named rules; a rule that did not fire on a clip missed it."""
+    """All clips by the named rules; a rule that did not fire missed the event, if there is one."""
     names = [f"rule{i}" for i in range(len(presets.NAMED_RULES))]
-    fired, gt, _ = grid_run(spark, d, list(presets.NAMED_RULES.values()))
+    fired, gt, _ = grid_run(spark, d, list(presets.NAMED_RULES.values()), clips=all_clips)
     v = fired.select("clip", F.concat(F.lit("rule"), F.col("ordinal").cast("string")).alias("name"), "verdict")
-    return gt.select("clip").join(M.verdict_matrix(v, names), "clip", "left").na.fill("miss", names)
+    silent = F.when(F.col("start_s").isNull(), "normal").otherwise("miss")
+    matrix = gt.join(M.verdict_matrix(v, names), "clip", "left")
+    return matrix.select("clip", *[F.coalesce(n, silent).alias(n) for n in names])
 
 
 @query("verdict_filter", f"WITH {SCORED_SQL} SELECT clip, alarm, verdict FROM scored WHERE verdict = 'false' ORDER BY clip")

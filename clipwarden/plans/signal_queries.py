@@ -256,15 +256,20 @@ HIT_SQL = """CASE kind WHEN 'fire_only' THEN fire_v >= fire WHEN 'combined' THEN
 RULE_SCORES_SQL = f"""verdicts AS (SELECT rules.ordinal, g.clip, g.start_s, alarm, {VERDICT_SQL} AS verdict
              FROM rules CROSS JOIN ev_gt g LEFT JOIN fired f ON f.ordinal = rules.ordinal AND f.clip = g.clip),
 counts AS (SELECT ordinal, count(*) FILTER (verdict = 'hit') AS tp,
-                  count(*) FILTER (verdict <> 'hit') AS fn, count(*) FILTER (verdict = 'false') AS fp
+                  count(*) FILTER (verdict <> 'hit' AND start_s IS NOT NULL) AS fn, count(*) FILTER (verdict = 'false') AS fp
            FROM verdicts GROUP BY ordinal),
 totals AS (SELECT rules.*, tp, fn, fp, {f1_sql()} AS f1 FROM rules JOIN counts USING (ordinal))"""
 
 
-def grid_sql(grid, delay: float = 10.0, prefix: str = INDEXED_SQL) -> str:
+EVENT_CLIPS_SQL = "ev_gt AS (SELECT * FROM gt WHERE start_s IS NOT NULL)"
+# nearly every clip of the stand-in has an event, so every seventh stands for a clip without one
+ALL_CLIPS_SQL = "ev_gt AS (SELECT clip, CASE WHEN clip % 7 <> 3 THEN start_s END AS start_s FROM gt)"
+
+
+def grid_sql(grid, delay: float = 10.0, prefix: str = INDEXED_SQL, clips: str = EVENT_CLIPS_SQL) -> str:
     """Every rule on every sample, with a frame per rule; then verdicts of fired clips."""
     return f"""{prefix}, {BASE_SQL}, {TRUTH_SQL}, {_values(grid, FIRE_FIELDS)},
-ev_gt AS (SELECT * FROM gt WHERE start_s IS NOT NULL),
+{clips},
 sb AS (SELECT six.clip, idx, t, fire AS fire_v, smoke AS smoke_v, coalesce(smoke_base, 0e0) AS smoke_base
        FROM six JOIN ev_gt USING (clip) LEFT JOIN base USING (clip)),
 hit AS (SELECT ordinal, win, hits, clip, idx, t, CASE WHEN {HIT_SQL} THEN 1 ELSE 0 END AS h FROM sb CROSS JOIN rules),
@@ -280,14 +285,19 @@ def events_only(spark, d) -> DataFrame:
     return truth(spark, d).filter(F.col("start_s").isNotNull())
 
 
-def grid_run(spark, d, grid, source=None, reuse: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def all_clips(spark, d) -> DataFrame:
+    """Ground truth with clips that have no event: an alarm there is a false alarm."""
+    return truth(spark, d).withColumn("start_s", F.when(F.col("clip") % 7 != 3, F.col("start_s")))
+
+
+def grid_run(spark, d, grid, source=None, reuse: bool = False, clips=events_only, digits: int | None = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fired verdicts, ground truth and totals; ``reuse`` keeps the fired rows for a second reading."""
     sig = source if source is not None else with_base(spark, d)
-    gt = events_only(spark, d)
+    gt = clips(spark, d)
     fired = sweep.fired_verdicts(sweep.sweep_onsets(sig, grid), gt, rules.ALARM_DELAY_S)
     if reuse:
         fired = checkpoint(fired)
-    totals = sweep.sweep_totals(fired, gt, sweep.rule_table(spark, grid))
+    totals = sweep.sweep_totals(fired, gt, sweep.rule_table(spark, grid), digits)
     return fired, gt, totals
 
 
@@ -323,31 +333,34 @@ def detail_sweep_630(spark, d):
 
 @query(
     "gated_sweep_best",
-    f"WITH {grid_sql(presets.gated_grid())} SELECT ordinal, kind, fire, smoke, win, hits, tp, fn, fp, f1 FROM totals ORDER BY f1 DESC, fp, ordinal LIMIT 1",
+    f"""WITH {grid_sql(presets.gated_grid(), clips=ALL_CLIPS_SQL)}, raw AS (SELECT * REPLACE ({f1_sql(digits=None)} AS f1) FROM totals)
+    SELECT ordinal, kind, fire, smoke, win, hits, tp, fn, fp, round_even(f1, 1) AS f1 FROM raw ORDER BY raw.f1 DESC, fp, ordinal LIMIT 1""",
 )
 def gated_sweep_best(spark, d):
-    totals = grid_run(spark, d, presets.gated_grid())[2]
-    return sweep.rank_f1_fp(totals).limit(1).select("ordinal", "kind", "fire", "smoke", "win", "hits", "tp", "fn", "fp", "f1")
+    """The best of the grid by the unrounded score, false alarms of clips without an event included."""
+    totals = grid_run(spark, d, presets.gated_grid(), clips=all_clips, digits=None)[2]
+    best = sweep.rank_f1_fp(totals).limit(1).withColumn("f1", F.bround("f1", 1))
+    return best.select("ordinal", "kind", "fire", "smoke", "win", "hits", "tp", "fn", "fp", "f1")
 
 
 @query(
     "named_rules",
-    f"""WITH {grid_sql(list(presets.NAMED_RULES.values()))}
+    f"""WITH {grid_sql(list(presets.NAMED_RULES.values()), clips=ALL_CLIPS_SQL)}
     SELECT ordinal, kind, win, hits, tp, fn, fp, f1 FROM totals""",
 )
 def named_rules(spark, d):
-    totals = grid_run(spark, d, list(presets.NAMED_RULES.values()))[2]
+    totals = grid_run(spark, d, list(presets.NAMED_RULES.values()), clips=all_clips)[2]
     return totals.select("ordinal", "kind", "win", "hits", "tp", "fn", "fp", "f1")
 
 
 @query(
     "best_rule_verdicts",
-    f"""WITH {grid_sql(list(presets.NAMED_RULES.values()))},
+    f"""WITH {grid_sql(list(presets.NAMED_RULES.values()), clips=ALL_CLIPS_SQL)},
     b AS (SELECT ordinal FROM totals ORDER BY f1 DESC, ordinal LIMIT 1)
     SELECT clip, start_s, alarm, verdict FROM verdicts JOIN b USING (ordinal)""",
 )
 def best_rule_verdicts(spark, d):
-    fired, gt, totals = grid_run(spark, d, list(presets.NAMED_RULES.values()), reuse=True)
+    fired, gt, totals = grid_run(spark, d, list(presets.NAMED_RULES.values()), reuse=True, clips=all_clips)
     best = totals.orderBy(F.desc("f1"), "ordinal").limit(1).select("ordinal")
     own = fired.withColumn("_best", best.scalar()).filter(F.col("ordinal") == F.col("_best")).select("clip", "alarm")
     return gt.join(own, "clip", "left").withColumn("verdict", scoring.verdict(F.col("alarm"), F.col("start_s")))
@@ -385,22 +398,25 @@ def pick_frequency(spark, d):
 
 # ---- thresholds on one score ------------------------------------------------------
 
-CROSS_SQL = f"""{SIGNAL_SQL}, {TRUTH_SQL}, ev_gt AS (SELECT * FROM gt WHERE start_s IS NOT NULL),
-rules(ordinal, threshold) AS (VALUES {', '.join(f'({i}, {t}e0)' for i, t in enumerate(presets.CROSSING_THRESHOLDS))}),
-fired AS (SELECT ordinal, clip, min(t) + 10 AS alarm FROM rules JOIN sig ON smoke >= threshold GROUP BY ordinal, clip),
+def cross_sql(levels=presets.CROSSING_THRESHOLDS, score: str = "smoke", clips: str = EVENT_CLIPS_SQL) -> str:
+    return f"""{SIGNAL_SQL}, {TRUTH_SQL}, {clips},
+rules(ordinal, threshold) AS (VALUES {', '.join(f'({i}, {t}e0)' for i, t in enumerate(levels))}),
+fired AS (SELECT ordinal, clip, min(t) + 10 AS alarm FROM rules JOIN sig ON {score} >= threshold GROUP BY ordinal, clip),
 verdicts AS (SELECT r.ordinal, threshold, g.clip, g.start_s, alarm, {VERDICT_SQL} AS verdict
   FROM rules r CROSS JOIN ev_gt g LEFT JOIN fired f ON f.ordinal = r.ordinal AND f.clip = g.clip),
-counts AS (SELECT ordinal, threshold, count(*) FILTER (verdict = 'hit') AS tp, count(*) FILTER (verdict <> 'hit') AS fn,
+counts AS (SELECT ordinal, threshold, count(*) FILTER (verdict = 'hit') AS tp, count(*) FILTER (verdict <> 'hit' AND start_s IS NOT NULL) AS fn,
   count(*) FILTER (verdict = 'false') AS fp FROM verdicts GROUP BY ALL)"""
 
 
-def crossing_run(spark, d):
-    table_ = sweep.rule_table(spark, [(t,) for t in presets.CROSSING_THRESHOLDS], ["threshold"])
-    gt = events_only(spark, d)
-    levels = presets.CROSSING_THRESHOLDS
+CROSS_SQL = cross_sql()
+
+
+def crossing_run(spark, d, levels=presets.CROSSING_THRESHOLDS, score: str = "smoke", clips=events_only):
+    table_ = sweep.rule_table(spark, [(t,) for t in levels], ["threshold"])
+    gt = clips(spark, d)
     # one pass: the first time above each level, then one row per level reached
     firsts = signal(spark, d).groupBy("clip").agg(
-        *[F.min(F.when(F.col("smoke") >= th, F.col("t"))).alias(f"t{i}") for i, th in enumerate(levels)]
+        *[F.min(F.when(F.expr(score) >= th, F.col("t"))).alias(f"t{i}") for i, th in enumerate(levels)]
     )
     fired = firsts.select(
         "clip", F.posexplode(F.array(*[F.col(f"t{i}") for i in range(len(levels))])).alias("ordinal", "onset")
@@ -416,7 +432,7 @@ def threshold_scores(spark, d):
 
 @query(
     "leave_one_out_threshold",
-    f"""WITH {CROSS_SQL},
+    f"""WITH {cross_sql(presets.SEQUENCE_THRESHOLDS, 'fire * 10 - 2')},
     mine AS (SELECT v.clip, v.ordinal, CASE WHEN verdict = 'hit' THEN 1 ELSE 0 END AS m_tp, CASE WHEN verdict = 'hit' THEN 0 ELSE 1 END AS m_fn,
        CASE WHEN verdict = 'false' THEN 1 ELSE 0 END AS m_fp, tp, fn, fp FROM verdicts v JOIN counts c USING (ordinal)),
     ranked AS (SELECT *, {f1_sql('(tp - m_tp)', '(fn - m_fn)', '(fp - m_fp)', None)} AS f1_rest FROM mine),
@@ -424,7 +440,7 @@ def threshold_scores(spark, d):
     SELECT clip, ordinal, m_tp AS tp, m_fn AS fn, m_fp AS fp FROM held""",
 )
 def leave_one_out_threshold(spark, d):
-    fired, gt, levels = crossing_run(spark, d)
+    fired, gt, levels = crossing_run(spark, d, presets.SEQUENCE_THRESHOLDS, "fire * 10D - 2D")
     held = sweep.hold_out(fired, gt, sweep.sweep_totals(fired, gt, levels, None), None)
     return held.select("clip", "ordinal", *[F.col(c).cast("int").alias(c) for c in ("tp", "fn", "fp")])
 
@@ -434,9 +450,9 @@ FOLD_SQL = "CAST(('0x' || substr(md5(CAST(clip AS VARCHAR)), 1, 8))::BIGINT % 5
 
 @query(
     "fold_median_threshold",
-    f"""WITH {CROSS_SQL}, vf AS (SELECT *, {FOLD_SQL} AS fold FROM verdicts),
+    f"""WITH {cross_sql(clips=ALL_CLIPS_SQL)}, vf AS (SELECT *, {FOLD_SQL} AS fold FROM verdicts),
     cell AS (SELECT f.fold, v.ordinal, v.threshold, count(*) FILTER (v.fold <> f.fold AND verdict = 'hit') AS tp,
-        count(*) FILTER (v.fold <> f.fold AND verdict <> 'hit') AS fn, count(*) FILTER (v.fold <> f.fold AND verdict = 'false') AS fp
+        count(*) FILTER (v.fold <> f.fold AND verdict <> 'hit' AND start_s IS NOT NULL) AS fn, count(*) FILTER (v.fold <> f.fold AND verdict = 'false') AS fp
       FROM vf v CROSS JOIN (SELECT unnest(range(5)) AS fold) f GROUP BY ALL),
     s AS (SELECT *, {f1_sql(digits=None)} AS f1 FROM cell),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, ordinal) AS rn FROM s) WHERE rn = 1)
@@ -444,7 +460,7 @@ FOLD_SQL = "CAST(('0x' || substr(md5(CAST(clip AS VARCHAR)), 1, 8))::BIGINT % 5
            round_even(min(f1), 6) AS min_f1, round_even(max(f1), 6) AS max_f1 FROM b""",
 )
 def fold_median_threshold(spark, d):
-    fired, gt, levels = crossing_run(spark, d)
+    fired, gt, levels = crossing_run(spark, d, clips=all_clips)
     best = sweep.fold_best(fired, gt, levels, 5, sweep.fold_of(F.col("clip"), 5))
     cols = ("mean_f1", "std_f1", "min_f1", "max_f1")
     return sweep.adopt_median(best).withColumns({c: F.bround(c, 6) for c in cols})
