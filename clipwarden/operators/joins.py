@@ -31,7 +31,6 @@ def fuse_models(signals: Sequence[DataFrame], digits: int = 2) -> DataFrame:
     aggs: list[Column] = []
     for i in models:
         mine = F.col("model") == i
-        aggs.append(F.max(F.when(mine, F.struct("fire", "smoke"))).alias(f"m{i}"))
         aggs.append(F.max(F.when(mine, F.col("fire"))).alias(f"f{i}"))
         aggs.append(F.max(F.when(mine, F.col("smoke"))).alias(f"s{i}"))
     wide = merged.groupBy("clip", "t").agg(*aggs)

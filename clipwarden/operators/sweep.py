@@ -261,6 +261,34 @@ def sweep_totals(fired: DataFrame, truth: DataFrame, rules: DataFrame, digits: i
     )
 
 
+def variant_totals(fired: DataFrame, events: DataFrame, rules: DataFrame, variants: int) -> DataFrame:
+    """``sweep_totals`` (two digits) for rows whose clip is a struct (variant, clip).
+
+    ``events`` is ground truth of plain clips, the same for every variant; a
+    clip without samples in a variant is missed there.
+    """
+    total = events.agg(F.count("start_s").alias("_events"))
+    counts = fired.groupBy(F.col("clip.variant").alias("variant"), "ordinal").agg(
+        F.count(F.when(F.col("verdict") == HIT, 1)).alias("_tp"), F.count(F.when(F.col("verdict") == FALSE, 1)).alias("_fp")
+    )
+    zero = F.lit(0).cast("long")
+    tp, fp = F.coalesce("_tp", zero), F.coalesce("_fp", zero)
+    # variants x grid: both are fixed
+    cells = rules.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1)))).join(counts, ["variant", "ordinal"], "left")
+    cells = cells.withColumns({"tp": tp, "fp": fp}).withColumn("fn", total.scalar() - F.col("tp"))
+    return cells.withColumn("f1", f1_percent(F.col("tp"), F.col("fn"), F.col("fp"))).drop("_tp", "_fp")
+
+
+def best_of_variants(totals: DataFrame, margin: float = 0.01) -> DataFrame:
+    """The best setting of every variant (F1, then fewest false alarms, then grid order) and how many come near it."""
+    top = totals.groupBy("variant").agg(
+        F.max("f1").alias("f1"), F.min_by("ordinal", F.struct(-F.col("f1"), F.col("fp"), F.col("ordinal"))).alias("ordinal")
+    )
+    near = totals.select("variant", F.col("f1").alias("_f1")).join(top.select("variant", F.col("f1").alias("_best")), "variant")
+    stable = near.filter(F.col("_f1") >= F.col("_best") - margin).groupBy("variant").agg(F.count(F.lit(1)).alias("stable"))
+    return top.join(totals.select("variant", "ordinal", "tp", "fn", "fp"), ["variant", "ordinal"]).join(stable, "variant")
+
+
 def rank_rise(totals: DataFrame) -> DataFrame:
     """Best F1, then fewest false alarms, then the higher fire level."""
     return totals.orderBy(F.desc("f1"), F.asc("fp"), F.desc("fire"), F.asc("ordinal"))

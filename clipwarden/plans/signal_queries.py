@@ -491,6 +491,14 @@ models AS (SELECT clip, round_even(t, 2) AS t, fire, smoke, 0 AS model FROM sig
 combos(combo, members) AS (VALUES (0, [0, 1]), (1, [0, 2]), (2, [1, 2]), (3, [0, 1, 2]))"""
 
 
+def three_models(spark, d) -> list[DataFrame]:
+    """The signal and two stand-ins for other models, which lack some samples."""
+    sig = signal(spark, d)
+    second = sig.filter(F.col("fire") < 0.6).select("clip", "t", (F.col("smoke") * 0.5).alias("fire"), F.col("fire").alias("smoke"))
+    third = sig.filter(F.col("smoke") >= 0.05).select("clip", "t", (F.col("fire") * 0.8).alias("fire"), (F.col("smoke") * 0.8).alias("smoke"))
+    return [sig, second, third]
+
+
 @query(
     "fused_signal",
     f"""WITH {FUSED_SQL}, m2 AS (SELECT clip, t, model, max(fire) AS fire, max(smoke) AS smoke FROM models GROUP BY ALL)
@@ -499,10 +507,7 @@ combos(combo, members) AS (VALUES (0, [0, 1]), (1, [0, 2]), (2, [1, 2]), (3, [0,
     FROM m2 JOIN combos ON list_contains(members, model) GROUP BY combo, members, clip, t HAVING count(*) = len(members)""",
 )
 def fused_signal(spark, d):
-    sig = signal(spark, d)
-    second = sig.filter(F.col("fire") < 0.6).select("clip", "t", (F.col("smoke") * 0.5).alias("fire"), F.col("fire").alias("smoke"))
-    third = sig.filter(F.col("smoke") >= 0.05).select("clip", "t", (F.col("fire") * 0.8).alias("fire"), (F.col("smoke") * 0.8).alias("smoke"))
-    out = joins.fuse_models([sig, second, third])
+    out = joins.fuse_models(three_models(spark, d))
     return out.withColumns({"fire_mean": F.bround("fire_mean", 9), "smoke_mean": F.bround("smoke_mean", 9)})
 
 
@@ -516,3 +521,69 @@ def fused_sweep_405(spark, d):
     fused = joins.fuse_models([sig, second]).select("clip", "t", F.col("fire_max").alias("fire"), F.col("smoke_max").alias("smoke"))
     ix = rules.index_samples(fused, seconds=WIDTH_S).join(rules.baseline(fused, "smoke"), "clip", "left").na.fill(0.0, ["smoke_base"])
     return grid_run(spark, d, presets.fused_grid(), ix)[2].select("ordinal", "tp", "fn", "fp", "f1")
+
+
+MODELS, COMBOS, HOWS = 3, ((0, 1), (0, 2), (1, 2), (0, 1, 2)), ("max", "mean", "min")
+# variants: each model alone, then every combination in each of the three ways
+VARIANTS = [str(m) for m in range(MODELS)] + ["+".join(map(str, c)) + " " + how for c in COMBOS for how in HOWS]
+
+
+def _variant_sql() -> str:
+    parts = [f"SELECT {m} AS variant, clip, t, fire, smoke FROM models WHERE model = {m}" for m in range(MODELS)]
+    for n, (combo, how) in enumerate((c, h) for c in COMBOS for h in HOWS):
+        mixed = []
+        for v in ("f", "s"):
+            cols = [f"{v}{m}" for m in combo]
+            mixed.append(f"({' + '.join(cols)}) / {len(cols)}e0" if how == "mean" else f"{'greatest' if how == 'max' else 'least'}({', '.join(cols)})")
+        present = " AND ".join(f"f{m} IS NOT NULL" for m in combo)
+        parts.append(f"SELECT {MODELS + n}, clip, t, {mixed[0]}, {mixed[1]} FROM wide WHERE {present}")
+    return " UNION ALL ".join(parts)
+
+
+CLIP_STEP = 10**12  # variant and clip as one number in the SQL
+SEARCH_SQL = grid_sql(
+    presets.fused_grid(),
+    prefix=f"""{FUSED_SQL.replace("sig AS", "sig0 AS", 1).replace("FROM sig", "FROM sig0")},
+wide AS (SELECT clip, t, {", ".join(f"max(CASE WHEN model = {m} THEN {c} END) AS {c[0]}{m}" for m in range(MODELS) for c in ("fire", "smoke"))} FROM models GROUP BY clip, t),
+variants AS ({_variant_sql()}),
+sig AS (SELECT CAST(variant * {CLIP_STEP} + clip AS BIGINT) AS clip, t, max(fire) AS fire, max(smoke) AS smoke FROM variants GROUP BY ALL),
+six AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY t) - 1 AS idx FROM sig)""",
+    clips=f"ev_gt AS (SELECT CAST(v * {CLIP_STEP} + clip AS BIGINT) AS clip, start_s FROM gt, (SELECT unnest(range({len(VARIANTS)})) AS v) WHERE start_s IS NOT NULL)",
+)
+
+
+@query(
+    "fusion_search",
+    f"""WITH {SEARCH_SQL}, per AS (SELECT clip // {CLIP_STEP} AS variant, ordinal, count(*) FILTER (verdict = 'hit') AS tp,
+      count(*) FILTER (verdict <> 'hit') AS fn, count(*) FILTER (verdict = 'false') AS fp FROM verdicts GROUP BY ALL),
+    sc AS (SELECT *, {f1_sql()} AS f1 FROM per),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY f1 DESC, fp, ordinal) AS rn, max(f1) OVER (PARTITION BY variant) AS best FROM sc)
+    SELECT [{", ".join(f"'{v}'" for v in VARIANTS)}][variant + 1] AS models, arg_min(ordinal, rn) AS ordinal, arg_min(tp, rn) AS tp, arg_min(fn, rn) AS fn,
+      arg_min(fp, rn) AS fp, max(best) AS f1, count(*) FILTER (f1 >= best - 0.01e0) AS stable FROM rk GROUP BY variant""",
+)
+def fusion_search(spark, d):
+    """Every model and every fusion of models over the whole grid: the best setting of each."""
+    models = three_models(spark, d)
+    alone = [m.select(F.lit(i).alias("variant"), "clip", F.bround("t", 2).alias("t"), "fire", "smoke") for i, m in enumerate(models)]
+    ways = F.array(*[
+        F.struct((F.col("combo") * len(HOWS) + MODELS + i).alias("variant"), F.col(f"fire_{how}").alias("fire"), F.col(f"smoke_{how}").alias("smoke"))
+        for i, how in enumerate(HOWS)
+    ])
+    merged = joins.fuse_models(models).select("clip", "t", F.inline(ways)).select("variant", "clip", "t", "fire", "smoke")
+    for one in alone:
+        merged = merged.unionByName(one)
+    # one sample per rounded time, as in the fusions
+    sig = checkpoint(
+        merged.groupBy("variant", "clip", "t").agg(F.max("fire").alias("fire"), F.max("smoke").alias("smoke"))
+        .select(F.struct("variant", "clip").alias("clip"), "t", "fire", "smoke")
+    )
+    based = rules.index_samples(sig, seconds=WIDTH_S).join(rules.baseline(sig, "smoke"), "clip", "left").na.fill(0.0, ["smoke_base"])
+    events = events_only(spark, d)
+    gt = events.select(
+        F.explode(F.sequence(F.lit(0), F.lit(len(VARIANTS) - 1))).alias("variant"), "clip", "start_s"
+    ).select(F.struct("variant", "clip").alias("clip"), "start_s")
+    grid = presets.fused_grid()
+    fired = sweep.fired_verdicts(sweep.sweep_onsets(based, grid), gt, rules.ALARM_DELAY_S)
+    totals = checkpoint(sweep.variant_totals(fired, events, sweep.rule_table(spark, grid), len(VARIANTS)))
+    names = F.array(*[F.lit(v) for v in VARIANTS])
+    return sweep.best_of_variants(totals).select(F.get(names, F.col("variant")).alias("models"), "ordinal", "tp", "fn", "fp", "f1", "stable")

@@ -116,6 +116,41 @@ def test_dwell(spark, seed, dwell, gap, settle):
     assert got == {c: w for c, w in want.items() if w is not None}
 
 
+def test_stay_grids(spark):
+    rows = boxes(8, clips=6)
+    df = spark.createDataFrame(rows, "clip string, idx long, t double, track int, box_no int, ok boolean")
+    axis = rules.with_previous_time(df.select("clip", "idx", "t").distinct())
+    samples = df.join(axis.select("clip", "idx", "prev_t"), ["clip", "idx"]).withColumns(
+        {"conf": F.when(F.col("ok"), 0.6).otherwise(0.1), "foot": F.lit(True), "corners": F.lit(4)}
+    )
+    entry = [presets.EntryRule(c, 3, h, s) for c in (0.5, 0.7) for h in (1, 2, 3) for s in (0.0, 2.0, 5.0)]
+    dwell = [presets.DwellRule(0.5, 0, w, 10, s, g) for w in (1, 2) for s in (0, 3) for g in (0, 2)]
+    for family, grid in ((sweep.sweep_entries, entry), (sweep.sweep_dwells, dwell)):
+        got = {(r.clip, r.ordinal): r.onset for r in family(samples, grid).collect()}
+        want = {}
+        for n, g in enumerate(grid):
+            for c, s in by_clip_boxes(rows).items():
+                if g.conf > 0.6:
+                    continue
+                if isinstance(g, presets.EntryRule):
+                    alarm = stays(s, g.hold, 0, g.settle, 0.0, False)
+                else:
+                    alarm = stays(s, int(g.dwell * 2), g.gap, g.settle, g.delay, True)
+                if alarm is not None:
+                    want[c, n] = alarm
+        assert got == want
+
+
+def test_grid_sizes():
+    sizes = {
+        presets.rise_grid: 540, presets.fused_grid: 405, presets.detail_grid: 630, presets.gated_grid: 96, presets.held_out_fire_grid: 216,
+        presets.held_out_entry_grid: 216, presets.held_out_dwell_grid: 864, presets.held_out_run_grid: 52, presets.fall_grid: 24,
+    }
+    for grid, n in sizes.items():
+        assert len(grid()) == len(set(grid())) == n
+    assert presets.fused_grid()[0][1:] == (0.10, None, None, 2, 2) and presets.fused_grid()[-1][1:] == (0.50, None, 0.5, 12, 6)
+
+
 def by_clip_boxes(rows):
     out = {}
     for r in rows:
