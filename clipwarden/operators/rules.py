@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpoint
-from .ordered import chunked, piece_window, time_bucket, next_value, with_position
+from .ordered import carry, chunked, next_value, piece_window, time_bucket, with_position
 
 ALARM_DELAY_S = 10.0  # fixed value: the fire alarm is due ten seconds after onset
 
@@ -95,7 +95,8 @@ def island_detections(
     ``qualified`` holds one row per qualified box with its sample position
     ``idx``.  Two boxes of one track in one sample count twice, as pauses are
     counted in samples and length in boxes.  Returns per track ``at`` (the
-    detection time) and ``since`` (where the counted stretch began).
+    detection time) and ``since`` (where the counted stretch began), and
+    ``before``, the sample before ``at``, where ``qualified`` has ``prev_t``.
     """
     reach = (need - 1) * (gap + 1)
     cut = chunked(qualified, keys, "idx", back=reach)
@@ -108,8 +109,9 @@ def island_detections(
     else:
         steps = steps.withColumn("_breaks", F.lit(0))
     found = steps.filter(F.col("_own") & F.col("_since").isNotNull() & (F.col("_breaks") == 0))
-    # both times grow along the track, so the first detection holds both minima
-    return found.groupBy(*keys, track).agg(F.min(t).alias("at"), F.min("_since").alias("since"))
+    # all times grow along the track, so the first detection holds the minima
+    before = [F.min("prev_t").alias("before")] if "prev_t" in qualified.columns else []
+    return found.groupBy(*keys, track).agg(F.min(t).alias("at"), F.min("_since").alias("since"), *before)
 
 
 def settle(
@@ -127,14 +129,21 @@ def settle(
     A detection time is final when some sample lies at least ``settle_s`` after
     it and before the next detection; the sample just before the next detection
     (``prev_t``) decides.  The alarm is the latest value up to the first final
-    detection.
+    detection.  Detections with a column ``before`` bring that sample along, and
+    ``samples`` is not read.
     """
+    carried = "before" in detections.columns
+    extra = [F.min("before").alias("before")] if carried else []
     # one row per detection time, needed three times below
-    times = checkpoint(detections.groupBy(*keys, at).agg(F.max(value).alias("_value")))
-    times = next_value(times, keys, at, time_bucket(at, seconds), "_next")
-    # only the samples that are themselves detection times matter
-    before_next = samples.select(*keys, F.col(t).alias("_next"), F.col("prev_t").alias("_before"))
-    times = times.join(before_next, [*keys, "_next"], "left")
+    times = checkpoint(detections.groupBy(*keys, at).agg(F.max(value).alias("_value"), *extra))
+    if carried:
+        times = carry(times, keys, [at], time_bucket(at, seconds), F.struct(at, "before"), "_later", ahead=True, inclusive=False)
+        times = times.withColumns({"_next": F.col("_later")[at], "_before": F.col("_later.before")})
+    else:
+        times = next_value(times, keys, at, time_bucket(at, seconds), "_next")
+        # only the samples that are themselves detection times matter
+        before_next = samples.select(*keys, F.col(t).alias("_next"), F.col("prev_t").alias("_before"))
+        times = times.join(before_next, [*keys, "_next"], "left")
     final = F.col("_next").isNull() | (F.col("_before") - F.col(at) >= settle_s)
     stop = times.filter(final).groupBy(*keys).agg(F.min(at).alias("_stop"))
     return (
