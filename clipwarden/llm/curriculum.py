@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clipwarden.operators.ordered import running_many
 
@@ -171,15 +171,27 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents in training order, a row per copy, with their own columns."""
-    found = mix(docs, id_col, text_col, **options).filter(F.col("copies") > 0).select(
-        F.coalesce("doc_id", F.lit(LAST_ID)).alias("_cw_id"), F.col("rk").alias("_cw_rk"), F.col("positions").alias("_cw_at")
+    """The documents in training order, a row per copy, with their own columns.
+
+    Rows that agree in id, text and source have equal claims; they are numbered
+    and take the lists of positions by number, so that each keeps its columns.
+    """
+    source_col = options.get("source_col", "source")
+    keys = ["_cw_id", "_cw_rk", "_cw_source"]
+    found = mix(docs, id_col, text_col, **options).select(
+        F.coalesce("doc_id", F.lit(LAST_ID)).alias("_cw_id"), F.col("rk").alias("_cw_rk"),
+        F.struct("source").alias("_cw_source"), F.col("positions").alias("_cw_at"),
     )
-    # rows that agree in id and text share their lists of positions by number of the row
-    numbered = found.groupBy("_cw_id", "_cw_rk").agg(F.array_sort(F.flatten(F.collect_list("_cw_at"))).alias("_cw_at"), F.count(F.lit(1)).alias("_cw_n"))
-    tagged = docs.withColumns({"_cw_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_cw_rk": row_key(id_col, text_col)})
-    one = tagged.dropDuplicates(["_cw_id", "_cw_rk"])
+    tagged = docs.withColumns({
+        "_cw_id": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "_cw_rk": row_key(id_col, text_col),
+        "_cw_source": F.struct(F.col(source_col).cast("string").alias("source")),
+    })
+    # maps have no hash; rows that differ in nothing else may take either number
+    others = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    by = Window.partitionBy(*keys)
+    numbered = found.withColumn("_cw_no", F.row_number().over(by.orderBy("_cw_at"))).filter(F.size("_cw_at") > 0)
     return (
-        one.join(numbered, ["_cw_id", "_cw_rk"]).withColumn("_cw_t", F.explode("_cw_at"))
-        .repartitionByRange("_cw_t", "_cw_id").sortWithinPartitions("_cw_t", "_cw_id").select(*docs.columns)
+        tagged.withColumn("_cw_no", F.row_number().over(by.orderBy(F.xxhash64(*others)))).join(numbered, [*keys, "_cw_no"])
+        .withColumn("_cw_t", F.explode("_cw_at"))
+        .repartitionByRange("_cw_t", "_cw_id", "_cw_rk").sortWithinPartitions("_cw_t", "_cw_id", "_cw_rk").select(*docs.columns)
     )

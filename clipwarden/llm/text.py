@@ -81,6 +81,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_place(df: DataFrame, name: str) -> DataFrame:
+    """Adds where each row of a written table stands: number and name of its file, then its row there.
+
+    Spark numbers the files by partition, so a range-sorted table has its order
+    back.  The table has to come straight from Parquet files.
+    """
+    file = F.col("_metadata.file_name")
+    number = F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long")
+    return df.withColumn(name, F.struct(number.alias("number"), file.alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds of long texts at once; a session with a smaller setting keeps it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -13,7 +13,8 @@ part number, its place in the part, the documents in it and one ``payload``:
 The width is the least that holds a percentile of the block's values; what is
 wider goes to the exception list.  Blocks decode on their own, so a range of
 ids needs only the blocks that the index names.  Documents lie in ascending id
-order over parts, segments and blocks; a document never spans two segments.
+order, or in that of a given column, over parts, segments and blocks; a document
+never spans two segments.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .encoding import encoder
-from .text import keyed, plain_id, shared_folder, small_batches
+from .text import LAST_ID, plain_id, row_key, shared_folder, small_batches
 
 MAGIC = b"CWT1"
 BLOCK = 1024
@@ -99,11 +100,13 @@ def write_token_files(
     block: int = BLOCK,
     percentile: float = PERCENTILE,
     segment: int = SEGMENT,
+    order_col: str | None = None,
 ) -> None:
     """Encodes every text, appends ``end_id`` and writes the files under ``path``.
 
     Null and empty texts consist of the end id alone.  Null document ids come
     last; rows with one id follow each other in the order of their texts' hash.
+    With ``order_col`` that column comes before id and hash, its nulls first.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +138,14 @@ def write_token_files(
             yield closed()
 
     small_batches(docs.sparkSession)
+    place = F.lit(0) if order_col is None else F.col(order_col)
+    named = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), row_key(id_col, text_col).alias("rk"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"), place.alias("place"),
+    )
+    keys = ["id", "rk"] if order_col is None else ["place", "id", "rk"]
     (
-        keyed(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-        .repartitionByRange("id", "rk").sortWithinPartitions("id", "rk").select("id", "text")
+        named.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "text")
         .mapInArrow(encode, SEGMENTS)
         .write.parquet(path)
     )
