@@ -2,98 +2,151 @@
 
 Made for byte-level BPE with the usual split into words: a blank (or one line
 end) between two visible characters always starts a new piece, and so does an
-ASCII sign after a letter.  Texts are cut only at such places, each distinct
-piece is encoded once per worker, and a text with any other white space goes to
-the library whole.  The ids equal those of the whole text.
+ASCII sign after a letter.  Texts are cut only at such places, pieces met before
+are not encoded again, and a text with any other white space goes to the library
+whole.  The ids equal those of the whole text.
 """
 
 from __future__ import annotations
 
 from struct import pack
 
-REMEMBERED = 600_000  # pieces a worker keeps before it starts anew
+import numpy as np
+
+REMEMBERED = 400_000  # pieces of a generation; a worker keeps the newest two
+_AT_ONCE = 64  # texts whose new pieces are learnt together
 
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
-def encoder(tokenizer_file: str) -> "Encoder":
-    """The encoder of this worker process."""
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = Encoder(tokenizer_file)
-    return _encoders[tokenizer_file]
+def encoder(tokenizer_file: str, plain_specials: bool = False) -> "Encoder":
+    """The encoder of this worker process; with ``plain_specials`` strings of special tokens are ordinary text."""
+    key = tokenizer_file, plain_specials
+    if key not in _encoders:
+        _encoders[key] = Encoder(tokenizer_file, plain_specials)
+    return _encoders[key]
 
 
 def _bytes(ids) -> bytes:
     return pack(f"<{len(ids)}I", *ids)
 
 
-class _Known(dict):
-    """Ids of pieces, learnt when first asked for."""
-
-    def __init__(self, learn):
-        self.learn = learn
-
-    def __missing__(self, piece: str):
-        found = self[piece] = self.learn(piece)
-        return found
+class Encoder:
+    """Ids of texts, put together from those of their pieces.
 
+    Rare pieces are forgotten again: those asked for since the last full
+    generation are kept, and the generation before.
+    """
 
-class Encoder:
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, plain_specials: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = t = Tokenizer.from_file(tokenizer_file)
+        t.encode_special_tokens = plain_specials
         self.by_piece = (
             t.normalizer is None and isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel)
             and not t.pre_tokenizer.add_prefix_space and type(t.model).__name__ == "BPE"
         )
-        self.tokenize = t.model.tokenize
-        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = lambda text: letters.pre_tokenize_str(text)[0][0]
-        self.blank = self.letters(" ")
-        self.known = _Known(self._learn)
-        self.heads = _Known(self._head)
-        self.tails = _Known(lambda signs: self.whole([signs])[0])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        if self.by_piece:
+            # one character of a byte-level entry is one byte
+            self.widths = np.zeros(t.get_vocab_size(), np.int64)
+            for entry, number in t.get_vocab().items():
+                self.widths[number] = len(entry)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _head(self, piece: str) -> bytes:
-        """A run of letters, with its blank before it if it has one."""
-        if piece.isascii():
-            letters = self.blank + piece[1:] if piece[0] == " " else piece
-        else:
-            letters = self.letters(piece)
-        ids = [t.id for t in self.tokenize(letters)]
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, piece: str) -> bytes | None:
-        """Ids of a piece: 'x' stands for ' x', '\\nx' for itself; None if it can't be cut out."""
-        line = piece[:1] == "\n"
-        body = piece[1:] if line else piece
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            if len(self.tails) > REMEMBERED:
+                self.tails.clear()
+            self.tails[signs] = self.whole([signs])[0]
+        return self.tails[signs]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Ids of runs of letters with a blank before each: encoded as one text and cut where the words end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.widths[ids])
+        stops = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words])
+        cuts = np.searchsorted(ends, stops)
+        if not (ends[cuts] == stops).all():
+            raise ValueError("the split of this tokenizer does not end with a word")
+        raw, start = ids.tobytes(), 0
+        for word, cut in zip(words, (4 * (cuts + 1)).tolist()):
+            self.known[word] = raw[start:cut]
+            start = cut
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Learns pieces: 'x' stands for ' x', '\\nx' for itself; what can't be cut out becomes None."""
+        words, rest = [], []
+        for piece in pieces:
+            if (found := self.older.get(piece)) is not None:
+                self.known[piece] = found
+            elif piece.isalpha():
+                words.append(piece)
+            else:
+                rest.append(piece)
+        heads = {}
+        for piece in rest:
+            body = piece[1:] if piece[:1] == "\n" else piece
+            if body and not body[0].isspace() and not body[-1].isspace() and (head := body.rstrip(_SIGNS)).isalpha() and body is piece:
+                heads[piece] = head
+        words += {h for h in heads.values() if h not in self.known and h not in pieces}
+        if words:
+            self._learn_words(words)
+        for piece in rest:
+            self.known[piece] = self._put_together(piece, heads.get(piece))
+
+    def _put_together(self, piece: str, head: str | None) -> bytes | None:
+        if head is not None:
+            return self.known[head] + self._tail(piece[len(head):])
+        body = piece[1:] if piece[:1] == "\n" else piece
         if not body or body[0].isspace() or body[-1].isspace():
             return None
-        head = body.rstrip(_SIGNS)
-        if not head.isalpha():
-            return self.whole([piece if line else " " + piece])[0]
-        ids = self.tails["\n"] + self.heads[head] if line else self.heads[" " + head]
-        return ids + self.tails[body[len(head):]] if len(head) < len(body) else ids
+        return self.whole([piece if body is not piece else " " + piece])[0]
+
+    def _pieced(self, texts: list[str], prefix: str, skip: int) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), _AT_ONCE):
+            pieces, ends = [], []
+            for text in texts[at : at + _AT_ONCE]:
+                pieces += (prefix + text).replace("\n", " \n")[len(prefix):].split(" ")
+                ends.append(len(pieces))
+            got = list(map(self.known.get, pieces))
+            gaps = [k for k, ids in enumerate(got) if ids is None]
+            if gaps:
+                self._learn({pieces[k] for k in gaps})
+                for k in gaps:
+                    got[k] = self.known[pieces[k]]
+            start = 0
+            for text, end in zip(texts[at : at + _AT_ONCE], ends):
+                try:
+                    out.append(b"".join(got[start:end])[skip:])
+                except TypeError:
+                    out.append(None)
+                start = end
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_piece:
             return self.whole(texts)
-        known, out, skip = self.known.__getitem__, [], len(self.tails["\n"])
-        for text in texts:
-            if max(len(self.known), len(self.heads), len(self.tails)) > REMEMBERED:
-                self.known.clear(), self.heads.clear(), self.tails.clear()
-            try:
-                # the first piece has no blank before it: it gets a line end, which is taken off again
-                out.append(b"".join(map(known, ("\n" + text).replace("\n", " \n")[1:].split(" ")))[skip:] if text else b"")
-            except TypeError:
-                out.append(self.whole([text])[0])
-        return out
+        # the first piece has no blank before it: it gets a line end, which is taken off again
+        found = self._pieced(texts, "\n", len(self._tail("\n")))
+        return [b"" if not text else self.whole([text])[0] if ids is None else ids for text, ids in zip(texts, found)]
+
+    def encode_after_blank(self, texts: list[str]) -> list[bytes]:
+        """The same of each text with a blank put before it."""
+        if not self.by_piece:
+            return self.whole([" " + text for text in texts])
+        found = self._pieced(texts, "", 0)
+        return [self.whole([" " + text])[0] if ids is None else ids for text, ids in zip(texts, found)]

@@ -19,6 +19,7 @@ never spans two segments.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -43,10 +44,11 @@ SEGMENTS = (
 
 def pack_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low = int(values.min())
-    rest = (values - np.uint32(low)).astype(np.uint32)
-    width = int(np.percentile(rest, percentile, method="higher")).bit_length()
+    rest = (values - np.uint32(low)).astype("<u4")
+    at = math.ceil((len(rest) - 1) * percentile / 100)
+    width = int(np.partition(rest, at)[at]).bit_length()
     wide = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = ((rest[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
     return b"".join((
         struct.pack("<IBHH", low, width, len(wide), len(values)),
         np.packbits(bits.ravel(), bitorder="little").tobytes(),
@@ -58,8 +60,9 @@ def pack_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
 def unpack_block(data: memoryview) -> np.ndarray:
     low, width, wide, n = struct.unpack_from("<IBHH", data)
     at, size = 9, (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little")
-    values = (bits.reshape(n, width).astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
+    values = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
     at += size
     if wide:
         places = np.frombuffer(data, "<u2", wide, at)
