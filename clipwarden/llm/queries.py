@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import curriculum, decontaminate, licenses, line_dedup, maxscore, quality, repeats, simhash, token_files, tool_calls
+from . import curriculum, decontaminate, divergence, licenses, line_dedup, maxscore, quality, repeats, simhash, token_files, tool_calls
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,3 +236,29 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies", "positions"
     )
+
+
+@query(
+    "op11_source_divergence",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS (SELECT lang, term, sum(n) AS n FROM o GROUP BY ALL HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, count(*) AS v, sum(n) AS total FROM v GROUP BY lang),
+totals AS (SELECT g.lang, g.source, coalesce(sum(o.n) FILTER (v.term IS NOT NULL), 0) AS total FROM g LEFT JOIN o USING (lang, source)
+  LEFT JOIN v ON v.lang = o.lang AND v.term = o.term GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q FROM v JOIN kept USING (lang)),
+p AS (SELECT t.lang, t.source, v.term, coalesce(o.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 5)) // (t.total + 5 * kept.v) AS p
+  FROM totals t JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN o ON o.lang = t.lang AND o.source = t.source AND o.term = v.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+more AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT *, 'term', row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM more)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+""",
+)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
