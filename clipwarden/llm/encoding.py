@@ -150,3 +150,81 @@ class Encoder:
             return self.whole([" " + text for text in texts])
         found = self._pieced(texts, "", 0)
         return [self.whole([" " + text])[0] if ids is None else ids for text, ids in zip(texts, found)]
+
+
+_BLANK = "▁"  # how a sentence-piece model writes a blank
+_piece_encoders: dict[str, "PieceEncoder"] = {}
+
+
+def piece_encoder(model_file: str) -> "PieceEncoder":
+    """The sentence-piece encoder of this worker process."""
+    if model_file not in _piece_encoders:
+        _piece_encoders[model_file] = PieceEncoder(model_file)
+    return _piece_encoders[model_file]
+
+
+class PieceEncoder:
+    """Ids by a sentence-piece BPE model that puts a blank before each text.
+
+    Where no entry of the vocabulary holds a blank behind another sign, no merge
+    crosses the place before a blank, and words separated by single blanks are
+    encoded once while they are remembered.  Other texts go to the library whole.
+    """
+
+    def __init__(self, model_file: str):
+        import sentencepiece
+
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self.entries = [
+            bytes([int(m.id_to_piece(i)[3:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(_BLANK, " ").encode()
+            for i in range(m.get_piece_size())
+        ]
+        self.starts = np.array([m.id_to_piece(i)[:1] == _BLANK for i in range(m.get_piece_size())])
+        self.by_word = not any(_BLANK in m.id_to_piece(i).lstrip(_BLANK) for i in range(m.get_piece_size()))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [_bytes(ids) for ids in self.model.encode(texts, num_threads=1)]
+
+    def _learn(self, words: set[str]) -> None:
+        new = []
+        for word in words:
+            if (found := self.older.get(word)) is not None:
+                self.known[word] = found
+            else:
+                new.append(word)
+        if not new:
+            return
+        ids = np.array(self.model.encode(" ".join(new)), "<u4")
+        cuts = np.flatnonzero(self.starts[ids])
+        if len(cuts) == len(new) and cuts[0] == 0:
+            raw = ids.tobytes()
+            bounds = (4 * np.r_[cuts, len(ids)]).tolist()
+            self.known.update(zip(new, (raw[a:b] for a, b in zip(bounds, bounds[1:]))))
+        else:
+            self.known.update(zip(new, self.whole(new)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), _AT_ONCE):
+            words, ends = [], []
+            for text in texts[at : at + _AT_ONCE]:
+                parts = text.split(" ")
+                if self.by_word and "" not in parts and _BLANK not in text:
+                    words += parts
+                ends.append(len(words))
+            got = list(map(self.known.get, words))
+            gaps = [k for k, ids in enumerate(got) if ids is None]
+            if gaps:
+                self._learn({words[k] for k in gaps})
+                for k in gaps:
+                    got[k] = self.known[words[k]]
+            start = 0
+            for text, end in zip(texts[at : at + _AT_ONCE], ends):
+                out.append(b"".join(got[start:end]) if end > start else self.whole([text])[0])
+                start = end
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
+        return out
