@@ -208,6 +208,8 @@ def aligned(docs: DataFrame, bpe_file: str, piece_file: str, id_col: str = "doc_
                         names,
                     )
                     row += len(side)
+        aligner.a.rest()
+        aligner.b.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run,

@@ -13,7 +13,7 @@ from struct import pack
 
 import numpy as np
 
-REMEMBERED = 400_000  # pieces of a generation; a worker keeps the newest two
+REMEMBERED = 300_000  # pieces of a generation; a worker keeps the newest two
 _AT_ONCE = 64  # texts whose new pieces are learnt together
 
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -70,9 +70,11 @@ class Encoder:
             self.tails[signs] = self.whole([signs])[0]
         return self.tails[signs]
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Ids of runs of letters with a blank before each: encoded as one text and cut where the words end."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn_words(self, words: list[str], before: str, known: dict[str, bytes]) -> None:
+        """Ids of runs of letters with a blank or line end before each: encoded as one text and cut where the words end."""
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([before + before.join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.widths[ids])
         stops = np.cumsum([len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words])
         cuts = np.searchsorted(ends, stops)
@@ -80,12 +82,12 @@ class Encoder:
             raise ValueError("the split of this tokenizer does not end with a word")
         raw, start = ids.tobytes(), 0
         for word, cut in zip(words, (4 * (cuts + 1)).tolist()):
-            self.known[word] = raw[start:cut]
+            known[word] = raw[start:cut]
             start = cut
 
     def _learn(self, pieces: set[str]) -> None:
         """Learns pieces: 'x' stands for ' x', '\\nx' for itself; what can't be cut out becomes None."""
-        words, rest = [], []
+        words, rest, lines = [], [], {}
         for piece in pieces:
             if (found := self.older.get(piece)) is not None:
                 self.known[piece] = found
@@ -95,22 +97,27 @@ class Encoder:
                 rest.append(piece)
         heads = {}
         for piece in rest:
-            body = piece[1:] if piece[:1] == "\n" else piece
-            if body and not body[0].isspace() and not body[-1].isspace() and (head := body.rstrip(_SIGNS)).isalpha() and body is piece:
+            line = piece[:1] == "\n"
+            body = piece[1:] if line else piece
+            if body and not body[0].isspace() and not body[-1].isspace() and (head := body.rstrip(_SIGNS)).isalpha():
                 heads[piece] = head
-        words += {h for h in heads.values() if h not in self.known and h not in pieces}
-        if words:
-            self._learn_words(words)
+                if line:
+                    lines[head] = b""
+        words += {h for p, h in heads.items() if p[0] != "\n" and h not in self.known and h not in pieces}
+        self._learn_words(words, " ", self.known)
+        self._learn_words(list(lines), "\n", lines)
         for piece in rest:
-            self.known[piece] = self._put_together(piece, heads.get(piece))
+            self.known[piece] = self._put_together(piece, heads.get(piece), lines)
 
-    def _put_together(self, piece: str, head: str | None) -> bytes | None:
+    def _put_together(self, piece: str, head: str | None, lines: dict[str, bytes]) -> bytes | None:
+        line = piece[:1] == "\n"
+        body = piece[1:] if line else piece
         if head is not None:
-            return self.known[head] + self._tail(piece[len(head):])
-        body = piece[1:] if piece[:1] == "\n" else piece
+            ids = lines[head] if line else self.known[head]
+            return ids + self._tail(body[len(head):]) if len(body) > len(head) else ids
         if not body or body[0].isspace() or body[-1].isspace():
             return None
-        return self.whole([piece if body is not piece else " " + piece])[0]
+        return self.whole([piece if line else " " + piece])[0]
 
     def _pieced(self, texts: list[str], prefix: str, skip: int) -> list[bytes]:
         out = []
@@ -136,6 +143,10 @@ class Encoder:
                 self.known, self.older = {}, self.known
         return out
 
+    def rest(self) -> None:
+        """At the end of a task: only the newest pieces stay in the memory of the waiting worker."""
+        self.older = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_piece:
@@ -205,6 +216,9 @@ class PieceEncoder:
         else:
             self.known.update(zip(new, self.whole(new)))
 
+    def rest(self) -> None:
+        self.older = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []

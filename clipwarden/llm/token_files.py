@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .encoding import encoder
-from .text import LAST_ID, plain_id, row_key, shared_folder, small_batches
+from .text import LAST_ID, plain_id, row_key, shared_folder
 
 MAGIC = b"CWT1"
 BLOCK = 1024
@@ -113,7 +113,8 @@ def write_token_files(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = encoder(tokenizer_file).encode
+        own = encoder(tokenizer_file)
+        encode_texts = own.encode
         end, part, number = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0
         ids, docs_in, size = [], [], 0
 
@@ -128,19 +129,19 @@ def write_token_files(
             )
 
         for batch in batches:
-            names, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(names), 64):
-                for name, got in zip(names[at : at + 64], encode_texts(texts[at : at + 64])):
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for name, got in zip(part.column("id").to_pylist(), encode_texts(part.column("text").to_pylist())):
                     ids.extend((got, end))
                     docs_in.append({"id": name, "n": len(got) // 4 + 1})
                     size += len(got) // 4 + 1
                     if size >= segment:
                         yield closed()
                         number, ids, docs_in, size = number + 1, [], [], 0
+        own.rest()
         if ids:
             yield closed()
 
-    small_batches(docs.sparkSession)
     place = F.lit(0) if order_col is None else F.col(order_col)
     named = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), row_key(id_col, text_col).alias("rk"),
