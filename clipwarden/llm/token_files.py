@@ -130,8 +130,8 @@ def write_token_files(
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for name, got in zip(part.column("id").to_pylist(), encode_texts(part.column("text").to_pylist())):
+                few = batch.slice(at, 64)
+                for name, got in zip(few.column("id").to_pylist(), encode_texts(few.column("text").to_pylist())):
                     ids.extend((got, end))
                     docs_in.append({"id": name, "n": len(got) // 4 + 1})
                     size += len(got) // 4 + 1
