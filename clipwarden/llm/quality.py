@@ -13,10 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import blank_words, keyed, small_batches
+from .text import blank_words, keyed
 
 SAMPLE_ROWS = 5_000  # labelled rows the fit looks at, at most
 MIN_ROWS = 8  # a word of fewer sampled rows gets no weight; of small samples down to 3, one row in 500
@@ -45,11 +46,10 @@ def word_marks(text: Column) -> Column:
     )
 
 
-def _flat(arrays) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Values of all rows and the number of each."""
-    sizes = np.fromiter((0 if a is None else len(a) for a in arrays), np.int64, len(arrays))
-    full = [np.asarray(a) for a in arrays if a is not None and len(a)]
-    return (np.concatenate(full) if full else np.empty(0, np.int64)), sizes
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    return np.asarray(lists.flatten()), sizes
 
 
 def band_features(keys: np.ndarray, marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -185,8 +185,11 @@ def fit_on(
         .orderBy("id").limit(sample_rows).toArrow()
     )
     sizes = np.diff(_offsets(rows.column("k")))
-    flat = lambda name, kind: _values(rows.column(name)).astype(kind)
-    return fit(flat("k", np.int64), flat("m", np.int64), sizes, np.asarray(rows.column("grade").to_numpy(), np.int64), **options)
+    keys, marks = (_values(rows.column(c)).astype(np.int64) for c in ("k", "m"))
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return fit(keys, marks, sizes, grades, **options)
 
 
 def _offsets(column) -> np.ndarray:
@@ -205,16 +208,16 @@ def _values(column) -> np.ndarray:
 def score_columns(model: OrdinalModel, text_col: str = "text") -> Column:
     """A struct of expected_grade and tail (the probability of the highest grade)."""
 
-    @F.pandas_udf("expected_grade double, tail double")
-    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<expected_grade: double, tail: double>")
+    def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for keys, marks in batches:
-            parts = []
+            parts = [np.empty((0, GRADES - 1))]
             for at in range(0, len(keys), 1000):
-                k, sizes = _flat(keys.values[at : at + 1000])
-                m, _ = _flat(marks.values[at : at + 1000])
+                k, sizes = _flat(keys.slice(at, 1000))
+                m, _ = _flat(marks.slice(at, 1000))
                 parts.append(model.above(model.scores(k, m.astype(np.int64), sizes)))
-            above = np.concatenate(parts) if parts else np.empty((0, GRADES - 1))
-            yield pd.DataFrame({"expected_grade": above.sum(axis=1), "tail": above[:, -1]})
+            above = np.concatenate(parts)
+            yield pa.StructArray.from_arrays([pa.array(above.sum(axis=1)), pa.array(above[:, -1])], ["expected_grade", "tail"])
 
     return scored(word_keys(F.col(text_col)), word_marks(F.col(text_col)))
 
@@ -225,7 +228,6 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
     A null text is graded as the empty text; null ids stay null; repeated rows
     get equal grades.
     """
-    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), score_columns(model, text_col).alias("_s")).select(
         "doc_id", "_s.expected_grade", F.col("_s.tail").alias("tail_probability"), (F.col("_s.tail") >= keep).alias("keep")
     )
@@ -233,5 +235,4 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
 
 def keep_good(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: float = KEEP_AT_LEAST) -> DataFrame:
     """The documents whose probability of the highest grade is at least ``keep``, with their own columns."""
-    small_batches(docs.sparkSession)
     return docs.withColumn("_cw_grade", score_columns(model, text_col)).filter(F.col("_cw_grade.tail") >= keep).select(*docs.columns)

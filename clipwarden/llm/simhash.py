@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .graph import components
-from .text import LAST_ID, ascii_lower, blank_words, keyed, let, plain_id, row_key, small_batches, stored
+from .text import LAST_ID, ascii_lower, blank_words, keyed, let, plain_id, row_key, stored
 
 BITS_APART = 3
 SHINGLE = 3
@@ -59,15 +59,16 @@ def _bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = batch.column("hashes")
-        sizes = np.diff(np.asarray(hashes.offsets)).astype(np.int64)
-        fp = _bits(np.asarray(hashes.flatten()).view(np.uint64), sizes)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("rk"), pa.array(fp)], ["id", "rk", "fp"])
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            hashes = part.column("hashes")
+            sizes = np.diff(np.asarray(hashes.offsets)).astype(np.int64)
+            fp = _bits(np.asarray(hashes.flatten()).view(np.uint64), sizes)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rk"), pa.array(fp)], ["id", "rk", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rk, fp); texts without words, and nulls, have fingerprint zero."""
-    small_batches(docs.sparkSession)
     return (
         keyed(docs, id_col, text_col).select("id", "rk", shingle_hashes(F.col("text")).alias("hashes"))
         .mapInArrow(_fingerprints, "id bigint, rk bigint, fp bigint")

@@ -90,10 +90,3 @@ def written_place(df: DataFrame, name: str) -> DataFrame:
     file = F.col("_metadata.file_name")
     number = F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long")
     return df.withColumn(name, F.struct(number.alias("number"), file.alias("file"), F.col("_metadata.row_index").alias("row")))
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds what a Python worker holds of long texts at once; a session with a smaller setting keeps it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
