@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..streaming import online as O
+from ..streaming import online as O, ordered
 from ..streaming.run import run_available
 from .inputs import BOXES_SQL, EPOCH_MICROS, INDEXED_SQL, TRUTH_SQL, table, truth
 from .registry import query
@@ -34,6 +34,15 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+DAY_S = 86400
+
+
+def track_stream(spark: SparkSession, d: str, least: float) -> DataFrame:
+    """The boxes of the event stream, marked where they are sure enough."""
+    track = F.when(F.col("event_type").isin("click", "view", "error"), 1).otherwise(2).cast("long")
+    return event_stream(spark, d).select("clip", "ts", "t", track.alias("track"), (F.col("smoke") >= least).alias("qualified"))
+
+
 @query("stream_onset", f"WITH {INDEXED_SQL}, {frame_onset_sql('six', 'fire >= 0.2e0', 4, 6)} SELECT clip, onset, fired_at FROM onsets")
 def stream_onset(spark, d):
     s = event_stream(spark, d).select("clip", "t", (F.col("fire") >= 0.2).alias("hit"))
@@ -46,14 +55,13 @@ def stream_onset(spark, d):
     isl AS (SELECT *, idx - row_number() OVER (PARTITION BY clip, track ORDER BY idx) AS g FROM q), pos AS (SELECT *, row_number() OVER (PARTITION BY clip, track, g ORDER BY idx) AS p FROM isl),
     entry AS (SELECT clip, track, min(t) AS det_t FROM pos WHERE p = 2 GROUP BY clip, track), times AS (SELECT clip, det_t, max(det_t) AS v FROM entry GROUP BY clip, det_t),
     nx AS (SELECT *, lead(det_t) OVER (PARTITION BY clip ORDER BY det_t) AS nxt FROM times),
-    final AS (SELECT clip, min(det_t) AS stop FROM nx WHERE EXISTS (SELECT 1 FROM bix s WHERE s.clip = nx.clip AND s.t - nx.det_t >= 24 AND (nxt IS NULL OR s.t < nxt)) GROUP BY clip)
+    final AS (SELECT clip, min(det_t) AS stop FROM nx WHERE nxt IS NULL OR EXISTS (SELECT 1 FROM bix s WHERE s.clip = nx.clip AND s.t - nx.det_t >= 24 AND s.t < nxt) GROUP BY clip)
     SELECT times.clip, max(v) AS alarm FROM times JOIN final ON final.clip = times.clip AND det_t <= stop GROUP BY times.clip""",
 )
 def stream_entrants(spark, d):
-    b = event_stream(spark, d).select(
-        "clip", "t", F.when(F.col("event_type").isin("click", "view", "error"), 1).otherwise(2).alias("track"), (F.col("smoke") >= 0.5).alias("qualified")
-    )
-    return run_available(O.online_stays(b, need=2, gap=0, settle_s=24.0))[0]
+    """Alarms also of clips that end while the wait for a last entrant goes on."""
+    alarms, _ = ordered.run_to_the_end(lambda b: ordered.live_stays(b, 2, 0, 24.0, late_s=2 * DAY_S, idle_s=2 * DAY_S), track_stream(spark, d, 0.5))
+    return alarms.filter("kind = 'alarm'").select("clip", F.col("value").alias("alarm"))
 
 
 @query(
@@ -63,14 +71,45 @@ def stream_entrants(spark, d):
     pos AS (SELECT *, row_number() OVER (PARTITION BY clip, track, g ORDER BY idx) AS p, min(t) OVER (PARTITION BY clip, track, g) AS since FROM isl),
     det AS (SELECT clip, track, arg_min(since, idx) AS since, min(t) AS det_t FROM pos WHERE p >= 6 GROUP BY clip, track), times AS (SELECT clip, det_t, max(since) AS v FROM det GROUP BY clip, det_t),
     nx AS (SELECT *, lead(det_t) OVER (PARTITION BY clip ORDER BY det_t) AS nxt FROM times),
-    final AS (SELECT clip, min(det_t) AS stop FROM nx WHERE EXISTS (SELECT 1 FROM bix s WHERE s.clip = nx.clip AND s.t - nx.det_t >= 5 AND (nxt IS NULL OR s.t < nxt)) GROUP BY clip)
+    final AS (SELECT clip, min(det_t) AS stop FROM nx WHERE nxt IS NULL OR EXISTS (SELECT 1 FROM bix s WHERE s.clip = nx.clip AND s.t - nx.det_t >= 5 AND s.t < nxt) GROUP BY clip)
     SELECT times.clip, max(v) + 10 AS alarm FROM times JOIN final ON final.clip = times.clip AND det_t <= stop GROUP BY times.clip""",
 )
 def stream_loiterers(spark, d):
-    b = event_stream(spark, d).select(
-        "clip", "t", F.when(F.col("event_type").isin("click", "view", "error"), 1).otherwise(2).alias("track"), (F.col("smoke") >= 0.2).alias("qualified")
+    alarms, _ = ordered.run_to_the_end(
+        lambda b: ordered.live_stays(b, 6, 2, 5.0, delay=10.0, value="since", late_s=2 * DAY_S, idle_s=2 * DAY_S), track_stream(spark, d, 0.2)
+    )
+    return alarms.filter("kind = 'alarm'").select("clip", F.col("value").alias("alarm"))
+
+
+LATE_S = 15 * DAY_S
+
+
+@query(
+    "stream_ordered_onset",
+    f"""WITH ev AS (SELECT user_id AS clip, event_id, epoch_us(ts) AS us, CAST(epoch_us(ts) - {EPOCH_MICROS} AS DOUBLE) / 3.6e9 AS t, value / 250e0 AS fire FROM events),
+    lost AS (SELECT clip, event_id, us FROM ev JOIN (SELECT clip, max(us) AS high FROM ev WHERE event_id % 97 <> 0 GROUP BY clip) USING (clip)
+      WHERE event_id % 97 = 0 AND us < high - {LATE_S * 1000000}),
+    six AS (SELECT clip, t, fire, row_number() OVER (PARTITION BY clip ORDER BY t) - 1 AS idx FROM ev WHERE event_id NOT IN (SELECT event_id FROM lost)),
+    {frame_onset_sql('six', 'fire >= 0.2e0', 4, 6)}
+    SELECT clip, 'alarm' AS kind, onset AS value, fired_at, NULL::BIGINT AS us FROM onsets UNION ALL SELECT clip, 'late', NULL, NULL, us FROM lost""",
+)
+def stream_ordered_onset(spark, d):
+    """Samples out of order, in six arrivals: onsets as if in order, and the samples that came too late for that.
+
+    Of each half of the time, every second sample comes after the others; each
+    97th sample comes after everything else.
+    """
+    ev = table(spark, d, "events")
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") if dict(ev.dtypes)["ts"] == "timestamp_ntz" else F.unix_micros("ts")
+    t = (us - F.lit(EPOCH_MICROS)) / F.lit(3.6e9)
+    half, last = F.when(t < 360, 0).otherwise(2), F.col("event_id") % 97 == 0
+    rows = ev.select(
+        F.col("user_id").alias("clip"), F.timestamp_micros(us).alias("ts"), t.alias("t"), (F.col("value") / 250.0 >= 0.2).alias("hit"),
+        F.when(last, 4).otherwise(half + F.col("event_id") % 2).alias("_arrival"),
     )
-    return run_available(O.online_stays(b, need=6, gap=2, settle_s=5.0, delay=10.0, value="since"))[0]
+    arrivals = [rows.filter(F.col("_arrival") == k).drop("_arrival") for k in range(5)]
+    got, _ = ordered.run_to_the_end(lambda s: ordered.live_onsets(s, 4, 6, late_s=LATE_S, idle_s=DAY_S, horizon_s=400 * DAY_S), arrivals=arrivals)
+    return got.select("clip", "kind", "value", "fired_at", F.unix_micros("ts").alias("us"))
 
 
 @query("stream_tracks")

@@ -63,55 +63,6 @@ def online_onset(samples: DataFrame, n: int, m: int, key_type: str = "long") ->
     )
 
 
-def online_stays(
-    boxes: DataFrame, need: int, gap: int, settle_s: float, delay: float = 0.0, value: str = "at", key_type: str = "long"
-) -> DataFrame:
-    """Entrants (``gap=0``) or loiterers, with the wait for a last one.
-
-    ``boxes`` has ``clip, t, track, qualified``: one row per box, and one row
-    with a NULL track for a sample without boxes, as time must pass.  The alarm
-    is emitted when ``settle_s`` seconds brought no new detection.
-    """
-
-    def step(key, batches, state: GroupState):
-        s = _load(state, lambda: {"seen": 0, "last_t": None, "runs": {}, "found": [], "latest": None, "last_new": None, "done": False})
-        if s["done"]:
-            for _ in batches:
-                pass
-            return
-        rows = _ordered(batches, ["t"])
-        alarm = None
-        times, tracks, flags = rows["t"].tolist(), rows["track"].tolist(), rows["qualified"].tolist()
-        i = 0
-        while i < len(times) and alarm is None:
-            t = times[i]
-            s["seen"] += 1
-            while i < len(times) and times[i] == t:
-                if flags[i] is True or flags[i] == 1:
-                    name = str(tracks[i])
-                    run = s["runs"].get(name)
-                    if run is None or s["seen"] - run["at"] - 1 > gap:
-                        run = {"n": 0, "since": t, "at": s["seen"]}
-                    run = {"n": run["n"] + 1, "since": run["since"], "at": s["seen"]}
-                    s["runs"][name] = run
-                    if run["n"] >= need and name not in s["found"]:
-                        s["found"].append(name)
-                        v = t if value == "at" else run["since"]
-                        s["latest"] = v if s["latest"] is None else max(s["latest"], v)
-                        s["last_new"] = t
-                i += 1
-            if s["latest"] is not None and t - s["last_new"] >= settle_s:
-                alarm = s["latest"] + delay
-        # runs that cannot go on are forgotten
-        s["runs"] = {k: r for k, r in s["runs"].items() if s["seen"] - r["at"] <= gap + 1}
-        if alarm is not None:
-            s["done"], s["runs"] = True, {}
-            yield pd.DataFrame({"clip": [key[0]], "alarm": [alarm]})
-        state.update((json.dumps(s),))
-
-    return boxes.groupBy("clip").applyInPandasWithState(step, f"clip {key_type}, alarm double", _STATE, "append", _TIMEOUT)
-
-
 def online_tracks(boxes: DataFrame, key_type: str = "long") -> DataFrame:
     """The box tracker on live samples: ``clip, idx, box_no, conf`` and corners in, track numbers out."""
     names = ("x1", "y1", "x2", "y2")
