@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import iou
 from ..session import checkpoint
-from .ordered import running_many
+from .ordered import in_even_buckets, running_many
 
 IOU_LEVELS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))  # fixed values
 
@@ -67,16 +67,18 @@ def average_precision(
     """Area under the interpolated precision envelope per class and level.
 
     The recall-precision curve starts at (0, 1), ends at (1, 0), is read at 101
-    evenly spaced recalls and integrated by trapezoids.  Detections of a class
-    are ranked in confidence buckets, so a class that holds most detections is
-    still spread over many tasks; all levels share the ranking.
+    evenly spaced recalls and integrated by trapezoids.  Detections are ranked
+    in buckets of about equal size, whatever their confidences: a class or a
+    single confidence that holds most of them is still spread over many tasks.
+    All levels share the ranking.
     """
     n = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     spread = range(len(levels))
     # the ranking is read by two passes, each in two parts
-    ranking = checkpoint(judged.select("cls", (-F.col("conf")).alias("_rank"), "image", "det_id", "hits"))
     order = ["_rank", "image", "det_id"]
-    bucket = F.floor(F.col("_rank") * 1000).cast("long")
+    ranking = judged.select("cls", (-F.col("conf")).alias("_rank"), "image", "det_id", "hits")
+    ranking = checkpoint(in_even_buckets(ranking, ["cls", *order], "_part"))
+    bucket = F.col("_part")
     hit = lambda v: F.array_contains("hits", F.lit(v)).cast("long")
     sums = {f"c{i}": hit(levels[i]) for i in spread}
     sums["found"] = F.lit(1).cast("long")

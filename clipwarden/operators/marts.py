@@ -6,15 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-
+from .ordered import order_statistic
 
 
 def dataset_stats(boxes: DataFrame, by: Sequence[str] = ("cls",), area: str = "area", small: float = 0.01) -> DataFrame:
     """Boxes per class: count, median area, share of small ones."""
-    return boxes.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("boxes"), F.percentile(area, F.lit(0.5)).alias("median_area"),
-        F.avg((F.col(area) < small).cast("double")).alias("small_share"),
-    )
+    counts = boxes.groupBy(*by).agg(F.count(F.lit(1)).alias("boxes"), F.avg((F.col(area) < small).cast("double")).alias("small_share"))
+    median = order_statistic(boxes, by, area, 0.5, "median_area").select(F.struct(*by).alias("_key"), "median_area")
+    return counts.withColumn("_key", F.struct(*by)).join(median, "_key", "left").select(*by, "boxes", "median_area", "small_share")
 
 
 def top_resolutions(images: DataFrame, k: int = 4) -> DataFrame:

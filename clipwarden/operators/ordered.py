@@ -14,10 +14,14 @@ clip into pieces of bounded size that any executor can process on its own:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import checkpoint
+
+CELLS = 1 << 16  # counters of a group in one pass of an order statistic
 PIECE = 4096  # samples in a piece: about 34 minutes at two samples a second
 
 
@@ -42,6 +46,15 @@ def hash_bucket(key: str | Column, hex_digits: int = 3) -> Column:
     return F.substring(key if isinstance(key, Column) else F.col(key), 1, hex_digits)
 
 
+def in_even_buckets(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Adds a bucket number that never decreases along ``order``, with about as many rows in each bucket.
+
+    Spark samples the order for the borders.  Store the result before it is
+    used twice, as another run may draw other borders.
+    """
+    return df.repartitionByRange(*order).withColumn(out, F.spark_partition_id().cast("long"))
+
+
 def running_many(
     df: DataFrame,
     keys: Sequence[str],
@@ -245,6 +258,40 @@ def next_value(
     return carry(df, keys, [order], bucket, F.col(order), out, ahead=True, inclusive=False)
 
 
+def order_statistic(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.5, out: str = "quantile") -> DataFrame:
+    """Exact quantile of a group, interpolated between neighbours: (keys, out).
+
+    Each pass counts the values of a group in ``CELLS`` cells between the bounds
+    known so far and goes on inside the cell of the wanted rank, until that cell
+    holds one value.  A group needs at most ``CELLS`` counters at a time, however
+    many values it has.  Nulls and NaN do not count, infinite values count as the
+    largest finite ones; a group without values gets none.
+    """
+    # one struct as key: groups whose keys hold nulls join like others
+    rows = df.select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    rows = rows.withColumn("_x", F.greatest(F.least("_x", F.lit(sys.float_info.max)), F.lit(-sys.float_info.max)))
+    first = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    at = (F.col("_n") - 1) * F.lit(share)
+    ranks = F.array(F.struct(F.lit(0).alias("_side"), F.floor(at).alias("_rank")), F.struct(F.lit(1).alias("_side"), F.ceil(at).alias("_rank")))
+    state = checkpoint(first.select("_key", (at - F.floor(at)).alias("_part"), "_low", "_high", F.inline(ranks)))
+    # halves, as the width of the whole range may be no finite number
+    width, place = F.col("_high") / 2 - F.col("_low") / 2, F.col("_x") / 2 - F.col("_low") / 2
+    cell = F.when(width > 0, F.least(F.floor(place / width * CELLS), F.lit(CELLS - 1))).otherwise((F.col("_x") > F.col("_low")).cast("long"))
+    names = ["_key", "_side"]
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*names).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    while not (undecided := state.filter("_low < _high")).isEmpty():
+        counted = (
+            rows.join(undecided.select(*names, "_low", "_high"), "_key").filter("_x between _low and _high")
+            .groupBy(*names, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+        )
+        cells = counted.withColumn("_before", before).join(undecided.select(*names, "_rank", "_part"), names)
+        cells = cells.filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+        moved = cells.withColumn("_rank", F.col("_rank") - F.col("_before")).select(state.columns)
+        state = checkpoint(state.filter("_low = _high").unionByName(moved))
+    ends = state.groupBy("_key").agg(*[F.max(F.when(F.col("_side") == k, F.col("_low"))).alias(f"_v{k}") for k in (0, 1)], F.max("_part").alias("_part"))
+    return ends.select("_key.*", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_part")).alias(out))
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank"
 ) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
@@ -153,6 +154,15 @@ def _run_piece(keys: Sequence[str], order: Sequence[str], match: Callable, memor
     return run
 
 
+def _newest(log: list[DataFrame], at: Sequence[str]) -> DataFrame:
+    """The start and the end of each piece, as the last round that ran it left them."""
+    edges = reduce(DataFrame.unionByName, [d.filter(F.col("kind") != _BOX).select(*at, "kind", "round", "created", "state") for d in log])
+    if len(log) == 1:
+        return edges
+    newest = edges.groupBy(*at, "kind").agg(F.max_by(F.struct("round", "created", "state"), "round").alias("_e"))
+    return newest.select(*at, "kind", "_e.round", "_e.created", "_e.state")
+
+
 def _states(results: DataFrame, keys: Sequence[str], piece: int, memory: int) -> DataFrame:
     """The tracks each piece hands to the next one, in position order."""
     # the shifted piece number gets its own step: inside the lambda a new column of
@@ -184,16 +194,20 @@ def link(
     cut = checkpoint(cut.withColumnRenamed("_piece", "piece"))
     schema = _RESULT.format(keys=", ".join(f"{k} {dict(boxes.dtypes)[k]}" for k in keys))
     run = _run_piece(keys, order, match, memory, piece)
-    results = checkpoint(
-        cut.groupBy(*at).applyInPandas(
-            lambda key, rows: run(key, rows, None) if rows["_own"].any() else _nothing(keys), schema
+    # what each round found, with its number: a round writes only the pieces it ran again
+    log = [
+        checkpoint(
+            cut.groupBy(*at).applyInPandas(
+                lambda key, rows: run(key, rows, None) if rows["_own"].any() else _nothing(keys), schema
+            ).withColumn("round", F.lit(0))
         )
-    )
+    ]
     own = cut.filter("_own").drop("_own").withColumn("_own", F.lit(True))
     geometry = F.transform("state", lambda t: F.struct(*[t[c] for c in _GEOMETRY]))
     while True:
-        started = results.filter(F.col("kind") == _START).select(*at, geometry.alias("_old"))
-        states = _states(results, keys, piece, memory)
+        edges = _newest(log, at)
+        started = edges.filter(F.col("kind") == _START).select(*at, geometry.alias("_old"))
+        states = _states(edges, keys, piece, memory)
         given = states.select(*at, geometry.alias("_new"))
         changed = started.join(given, at, "left").withColumn("_new", F.coalesce("_new", F.slice("_old", 1, 0)))
         changed = checkpoint(changed.filter(F.col("_new") != F.col("_old")).select(*at))
@@ -204,7 +218,10 @@ def link(
             .cogroup(states.join(changed, at, "left_semi").groupBy(*at))
             .applyInPandas(run, schema)
         )
-        results = checkpoint(results.join(changed, at, "left_anti").unionByName(again))
+        log.append(checkpoint(again.withColumn("round", F.lit(len(log)))))
+    last = edges.filter(F.col("kind") == _END).select(*at, "round")
+    results = reduce(DataFrame.unionByName, log)
+    results = results.join(last, [*at, "round"]) if len(log) > 1 else results
 
     before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     base = results.filter(F.col("kind") == _END).select(

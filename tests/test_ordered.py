@@ -134,3 +134,31 @@ def test_large_frames_are_suppressed_in_rounds(spark):
                 kept.append(b)
                 want.add((image, b[0]))
     assert whole == want
+
+
+def test_order_statistic_is_exact(spark):
+    import statistics
+
+    from clipwarden.operators.ordered import order_statistic
+
+    rng = random.Random(8)
+    groups = {
+        "same": [3.25] * 50, "two": [1.0, 2.0], "one": [7.5], "odd": [rng.gauss(0, 1) for _ in range(501)], "even": [rng.gauss(0, 1e-3) for _ in range(400)],
+        # most at one value, the rest over all magnitudes
+        "wide": [0.5] * 300 + [10.0 ** rng.uniform(-300, 300) for _ in range(299)], None: [-1.5, 4.0, 4.0, 9.0],
+        "small": [0.0, 5e-324, 1e-323, 1e-323, 1e-310], "large": [-1.7e308, -1.0, 1.0, 1.6e308, 1.7e308],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("none", None), ("odd", None), ("nan", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {r.k: r.quantile for r in order_statistic(df, ["k"], "v").collect()}
+    assert got == {k: statistics.median(v) for k, v in groups.items()}
+    low = {r.k: r.q for r in order_statistic(df, ["k"], "v", 0.0, "q").collect()}
+    assert low == {k: min(v) for k, v in groups.items()}
+
+
+def test_even_buckets_under_one_value(spark):
+    from clipwarden.operators.ordered import in_even_buckets
+
+    df = spark.range(20_000).selectExpr("if(id % 10 = 0, id / 20000D, 0.7D) AS conf", "id % 400 AS image", "id AS det_id")
+    sizes = [r["count"] for r in in_even_buckets(df, ["conf", "image", "det_id"], "b").groupBy("b").count().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
