@@ -108,23 +108,25 @@ def top_k(
     """query_id, rank (from 1), vec_id, score: the k rows with the largest inner product, ties to smaller ids.
 
     A row's own id is no candidate for it.  Rows with a null id, a null vector,
-    or a component that is null or not finite take no part; of several rows
-    with one id the first by vector counts; a shorter vector is filled up with
-    zeros.  Query blocks meet vector shards; both are bounded in rows.
+    or a component that is null or not finite take no part.  Every other row is
+    a candidate, also several with one id, which may fill several ranks; as a
+    query, of several rows with one id the first by vector counts.  A shorter
+    vector is filled up with zeros.  Query blocks meet vector shards; both are
+    bounded in rows.
     """
     rows = (
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), whole_numbers(F.col(vector_col), scale).alias("v"), is_query.alias("_q"))
         .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     )
-    rows = rows.groupBy("vec_id").agg(F.min(F.struct("v", "_q")).alias("_r")).select("vec_id", "_r.v", "_r._q")
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_q"), 1)).alias("m")).first()
-    shards, blocks = max(1, -(-counts["n"] // shard)), max(1, -(-counts["m"] // queries_at_once))
-    spread = F.xxhash64("vec_id")
+    asked = rows.filter("_q").groupBy("vec_id").agg(F.min("v").alias("v"))
+    n, m = rows.count(), asked.count()
+    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // queries_at_once))
+    spread = F.xxhash64("vec_id", "v")
     left = rows.select(
         "vec_id", "v", F.pmod(spread, F.lit(shards)).cast("int").alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
     )
-    right = rows.filter("_q").select(
+    right = asked.select(
         "vec_id", "v", F.pmod(F.shiftright(spread, 24), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     )

@@ -187,25 +187,32 @@ def calls_of(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     "op7_tool_calls",
     r"""
 WITH RECURSIVE c AS (
-  SELECT conv_id AS conv, 'c' || turn AS call, turn, CASE role WHEN 'user' THEN 'search' WHEN 'system' THEN 'configure' ELSE role END AS tool,
+  SELECT conv_id AS conv, 'c' || turn AS call, turn, CASE role WHEN 'user' THEN 'search' WHEN 'system' THEN 'configure' ELSE coalesce(role, '') END AS tool,
     CASE WHEN role = 'system' THEN '{"prompt":' || coalesce(to_json(text), 'null') || '}'
       ELSE '{"first":' || (turn = 0) || ',"length":' || length(coalesce(text, '')) || CASE WHEN turn % 4 = 2 THEN '.5' ELSE '' END
-        || ',"text":' || coalesce(to_json(text), 'null') || '}' END AS arguments, text
-  FROM conversations WHERE role <> 'assistant'
-  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY turn, tool, arguments) = 1),
-r AS (SELECT conv_id AS conv, 'c' || (turn - 1) AS call, arg_min(text, text) AS content, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+        || ',"text":' || coalesce(to_json(text), 'null') || '}' END AS arguments, text,
+    count(*) OVER (PARTITION BY conv_id, turn) AS n_calls
+  FROM conversations WHERE coalesce(role, '') <> 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY tool, coalesce(CAST(to_json(text) AS VARCHAR), 'null')) = 1),
+r AS (SELECT conv_id AS conv, 'c' || (turn - 1) AS call, min(turn) AS turn, arg_min(text, text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 levels AS (
   SELECT a.conv, a.turn, 0 AS level FROM c a LEFT JOIN c b ON a.conv = b.conv AND b.turn = a.turn // 2 AND a.turn > 0 WHERE b.turn IS NULL
   UNION ALL SELECT a.conv, a.turn, l.level + 1 FROM levels l JOIN c a ON a.conv = l.conv AND a.turn // 2 = l.turn AND a.turn > 0),
-p AS (SELECT *, CASE tool
+p AS (SELECT *, list_concat(CASE tool
     WHEN 'configure' THEN CASE WHEN text IS NULL THEN ['prompt: not string'] ELSE [] END
     WHEN 'search' THEN list_concat(CASE WHEN turn % 4 = 2 THEN ['length: not integer'] ELSE [] END,
-      CASE WHEN text IS NULL THEN ['text: not string'] ELSE [] END) ELSE ['unknown tool'] END AS problems FROM c)
-SELECT p.conv, row_number() OVER (PARTITION BY p.conv ORDER BY level, p.turn, p.call) - 1 AS position, p.call, tool, level,
-  len(problems) = 0 AS valid, problems, coalesce(n_results, 0) AS n_results,
-  '{"arguments":' || arguments || ',"id":' || to_json(p.call) || ',"name":' || to_json(tool) || ',"result":' || coalesce(to_json(content), 'null') || '}' AS json
-FROM p JOIN levels USING (conv, turn) LEFT JOIN r ON r.conv = p.conv AND r.call = p.call
+      CASE WHEN text IS NULL THEN ['text: not string'] ELSE [] END) ELSE ['unknown tool'] END,
+    CASE WHEN n_calls > 1 THEN ['repeated call'] ELSE [] END) AS problems FROM c),
+linked AS (
+  SELECT coalesce(p.conv, r.conv) AS conv, coalesce(p.call, r.call) AS call, coalesce(p.turn, r.turn) AS turn, tool, level,
+    CASE WHEN p.call IS NULL THEN ['no call'] ELSE problems END AS problems, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+    '{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(coalesce(p.call, r.call)) || ',"name":' || coalesce(to_json(tool), 'null')
+      || ',"result":' || coalesce(to_json(content), 'null') || '}' AS json
+  FROM (SELECT * FROM p JOIN levels USING (conv, turn)) p FULL JOIN r ON r.conv = p.conv AND r.call = p.call)
+SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY coalesce(level, 2147483647), turn, call) - 1 AS position, call, tool, level,
+  len(problems) = 0 AS valid, problems, n_calls, n_results, json
+FROM linked
 """,
 )
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +235,7 @@ WITH e AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+  FROM (SELECT vec_id, min(v) AS v FROM e WHERE vec_id % 50 = 0 GROUP BY vec_id) q JOIN e c ON c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,

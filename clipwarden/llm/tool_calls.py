@@ -82,28 +82,35 @@ def format_calls(
     results: DataFrame,
     schemas: dict[str, dict[str, tuple[str, bool]]],
 ) -> DataFrame:
-    """One row per call: conv, position, call, tool, level, valid, problems, n_results, json.
+    """One row per identifier of a conversation: conv, position, call, tool, level, valid, problems, n_calls, n_results, json.
 
     ``calls``: conv, call, turn, tool, arguments (JSON text), after (array of
     calls); ``results``: conv, call, turn, content.  ``position`` counts from 0
-    in a conversation, by (level, turn, call); calls without a level come last.
-    Of several calls with one identifier the first by turn counts; of several
-    results the first by (turn, content), and ``n_results`` tells how many there
-    are.  A call without a result has ``result`` null in its JSON; rows with a
-    null conversation or identifier are left out, as nothing can link to them.
+    in a conversation, by (level, turn, call); identifiers without a level come
+    last.  Of several calls with one identifier the first by (turn, tool,
+    arguments) counts and its problems end with "repeated call"; of several
+    results the first by (turn, content).  ``n_calls`` and ``n_results`` tell
+    how many there are.  A call without a result has ``result`` null in its
+    JSON; results without a call are a row of their own with the problem
+    "no call", no tool and no arguments.  Rows with a null conversation or
+    identifier are left out, as nothing can link to them.
     """
     named = calls.filter(F.col("conv").isNotNull() & F.col("call").isNotNull())
     one = named.groupBy("conv", "call").agg(
-        F.min_by(F.struct("turn", "tool", "arguments", "after"), F.struct("turn", "tool", "arguments")).alias("c")
-    ).select("conv", "call", "c.*")
+        F.min_by(F.struct("turn", "tool", "arguments", "after"), F.struct("turn", "tool", "arguments")).alias("c"), F.count(F.lit(1)).alias("n_calls")
+    ).select("conv", "call", "n_calls", "c.*")
     answers = (
         results.filter(F.col("conv").isNotNull() & F.col("call").isNotNull()).groupBy("conv", "call")
-        .agg(F.min_by("content", F.struct("turn", "content")).alias("content"), F.count(F.lit(1)).alias("n_results"))
+        .agg(F.min_by("content", F.struct("turn", "content")).alias("content"), F.min("turn").alias("_turn"), F.count(F.lit(1)).alias("n_results"))
     )
-    linked = one.join(answers.hint("shuffle_hash"), ["conv", "call"], "left")
+    zero = F.lit(0).cast("long")
+    linked = one.join(answers, ["conv", "call"], "full").withColumns({
+        "n_calls": F.coalesce("n_calls", zero), "n_results": F.coalesce("n_results", zero), "turn": F.coalesce("turn", "_turn"),
+    })
     levels = topological_levels(one.select("conv", "call", "after"))
     checked = linked.join(levels, ["conv", "call"], "left").withColumn("_args", F.try_parse_json("arguments"))
-    problems = complaints(F.col("tool"), schemas)
+    repeated = F.when(F.col("n_calls") > 1, F.array(F.lit("repeated call"))).otherwise(F.array().cast("array<string>"))
+    problems = F.when(F.col("n_calls") == 0, F.array(F.lit("no call"))).otherwise(F.concat(complaints(F.col("tool"), schemas), repeated))
     text = F.concat(
         F.lit('{"arguments":'), F.coalesce(F.to_json("_args"), F.lit("null")),
         F.lit(',"id":'), _json_string("call"), F.lit(',"name":'), _json_string("tool"),
@@ -111,8 +118,7 @@ def format_calls(
     )
     rows = stored(
         checked.select(
-            "conv", "call", "tool", "turn", "level", problems.alias("problems"),
-            F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), text.alias("json"),
+            "conv", "call", "tool", "turn", "level", problems.alias("problems"), "n_calls", "n_results", text.alias("json"),
         )
     )
     place = F.coalesce("level", F.lit(2**31 - 1))
@@ -123,7 +129,7 @@ def format_calls(
     )
     return placed.select(
         "conv", F.col("position").cast("long").alias("position"), "call", "tool", "level",
-        (F.size("problems") == 0).alias("valid"), "problems", "n_results", "json",
+        (F.size("problems") == 0).alias("valid"), "problems", "n_calls", "n_results", "json",
     )
 
 

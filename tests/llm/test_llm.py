@@ -278,4 +278,5 @@ def test_tool_calls(spark):
     assert [got[1, c]["position"] for c in "abcpq"] == [0, 1, 2, 3, 4] and [got[1, c]["level"] for c in "abcpq"] == [0, 1, 2, None, None]
     assert got[1, "a"]["json"] == '{"arguments":{"a":"x","b":1},"id":"a","name":"t","result":"r1"}' and got[1, "a"]["n_results"] == 2
     assert list(got[1, "c"]["problems"]) == ["a: not string"] and list(got[1, "b"]["problems"]) == ["arguments: no JSON"]
-    assert list(got[2, "a"]["problems"]) == ["unknown tool"] and len(got) == 6
+    assert list(got[2, "a"]["problems"]) == ["unknown tool"]
+    assert list(got[3, "x"]["problems"]) == ["no call"] and got[3, "x"]["n_calls"] == 0 and len(got) == 7
