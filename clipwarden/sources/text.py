@@ -12,10 +12,9 @@ from ..functions.keys import file_stem
 def read_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per file: ``path, clip (file stem), text``.  Files are split over tasks."""
     raw = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
+        spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
-        .text(path)
+        .text(path, wholetext=True)
     )
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
