@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K, timecode as T
-from ..sources import annotations as A, logs as L, manifest as M, signals as G, sinks
+from ..sources import annotations as A, label_sets, logs as L, manifest as M, signals as G, sinks
+from ..sources.text import read_documents
+from ..streaming.run import shared_folder
 from .inputs import table
 from .registry import query
 
@@ -117,20 +119,36 @@ def media_listing(spark, d):
     return M.sampled_listing(M.listing(files), ["category"], 600, bucket).select("category", "path", "kind")
 
 
+WRITTEN_CONTRACT = """
+Brand#11: {gt: voc_xml, media: image, mode: person, use: eval, note: scored only}
+Brand#4:
+  classes: {0: 1, 1: 0, smoke: drop}
+  gt: yolo_txt
+Brand#7: {use: none}
+Brand#99: {gt: coco_json, media: image}
+"""
+
+
 @query(
     "contract_from_probe",
     """WITH f AS (SELECT p_brand AS category, p_partkey % 11 AS k FROM part),
-    s AS (SELECT category, bool_or(k = 0) AS v, bool_or(k = 1) AS a, bool_or(k = 2) AS b, bool_or(k = 3) AS c FROM f WHERE (hash(category) IS NOT NULL) GROUP BY category)
-    SELECT category, 'fire' AS mode, CASE WHEN v THEN 'video' ELSE 'image' END AS media, CASE WHEN a THEN 'event_xml' WHEN b THEN 'coco_json' WHEN c THEN 'yolo_txt' ELSE 'none' END AS gt, 'train' AS use FROM s""",
+    s AS (SELECT category, bool_or(k = 0) AS v, bool_or(k = 1) AS a, bool_or(k = 2) AS b, bool_or(k = 3) AS c FROM f GROUP BY category)
+    SELECT category, CASE WHEN category = 'Brand#11' THEN 'person' ELSE 'fire' END AS mode,
+      CASE WHEN category = 'Brand#11' THEN 'image' WHEN v THEN 'video' ELSE 'image' END AS media,
+      CASE WHEN category = 'Brand#11' THEN 'voc_xml' WHEN category = 'Brand#4' THEN 'yolo_txt' WHEN a THEN 'event_xml' WHEN b THEN 'coco_json' WHEN c THEN 'yolo_txt' ELSE 'none' END AS gt,
+      CASE WHEN category = 'Brand#4' THEN '0=1,1=0,smoke=drop' END AS classes,
+      CASE WHEN category = 'Brand#11' THEN 'eval' WHEN category = 'Brand#7' THEN 'none' ELSE 'train' END AS use FROM s""",
 )
 def contract_from_probe(spark, d):
+    """What is written wins over what the files show, field by field."""
     p = table(spark, d, "part")
     k = F.col("p_partkey") % 11
     ext = F.when(k == 0, ".mp4").when(k == 1, ".xml").when(k == 2, ".json").when(k == 3, ".txt").otherwise(".jpg")
     head = F.when(k == 1, "<Lib><Alarm><StartTime>").when(k == 2, '{"images": [], "annotations": []')
     files = p.select(F.col("p_brand").alias("category"), text_of("/raw/", F.col("p_brand"), "/", F.col("p_partkey"), ext).alias("path"), head.alias("head"))
-    written = spark.createDataFrame([], M.CONTRACT_SCHEMA)
-    return M.resolve_contract(files, written, M.probe(files)).drop("classes")
+    found = M.resolve_contract(files, M.contract_table(spark, WRITTEN_CONTRACT), M.probe(files))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("classes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return found.withColumn("classes", listed)
 
 
 @query("safe_paths", "SELECT page_id, url, NOT (contains(url || CASE WHEN page_id % 5 = 0 THEN '/../x' ELSE '' END, '..') OR starts_with(url, '/')) AS ok FROM pages")
@@ -166,6 +184,25 @@ def signal_json(spark, d):
     return G.signal_json(signal_docs(spark, d))
 
 
+SHAPES = (("rows", "gt"), ("sig", "gt"), ("fire_smoke", "gt_start"))
+
+
+@query(
+    "signal_shapes",
+    f"""WITH {LINES_SQL} SELECT 'c' || o AS clip, CASE WHEN o % 5 > 1 THEN CAST(o % 90 AS DOUBLE) END AS start_s, CASE WHEN o % 7 > 0 THEN pos * 0.5e0 END AS t,
+      CASE WHEN o % 7 > 0 THEN p % 100 / 100e0 END AS fire, CASE WHEN o % 7 > 0 THEN s % 100 / 100e0 END AS smoke FROM ln WHERE o % 7 > 0 OR pos = 0""",
+)
+def signal_shapes(spark, d):
+    """Documents of all three shapes side by side, with and without an event and samples."""
+    row = lambda l, i: text_of("[", F.format_string("%.1f", i * 0.5), ", ", hundredths(l["p"]), ", ", hundredths(l["s"]), "]")
+    o = F.col("o")
+    pick = lambda k: F.when(o % 3 == 0, SHAPES[0][k]).when(o % 3 == 1, SHAPES[1][k]).otherwise(SHAPES[2][k])
+    gt = F.when(o % 5 == 0, "null").when(o % 5 == 1, "-1").otherwise((o % 90).cast("string"))
+    docs = grouped(spark, d).withColumn("lines", F.when(o % 7 > 0, F.col("lines")).otherwise(F.slice("lines", 1, 0)))
+    body = F.array_join(F.transform("lines", row), ",")
+    return G.signal_with_truth(docs.select(text_of('{"c', o, '": {"', pick(1), '": ', gt, ', "', pick(0), '": [', body, "]}}").alias("text")))
+
+
 @query("signal_truth", f"WITH {LINES_SQL} SELECT DISTINCT 'c' || o AS clip, CASE WHEN o % 3 = 2 THEN CAST(o % 90 AS DOUBLE) END AS start_s FROM ln")
 def signal_truth(spark, d):
     return G.signal_truth(signal_docs(spark, d))
@@ -579,3 +616,37 @@ def yolo_lines(spark, d):
         ((F.col("l_suppkey") % 97 + 0.5) / 128.0).alias("y"), F.lit(1 / 16).alias("w"), F.lit(1 / 32).alias("h"),
     )
     return A.yolo_lines(li, ["image"])
+
+
+@query(
+    "label_set_round_trip",
+    """WITH i AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, 'set_' || p_partkey % 3 || '/img ' || p_partkey || '.jpg' AS image, p_size FROM part),
+    b AS (SELECT *, unnest(range(1, p_size % 3 + 1)) AS k FROM i)
+    SELECT 'image' AS kind, split, image, NULL::INTEGER AS cls, NULL::DOUBLE AS x, NULL::DOUBLE AS y FROM i UNION ALL
+    SELECT 'box', split, 'set_' || p_partkey % 3 || '_img_' || p_partkey, CAST((p_partkey + k) % 2 AS INTEGER), (p_partkey * 7 + k * 5) % 29 / 32e0, (p_partkey * 3 + k * 11) % 29 / 32e0 FROM b""",
+)
+def label_set_round_trip(spark, d):
+    """A label set written by its commit protocol, then its lists and label files read back."""
+    p = table(spark, d, "part")
+    k, n = F.col("p_partkey"), F.col("p_size") % 3
+    split = F.when(k % 5 == 0, "val").otherwise("train")
+    image = text_of("set_", k % 3, "/img ", k, ".jpg")
+    line = lambda j: F.format_string(
+        "%d %.6f %.6f 0.062500 0.062500", (k + j) % 2, ((k * 7 + j * 5) % 29 + 1) / F.lit(32.0), ((k * 3 + j * 11) % 29 + 1) / F.lit(32.0)
+    )
+    lines = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), line), "\n"))
+    path = f"{shared_folder(spark)}/set"
+    label_sets.write_label_set(p.select(split.alias("split"), image.alias("image"), lines.alias("text")), path, ["fire", "smoke"])
+    contract = spark.createDataFrame([("set", "fire", {"0": "0", "1": "1"})], "category string, mode string, classes map<string,string>")
+    docs = read_documents(spark, f"{path}/labels", "*.txt").select(
+        F.lit("set").alias("category"), F.regexp_extract("path", r"/labels/([^/]+)/", 1).alias("split"), F.col("clip").alias("image"), "text"
+    )
+    boxes = A.yolo_txt(docs, contract, ["split", "image"]).select(F.lit("box").alias("kind"), "split", "image", "cls", "x", "y")
+    listed = [
+        spark.read.text(f"{path}/{s}.txt").select(
+            F.lit("image").alias("kind"), F.lit(s).alias("split"), F.col("value").alias("image"), F.lit(None).cast("int").alias("cls"),
+            F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"),
+        )
+        for s in ("train", "val")
+    ]
+    return listed[0].unionByName(listed[1]).unionByName(boxes)

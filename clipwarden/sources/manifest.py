@@ -114,6 +114,44 @@ def resolve_contract(categories: DataFrame, written: DataFrame, probed: DataFram
     )
 
 
+def parse_contract(text: str) -> dict[str, dict]:
+    """The written contract: categories with their fields, as YAML."""
+    try:
+        import yaml
+    except ImportError as missing:
+        raise ImportError("a contract in YAML needs the yaml package; use JSON lines instead") from missing
+    found = yaml.safe_load(text) or {}
+    if not isinstance(found, dict):
+        raise ValueError("a contract maps categories to their fields")
+    return {str(category): dict(fields or {}) for category, fields in found.items()}
+
+
+def contract_text(contract: dict[str, dict]) -> str:
+    import yaml
+
+    return yaml.safe_dump(contract, allow_unicode=True, sort_keys=True, default_flow_style=None)
+
+
+def changed_contract(text: str, category: str, **fields) -> str:
+    """The contract with fields of one category set; a field set to None is taken out."""
+    contract = parse_contract(text)
+    own = {**contract.get(category, {}), **fields}
+    return contract_text({**contract, category: {k: v for k, v in own.items() if v is not None}})
+
+
+def contract_table(spark: SparkSession, text: str) -> DataFrame:
+    """A row per category, as ``resolve_contract`` takes it; class keys and values become text."""
+    text_of = lambda v: None if v is None else str(v)
+    rows = [
+        (category, *[text_of(f.get(c)) for c in ("mode", "media", "gt")], {str(k): str(v) for k, v in f["classes"].items()} if f.get("classes") else None,
+         text_of(f.get("use")), text_of(f.get("note")))
+        for category, f in parse_contract(text).items()
+    ]
+    return spark.createDataFrame(rows, CONTRACT_SCHEMA)
+
+
 def read_contract(spark: SparkSession, path: str) -> DataFrame:
-    """The contract as JSON lines."""
+    """The contract as YAML (``.yaml``, ``.yml``) or as JSON lines.  It has a line per category and is read whole."""
+    if path.lower().endswith((".yaml", ".yml")):
+        return contract_table(spark, spark.read.text(path, wholetext=True).first()["value"])
     return spark.read.schema(CONTRACT_SCHEMA).json(path)

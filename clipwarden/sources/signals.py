@@ -4,20 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-_SIGNAL = "map<string,struct<rows:array<array<double>>,gt:double>>"
+_ROWS = "array<array<double>>"
+# fixed values: the field names of the three shapes
+_SIGNAL = f"map<string,struct<rows:{_ROWS},sig:{_ROWS},fire_smoke:{_ROWS},gt:double,gt_start:double>>"
+
+
+def _clips(docs: DataFrame, *kept: str) -> DataFrame:
+    """Clips of signal documents, whatever their shape: ``clip, _rows, _start``."""
+    clips = docs.select(*kept, F.explode(F.from_json("text", _SIGNAL)).alias("clip", "_v"))
+    start = F.coalesce("_v.gt", "_v.gt_start")
+    return clips.select(*kept, "clip", F.coalesce("_v.rows", "_v.sig", "_v.fire_smoke").alias("_rows"), F.when(start >= 0, start).alias("start_s"))
 
 
 def signal_json(docs: DataFrame) -> DataFrame:
-    """``{"<clip>": {"rows": [[t, fire, smoke], …]}}`` to signal rows."""
-    clips = docs.select(F.explode(F.from_json("text", _SIGNAL)).alias("clip", "_v"))
-    rows = clips.select("clip", F.explode("_v.rows").alias("_r"))
+    """Signal rows of ``{"<clip>": {"rows": [[t, fire, smoke], …]}}``, also named ``sig`` or ``fire_smoke``."""
+    rows = _clips(docs).select("clip", F.explode("_rows").alias("_r"))
     return rows.select("clip", *[F.get("_r", i).alias(n) for i, n in enumerate(("t", "fire", "smoke"))])
 
 
 def signal_truth(docs: DataFrame) -> DataFrame:
-    """Event start of each clip in a signal document; -1 and null both mean none."""
-    clips = docs.select(F.explode(F.from_json("text", _SIGNAL)).alias("clip", "_v"))
-    return clips.select("clip", F.when(F.col("_v.gt") >= 0, F.col("_v.gt")).alias("start_s"))
+    """Event start of each clip, named ``gt`` or ``gt_start``; -1 and null both mean none."""
+    return _clips(docs).select("clip", "start_s")
+
+
+def signal_with_truth(docs: DataFrame) -> DataFrame:
+    """Signal rows with the event start of their clip, in one scan; a clip without samples has one row of nulls."""
+    rows = _clips(docs).select("clip", "start_s", F.explode_outer("_rows").alias("_r"))
+    return rows.select("clip", "start_s", *[F.get("_r", i).alias(n) for i, n in enumerate(("t", "fire", "smoke"))])
 
 
 _TRACKS = "struct<t:double,boxes:array<array<double>>>"

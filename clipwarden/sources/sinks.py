@@ -59,25 +59,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_yolo(labels: DataFrame, path: str) -> None:
-    """Label text partitioned by split; ``labels`` has ``split, image, text``."""
-    labels.select("split", F.concat_ws("\t", "image", F.replace("text", F.lit("\n"), F.lit("\\n"))).alias("value")).write.mode(
-        "overwrite"
-    ).partitionBy("split").text(path)
-
-
-def write_lists(images: DataFrame, path: str) -> None:
-    """Image lists per split, one path a line; ordered inside each file."""
-    images.select("split", F.col("image").alias("value")).repartition("split", F.pmod(F.xxhash64("image"), F.lit(64))).sortWithinPartitions(
-        "split", "value"
-    ).write.mode("overwrite").partitionBy("split").text(path)
-
-
-def descriptor(root: str, names: Sequence[str]) -> str:
-    """The data descriptor of a training set."""
-    return f"path: {root}\ntrain: {root}/train.txt\nval: {root}/val.txt\nnc: {len(names)}\nnames: {list(names)}\n"
-
-
 def build_counts(frames: DataFrame, by: Sequence[str] = ("split", "src")) -> DataFrame:
     """Counts to store next to a built set."""
     return frames.groupBy(*by).agg(F.count(F.lit(1)).alias("frames"), F.sum(F.size("boxes")).alias("boxes"))

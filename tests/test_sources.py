@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipwarden.operators import curation, joins
-from clipwarden.sources import annotations as A, manifest as M, signals as G, sinks, text as X
+from clipwarden.sources import annotations as A, label_sets, manifest as M, raw_folders, signals as G, sinks, text as X
 
 
 def test_documents_manifest_and_listing(spark, tmp_path):
@@ -58,10 +58,7 @@ def test_sinks_round_trip(spark, tmp_path):
     sinks.write_jsonl(alarms, str(tmp_path / "j"))
     sinks.write_csv(alarms, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
-    images = spark.createDataFrame([("train", "x.jpg"), ("val", "y.jpg")], "split string, image string")
-    sinks.write_lists(images, str(tmp_path / "lists"))
-    assert (tmp_path / "lists" / "split=train").is_dir()
-    assert "nc: 2" in sinks.descriptor("/d", ["fire", "smoke"])
+    assert "nc: 2" in label_sets.descriptor("/d", ["fire", "smoke"])
 
 
 def test_report(spark):
@@ -107,3 +104,66 @@ def test_scorer_plug_point(spark):
     df = spark.createDataFrame([("a", 0), ("b", 3)], "stem string, n int")
     got = {r.stem: (r.n_det, round(r.max_conf, 2), r.top_class) for r in score_images(df, make, "stem string").collect()}
     assert got == {"a": (0, 0.0, None), "b": (2, 0.6, 0)}
+
+
+def test_raw_folders_read_heads_only(spark, tmp_path):
+    for name, text in (
+        ("fire_a/x/1.xml", "<Alarm><StartTime>" + "é" * 5000), ("fire_a/2.mp4", "m" * 9000), ("person_b/deep/er/3.json", '{"images": [], "annotations": []}'),
+        ("person_b/4.txt", "0 0.5 0.5 0.1 0.1"), ("empty_c/5.jpg", "j"),
+    ):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    (tmp_path / "loose.txt").write_text("no category")
+    files = raw_folders.raw_folders(spark, str(tmp_path))
+    rows = {r.path[len(str(tmp_path)) + 1 :]: r for r in files.collect()}
+    assert set(rows) == {"fire_a/x/1.xml", "fire_a/2.mp4", "person_b/deep/er/3.json", "person_b/4.txt", "empty_c/5.jpg"}
+    assert {k: len(r.head.encode()) for k, r in rows.items() if r.head} == {"fire_a/x/1.xml": 4000, "person_b/deep/er/3.json": 33, "person_b/4.txt": 17}
+    assert rows["fire_a/2.mp4"].head is None and rows["fire_a/2.mp4"].size == 9000
+    written = M.contract_table(spark, "fire_a: {use: none}\nother: {gt: coco_json}\n")
+    got = {r.category: (r.mode, r.media, r.gt, r.use) for r in M.resolve_contract(files, written, M.probe(files)).collect()}
+    assert got == {
+        "fire_a": ("fire", "video", "event_xml", "none"), "person_b": ("person", "image", "coco_json", "train"), "empty_c": ("fire", "image", "none", "train"),
+    }
+
+
+def test_contract_text_round_trip(spark, tmp_path):
+    text = M.changed_contract("", "b", mode="fire", classes={0: 1, "smoke": "drop"}, note="씨: 'x'")
+    text = M.changed_contract(text, "a", use="none", gt="voc_xml")
+    text = M.changed_contract(text, "a", gt=None)
+    assert M.parse_contract(text) == {"a": {"use": "none"}, "b": {"mode": "fire", "classes": {0: 1, "smoke": "drop"}, "note": "씨: 'x'"}}
+    (tmp_path / "c.yaml").write_text(text)
+    rows = {r.category: r for r in M.read_contract(spark, str(tmp_path / "c.yaml")).collect()}
+    assert rows["b"].classes == {"0": "1", "smoke": "drop"} and rows["a"].use == "none" and rows["a"].mode is None
+    assert M.contract_table(spark, "").count() == 0
+    with pytest.raises(ValueError):
+        M.parse_contract("- a\n- b\n")
+
+
+def test_label_sets_appear_whole_or_not_at_all(spark, tmp_path):
+    ddl = "split string, image string, text string"
+    rows = [("train", "a/x 1.jpg", "0 0.5 0.5 0.1 0.1\n1 0.2 0.2 0.1 0.1"), ("train", "b/x 1.jpg", None), ("val", "c.png", "1 0.5 0.5 0.1 0.1"), ("test", "d.png", "")]
+    path = tmp_path / "set"
+    label_sets.write_label_set(spark.createDataFrame(rows, ddl).repartition(3), str(path), ["fire", "smoke"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["set"]
+    assert sorted((path / "train.txt").read_text().splitlines()) == ["a/x 1.jpg", "b/x 1.jpg"]
+    assert (path / "labels" / "train" / "a_x_1.txt").read_text() == rows[0][2] + "\n" and (path / "labels" / "train" / "b_x_1.txt").read_text() == ""
+    assert sorted(p.name for p in path.iterdir()) == ["data.yaml", "labels", "meta.json", "test.txt", "train.txt", "val.txt"]
+    assert json.loads((path / "meta.json").read_text()) == {"boxes": {"train": 2, "val": 1}, "images": {"test": 1, "train": 2, "val": 1}}
+    assert f"train: {path}/train.txt" in (path / "data.yaml").read_text()
+    # a row without a split fails its task, and nothing of the set stays
+    broken = spark.createDataFrame([*rows, (None, "e.png", "0 0 0 0 0")], ddl).repartition(3)
+    with pytest.raises(Exception, match="split"):
+        label_sets.write_label_set(broken, str(tmp_path / "other"), [])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["set"]
+    with pytest.raises(Exception, match="there already"):
+        label_sets.write_label_set(spark.createDataFrame(rows, ddl), str(path), [])
+    label_sets.write_label_set(spark.createDataFrame(rows[2:3], ddl), str(path), ["x"], overwrite=True)
+    assert (path / "train.txt").read_text() == "" and sorted(p.name for p in tmp_path.iterdir()) == ["set"]
+
+
+def test_documents_of_many_lines_are_one_row(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "clip_1.xml").write_text("<Clip>\n  <StartTime>00:00:05</StartTime>\n</Clip>\n")
+    rows = X.read_documents(spark, str(tmp_path / "d")).collect()
+    assert [(r.clip, r.text.count("\n")) for r in rows] == [("clip_1", 3)]
