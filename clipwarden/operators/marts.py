@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,24 +53,26 @@ def frame_kinds(hand: DataFrame) -> DataFrame:
     return hand.groupBy("clip", "tick").agg(kind.alias("kind"))
 
 
-def clip_documents(
-    clips: DataFrame, signal: DataFrame, labels: DataFrame | None = None, part_s: float = 600.0
-) -> DataFrame:
-    """Nested documents: clip fields with its samples and labels as arrays.
+def clip_documents(clips: DataFrame, part_s: float = 600.0, **tables: DataFrame) -> DataFrame:
+    """Nested documents: (clip, part, about, one array per table).
 
-    A document covers ``part_s`` seconds, so a clip of any length becomes
-    several rows of bounded size; ``part`` orders them.
+    ``about`` is a struct of the columns of ``clips`` (one row per clip, such as
+    its event, conditions and zone), in part 0.  Every table has ``clip, t`` and
+    columns of its own; its rows become an array of structs in time order, empty
+    where a part has none.  All tables go through one exchange as a tagged
+    union.  A document covers ``part_s`` seconds, so a clip of any length
+    becomes several rows of bounded size.  Clips without rows have part 0;
+    clips that only tables know have no ``about``.
     """
-    part = F.floor(F.col("t") / F.lit(part_s)).cast("long")
-    s = signal.groupBy("clip", part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("t", "fire", "smoke"))).alias("signal")
-    )
-    if labels is not None:
-        l = labels.groupBy("clip", part.alias("part")).agg(
-            F.sort_array(F.collect_list(F.struct("t", "cls", "x", "y", "w", "h"))).alias("labels")
-        )
-        s = s.join(l, ["clip", "part"], "full")
-    return s.join(clips, "clip")
+    kinds = {name: [c for c in df.columns if c != "clip"] for name, df in tables.items()}
+    own = [c for c in clips.columns if c != "clip"]
+    rows = [clips.select("clip", F.lit(0).cast("long").alias("part"), F.struct(*own).alias("about"))]
+    for name, df in tables.items():
+        fields = ["t", *[c for c in kinds[name] if c != "t"]]
+        rows.append(df.select("clip", F.floor(F.col("t") / F.lit(part_s)).cast("long").alias("part"), F.struct(*fields).alias(name)))
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    nested = [F.array_sort(F.collect_list(name)).alias(name) for name in kinds]
+    return union.groupBy("clip", "part").agg(F.first("about", ignorenulls=True).alias("about"), *nested)
 
 
 def label_set_rollup(frames: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -85,16 +85,17 @@ def stratified_split(spark, d):
 
 @query(
     "leak_free_split",
-    f"""WITH f AS (SELECT CAST(doc_id % 600 AS VARCHAR) || '.jpg' AS name, doc_id % 600 // 5 AS clip, CASE WHEN doc_id < 600 THEN 'train' ELSE 'val' END AS split FROM documents),
+    f"""WITH f AS (SELECT CAST(doc_id // 2 AS VARCHAR) || '.jpg' AS name, doc_id // 10 AS clip, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'val' END AS split FROM documents),
     u AS (SELECT DISTINCT name, clip FROM f), g AS (SELECT DISTINCT clip FROM u),
     r AS (SELECT clip, row_number() OVER (ORDER BY {h_sql('clip')}, clip) - 1 AS r, count(*) OVER () AS n FROM g)
     SELECT name, u.clip, CASE WHEN r < greatest(1, floor(n * 0.2e0)) THEN 'val' ELSE 'train' END AS split FROM u JOIN r USING (clip)""",
 )
 def leak_free_split(spark, d):
-    i = F.col("doc_id") % 600
+    """Two rows a name, one in each split before; names and clips grow with the table."""
+    i = F.floor(F.col("doc_id") / 2)
     files = docs(spark, d).select(
         F.concat(i.cast("string"), F.lit(".jpg")).alias("name"), F.floor(i / 5).alias("clip"),
-        F.when(F.col("doc_id") < 600, "train").otherwise("val").alias("split"),
+        F.when(F.col("doc_id") % 2 == 0, "train").otherwise("val").alias("split"),
     )
     return C.leak_free_split(files, "name", "clip")
 
@@ -221,7 +222,7 @@ def eligibility_reasons(spark, d):
 
 @query(
     "hard_negatives",
-    f"""WITH {SIGNAL_SQL}, pos AS (SELECT clip, round_even(t * 2, 0) / 2 AS t, fire >= 0.3e0 AS by_hand FROM sig WHERE smoke > 0.9e0), dur AS (SELECT clip, max(t) AS dur FROM sig GROUP BY clip),
+    f"""WITH {SIGNAL_SQL}, pos AS (SELECT clip, round_even(t * 2, 0) / 2 AS t, fire >= 0.3e0 AS by_hand FROM sig WHERE smoke > 0.4e0), dur AS (SELECT clip, max(t) AS dur FROM sig GROUP BY clip),
     sp AS (SELECT clip, min(t) AS f0, max(t) AS f1, count(*) FILTER (by_hand) AS hand FROM pos GROUP BY clip HAVING count(*) FILTER (by_hand) > 0),
     k AS (SELECT CAST(unnest(range(1, 6)) AS BIGINT) AS k),
     c AS (SELECT clip, hand, round_even(f0 - 5e0 - k * 0.5e0, 1) AS t, k * 2 AS o FROM sp, k UNION ALL SELECT clip, hand, round_even(f1 + 5e0 + k * 0.5e0, 1), k * 2 + 1 FROM sp, k),
@@ -231,7 +232,7 @@ def eligibility_reasons(spark, d):
     SELECT clip, t, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= hand""",
 )
 def hard_negatives(spark, d):
-    s = signal(spark, d).filter("smoke > 0.9D")
+    s = signal(spark, d).filter("smoke > 0.4D")
     pos = s.select("clip", T.snap(F.col("t")).alias("t"), (F.col("fire") >= 0.3).alias("by_hand"))
     clips = signal(spark, d).groupBy("clip").agg(F.max("t").alias("dur"))
     return C.hard_negatives(pos, clips)

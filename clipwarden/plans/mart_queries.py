@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import marts as M
+from ..functions.timecode import sigmoid
+from ..operators import joins, marts as M
 from .curation_queries import _label_sql, label_rows
-from .inputs import DET_SQL, SIGNAL_SQL, TRUTH_SQL, detections, signal, table, truth
+from .inputs import BOXES_SQL, DET_SQL, SIGNAL_SQL, TRUTH_SQL, boxes, detections, signal, table, truth, zones
 from .registry import query
 from .signal_queries import ALL_CLIPS_SQL, SCORED_SQL, all_clips, grid_run, grid_sql, scored
 from . import presets
@@ -51,17 +52,42 @@ def frame_kinds(spark, d):
 
 @query(
     "clip_documents",
-    f"""WITH {SIGNAL_SQL}, {TRUTH_SQL}, {_label_sql('hand', 'purchase', 'error')},
-    s AS (SELECT clip, CAST(floor(t / 100) AS BIGINT) AS part, count(*) AS samples, round_even(sum(fire), 6) AS fire, arg_min(smoke, t) AS first_smoke FROM sig GROUP BY ALL),
-    l AS (SELECT clip, CAST(floor(tick / 2e0 / 100) AS BIGINT) AS part, count(*) AS labels FROM hand GROUP BY ALL)
-    SELECT clip, part, start_s, coalesce(samples, 0) AS samples, coalesce(fire, 0e0) AS fire, first_smoke, coalesce(labels, 0) AS labels FROM s FULL JOIN l USING (clip, part) JOIN gt USING (clip)""",
+    f"""WITH {SIGNAL_SQL}, {TRUTH_SQL}, {_label_sql('hand', 'purchase', 'error')}, {BOXES_SQL},
+    zn AS (SELECT loc, count(*) AS corners FROM edges WHERE tag = 'Loitering' OR (tag = 'Intrusion' AND loc NOT IN (SELECT loc FROM edges WHERE tag = 'Loitering')) GROUP BY loc),
+    s AS (SELECT clip, CAST(floor(t / 100) AS BIGINT) AS part, count(*) AS samples, sum(fire) AS fire, arg_min(smoke, t) AS first_smoke FROM sig GROUP BY ALL),
+    k AS (SELECT clip, CAST(floor(t / 100) AS BIGINT) AS part, count(*) AS boxes, sum(conf) AS conf, arg_max(track, t) AS last_track FROM bx GROUP BY ALL),
+    c AS (SELECT clip, CAST(floor(t / 100) AS BIGINT) AS part, count(*) AS points, sum(1 / (1 + exp(-(fire * 10 - 2)))) AS p FROM sig WHERE smoke >= 0.5e0 GROUP BY ALL),
+    l AS (SELECT clip, CAST(floor(tick / 2e0 / 100) AS BIGINT) AS part, count(*) AS labels, sum(cls) AS classes FROM hand GROUP BY ALL),
+    a AS (SELECT clip, 0::BIGINT AS part, start_s FROM gt),
+    u AS (SELECT clip, part FROM s UNION SELECT clip, part FROM k UNION SELECT clip, part FROM c UNION SELECT clip, part FROM l UNION SELECT clip, part FROM a)
+    SELECT clip, part, start_s, CASE WHEN part = 0 THEN CASE WHEN clip % 2 = 0 THEN 'day,fog' ELSE 'night' END END AS conditions,
+      CASE WHEN part = 0 THEN corners END AS corners, coalesce(samples, 0) AS samples, round_even(coalesce(fire, 0e0), 6) AS fire, first_smoke,
+      coalesce(boxes, 0) AS boxes, round_even(coalesce(conf, 0e0), 6) AS conf, last_track, coalesce(points, 0) AS points, round_even(coalesce(p, 0e0), 6) AS p,
+      coalesce(labels, 0) AS labels, CAST(coalesce(classes, 0) AS BIGINT) AS classes
+    FROM u LEFT JOIN s USING (clip, part) LEFT JOIN k USING (clip, part) LEFT JOIN c USING (clip, part) LEFT JOIN l USING (clip, part) LEFT JOIN a USING (clip, part)
+      LEFT JOIN zn ON zn.loc = clip % 4""",
 )
 def clip_documents(spark, d):
-    labels = label_rows(spark, d, "purchase", "error").withColumn("t", F.col("tick") / 2)
-    docs = M.clip_documents(truth(spark, d), signal(spark, d), labels, 100.0)
-    n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    fire = F.coalesce(F.aggregate("signal", F.lit(0.0), lambda a, s: a + s["fire"]), F.lit(0.0))
-    return docs.select("clip", "part", "start_s", n("signal").alias("samples"), F.bround(fire, 6).alias("fire"), F.get("signal", 0)["smoke"].alias("first_smoke"), n("labels").alias("labels"))
+    """Everything known of a clip, nested by part: read back from the documents as sums, ends and sizes."""
+    gt, sig = truth(spark, d), signal(spark, d)
+    zone = joins.zone_of_clip(gt.withColumn("loc", F.col("clip") % 4), zones(spark), ["Loitering", "Intrusion"])
+    about = zone.select(
+        "clip", "start_s", F.when(F.col("clip") % 2 == 0, F.array(F.lit("day"), F.lit("fog"))).otherwise(F.array(F.lit("night"))).alias("conditions"), "poly"
+    )
+    docs = M.clip_documents(
+        about, part_s=100.0, signal=sig, labels=label_rows(spark, d, "purchase", "error").withColumn("t", F.col("tick") / 2).select("clip", "t", "cls"),
+        tracks=boxes(spark, d).select("clip", "t", "track", "conf", "box"),
+        curves=sig.filter("smoke >= 0.5D").select("clip", "t", sigmoid(F.col("fire") * 10 - 2, None).alias("p")),
+    )
+    n = lambda c: F.size(c).cast("long")
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, r: a + r[f])
+    return docs.select(
+        "clip", "part", "about.start_s", F.array_join("about.conditions", ",").alias("conditions"), F.size("about.poly").cast("long").alias("corners"),
+        n("signal").alias("samples"), F.bround(total("signal", "fire"), 6).alias("fire"), F.get("signal", 0)["smoke"].alias("first_smoke"),
+        n("tracks").alias("boxes"), F.bround(total("tracks", "conf"), 6).alias("conf"), F.get("tracks", F.size("tracks") - 1)["track"].alias("last_track"),
+        n("curves").alias("points"), F.bround(total("curves", "p"), 6).alias("p"), n("labels").alias("labels"),
+        F.aggregate("labels", F.lit(0).cast("long"), lambda a, r: a + r["cls"].cast("long")).alias("classes"),
+    )
 
 
 @query(
@@ -76,7 +102,7 @@ def label_set_rollup(spark, d):
     return M.label_set_rollup(o.filter("file % 5 <> 0"), li.join(o, "file")).withColumns({c: F.col(c).cast("long") for c in ("box_count", "attached")})
 
 
-FILES_SQL = """fl AS (SELECT source AS folder, 'set' || (CAST(substr(source, 4) AS INTEGER) % 4) AS dataset, CAST(substr(source, 4) AS INTEGER) AS folder_order, CAST(doc_id % 700 AS VARCHAR) AS file, doc_id % 3 = 0 AS labeled, doc_id FROM documents),
+FILES_SQL = """fl AS (SELECT source AS folder, 'set' || (CAST(substr(source, 4) AS INTEGER) % 4) AS dataset, CAST(substr(source, 4) AS INTEGER) AS folder_order, CAST(doc_id // 3 AS VARCHAR) AS file, doc_id % 3 = 0 AS labeled, doc_id FROM documents),
 mg AS (SELECT dataset, file, arg_min(labeled, folder_order * 1000000 + doc_id) AS labeled FROM fl GROUP BY ALL)"""
 
 
@@ -85,7 +111,7 @@ def dataset_files(spark, d) -> tuple[DataFrame, DataFrame]:
     number = F.substring("source", 4, 10).cast("int")
     files = t.select(
         F.concat(F.lit("set"), (number % 4).cast("string")).alias("dataset"), F.col("source").alias("folder"),
-        (F.col("doc_id") % 700).cast("string").alias("file"), (F.col("doc_id") % 3 == 0).alias("labeled"), (number * 1000000 + F.col("doc_id")).alias("folder_order"),
+        F.floor(F.col("doc_id") / 3).cast("string").alias("file"), (F.col("doc_id") % 3 == 0).alias("labeled"), (number * 1000000 + F.col("doc_id")).alias("folder_order"),
     )
     return files, M.merged_dataset(files, files.select("folder").distinct()).select("dataset", "file", "labeled")
 
