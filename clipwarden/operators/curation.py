@@ -72,6 +72,18 @@ def sample_share(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFr
     )
 
 
+def ratio_members(df: DataFrame, key: str, hold: int = 1500, percents: Sequence[int] = (0, 10, 25, 50, 100), seed: int = 0) -> DataFrame:
+    """(percent, part, key) of a ratio sweep: the same ``hold`` rows are ``val`` at every point, ``train`` is a share of the rest.
+
+    A larger share holds all of a smaller one, and at 0 % there is no ``train`` row.
+    """
+    ranked = with_position(df.select(key).withColumn("_h", hash_rank_key(key, seed=seed)), [], ["_h", key], hash_bucket("_h"), "_r", "_n")
+    rest = F.greatest(F.col("_n") - hold, F.lit(0))
+    part = lambda p: F.when(F.col("_r") < hold, F.lit("val")).when(F.col("_r") - hold < F.floor(rest * p / 100), F.lit("train"))
+    cells = F.array(*[F.struct(F.lit(p).alias("percent"), part(p).alias("part")) for p in percents])
+    return ranked.select(key, F.inline(cells)).filter(F.col("part").isNotNull()).select("percent", "part", key)
+
+
 def balance_negatives(windows: DataFrame, key: str, label: str = "label", ratio: int = 3, seed: int = 0) -> DataFrame:
     """All positives and at most ``ratio`` negatives per positive."""
     positives = windows.filter(F.col(label) == 1)
@@ -295,6 +307,25 @@ def window_plan(events: DataFrame, stride_s: float, cap: int, before_s: float =
     ).select("clip", (F.col("_lo") + F.col("i") * stride_s).alias("t"))
 
 
+# fixed values: seconds after the begin of a clip, and before its event
+BACKGROUND_AT, BACKGROUND_BEFORE = (10.0, 30.0, 60.0), (60.0, 30.0)
+
+
+def background_plan(events: DataFrame, first_s: float = 5.0, clear_s: float = 10.0) -> DataFrame:
+    """Times without the event: some fixed, some before it, moved to lie ``clear_s`` before it and not in the first seconds."""
+    g = F.col("start_s")
+    times = [F.lit(t) for t in BACKGROUND_AT] + [g - t for t in BACKGROUND_BEFORE]
+    moved = F.array(*[F.greatest(F.lit(first_s), F.least(t, g - clear_s)) for t in times])
+    return events.filter(g.isNotNull()).select("clip", F.explode(F.array_distinct(moved)).alias("t"))
+
+
+def miss_plan(events: DataFrame, back_s: float = 10.0) -> DataFrame:
+    """What a missed event looked like: its time, and the estimated ignition before it."""
+    g = F.col("start_s")
+    pair = F.array(F.struct(F.lit("gt").alias("tag"), g.alias("t")), F.struct(F.lit("ign").alias("tag"), F.greatest(F.lit(0.0), g - back_s).alias("t")))
+    return events.filter(g.isNotNull()).select("clip", F.inline(pair))
+
+
 # ---- pseudo labels and mining ----------------------------------------------------------
 
 

@@ -7,23 +7,30 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+_kept: dict[str, Callable] = {}  # predictors of this worker process
+
+
 BOXES = "array<struct<cls:int,conf:double,x1:double,y1:double,x2:double,y2:double>>"
 
 
 def score_images(
-    images: DataFrame, make_predictor: Callable[[], Callable[[pd.DataFrame], pd.Series]], keys: str, conf: float = 0.25
+    images: DataFrame, make_predictor: Callable[[], Callable[[pd.DataFrame], pd.Series]], keys: str, conf: float = 0.25,
+    model: str | None = None,
 ) -> DataFrame:
     """Runs a user-supplied predictor over Arrow batches and sums up each image.
 
-    ``make_predictor`` is called once per task and returns a function from a
-    batch of rows to one list of boxes (dicts) per row.  ``keys`` is the schema
+    ``make_predictor`` returns a function from a batch of rows to one list of
+    boxes (dicts) per row.  It is called once per task, or with a name for its
+    ``model`` once per worker process, which keeps what it loaded.  ``keys`` is the schema
     of the columns to keep.  The summary stays in Spark: number of boxes at or
     above ``conf``, best confidence, class of the best box.
     """
     names = [k.strip().split()[0] for k in keys.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = make_predictor()
+        predict = _kept.get(model) or make_predictor()
+        if model is not None:
+            _kept[model] = predict
         for batch in batches:
             yield batch[names].assign(boxes=predict(batch))
 

@@ -160,6 +160,17 @@ def ratio_sweep_members(spark, d):
     )
 
 
+@query(
+    "ratio_sweep_sets",
+    f"""WITH {DOCS_SQL}, r AS (SELECT doc_id, row_number() OVER (ORDER BY {h_sql('doc_id', 2)}, doc_id) - 1 AS r, count(*) OVER () AS n FROM dc),
+    p AS (SELECT unnest([0, 10, 25, 50, 100]) AS percent)
+    SELECT percent, CASE WHEN r < 60 THEN 'val' ELSE 'train' END AS part, doc_id FROM r JOIN p ON r < 60 OR r - 60 < floor((n - 60) * percent / 100e0)""",
+)
+def ratio_sweep_sets(spark, d):
+    """A sweep from 0 % on, with a hold-out of 60 rows that stays the same."""
+    return C.ratio_members(docs(spark, d), "doc_id", hold=60, seed=2)
+
+
 # ---- label sources ----------------------------------------------------------------------
 
 
@@ -289,14 +300,18 @@ def propagate_labels(spark, d):
     f"""WITH {TRUTH_SQL}, g AS (SELECT * FROM gt WHERE start_s IS NOT NULL),
     f AS (SELECT clip, unnest([greatest(0, start_s - 10) + 3, start_s, start_s + 8]) AS t FROM g), s AS (SELECT clip, unnest([start_s - 4, start_s, start_s + 5, start_s + 10, start_s + 20, start_s + 35]) AS t FROM g),
     w AS (SELECT clip, greatest(0e0, start_s - 2) + i * 2.5e0 AS t, row_number() OVER (PARTITION BY clip ORDER BY i) AS n, start_s FROM g, (SELECT unnest(range(20)) AS i))
-    SELECT 'full' AS plan, clip, t FROM f WHERE t >= 0 UNION ALL SELECT 'snow', clip, t FROM s WHERE t >= 0 UNION ALL SELECT 'window', clip, t FROM w WHERE t <= start_s + 10 AND n <= 4""",
+    SELECT 'full' AS plan, clip, t FROM f WHERE t >= 0 UNION ALL SELECT 'snow', clip, t FROM s WHERE t >= 0 UNION ALL SELECT 'window', clip, t FROM w WHERE t <= start_s + 10 AND n <= 4
+    UNION ALL SELECT DISTINCT 'background', clip, greatest(5e0, least(b, start_s - 10)) FROM (SELECT clip, start_s, unnest([10e0, 30e0, 60e0, start_s - 60, start_s - 30]) AS b FROM g)
+    UNION ALL SELECT 'miss_' || tag, clip, t FROM (SELECT clip, 'gt' AS tag, start_s AS t FROM g UNION ALL SELECT clip, 'ign', greatest(0e0, start_s - 10) FROM g)""",
 )
 def frame_plans(spark, d):
     g = truth(spark, d)
     full = C.frame_plan(g, "full").select(F.lit("full").alias("plan"), "clip", "t")
     snow = C.frame_plan(g, "snow").select(F.lit("snow").alias("plan"), "clip", "t")
     window = C.window_plan(g, 2.5, 4).select(F.lit("window").alias("plan"), "clip", "t")
-    return full.unionByName(snow).unionByName(window)
+    background = C.background_plan(g).select(F.lit("background").alias("plan"), "clip", "t")
+    miss = C.miss_plan(g).select(F.concat(F.lit("miss_"), "tag").alias("plan"), "clip", "t")
+    return full.unionByName(snow).unionByName(window).unionByName(background).unionByName(miss)
 
 
 @query(

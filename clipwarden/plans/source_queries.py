@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K, timecode as T
+from ..operators import scorer
 from ..sources import annotations as A, label_sets, logs as L, manifest as M, signals as G, sinks
 from ..sources.text import read_documents
 from ..streaming.run import shared_folder
@@ -650,3 +651,44 @@ def label_set_round_trip(spark, d):
         for s in ("train", "val")
     ]
     return listed[0].unionByName(listed[1]).unionByName(boxes)
+
+
+@query("jsonl_round_trip", "SELECT event_id, user_id AS clip, event_type, value, props FROM events")
+def jsonl_round_trip(spark, d):
+    """Rows as JSON lines by kind of event, read back."""
+    path = f"{shared_folder(spark)}/lines"
+    rows = table(spark, d, "events").select("event_id", F.col("user_id").alias("clip"), "event_type", "value", "props")
+    sinks.write_jsonl(rows, path, ["event_type"])
+    return spark.read.schema("event_id long, clip long, value double, props string, event_type string").json(path).select(rows.columns)
+
+
+@query("csv_round_trip", "SELECT doc_id, text, lang, source FROM documents")
+def csv_round_trip(spark, d):
+    """Texts with quotes, commas and line ends as CSV, read back."""
+    path = f"{shared_folder(spark)}/table"
+    rows = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    sinks.write_csv(rows, path)
+    return sinks.read_csv(spark, path, "doc_id long, text string, lang string, source string")
+
+
+def arithmetic_detector():
+    """Stands in for a detector: boxes from the numbers of an image."""
+
+    def predict(batch):
+        return [
+            [{"cls": i % 3, "conf": (k * 7 + i * 13) % 100 / 100, "x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0} for i in range(n % 4)]
+            for k, n in zip(batch["p_partkey"].tolist(), batch["p_size"].tolist())
+        ]
+
+    return predict
+
+
+@query(
+    "scored_images",
+    """WITH b AS (SELECT p_partkey, unnest(range(p_size % 4)) AS i FROM part), c AS (SELECT p_partkey, i % 3 AS cls, (p_partkey * 7 + i * 13) % 100 / 100e0 AS conf FROM b),
+    k AS (SELECT p_partkey, count(*) AS n_det, max(conf) AS max_conf, arg_max(cls, (conf, -cls)) AS top_class FROM c WHERE conf >= 0.25e0 GROUP BY p_partkey)
+    SELECT p_partkey, CAST(coalesce(n_det, 0) AS INTEGER) AS n_det, coalesce(max_conf, 0e0) AS max_conf, CAST(top_class AS INTEGER) AS top_class FROM part LEFT JOIN k USING (p_partkey)""",
+)
+def scored_images(spark, d):
+    images = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"))
+    return scorer.score_images(images, arithmetic_detector, "p_partkey long", model="arithmetic")

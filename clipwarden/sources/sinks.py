@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import timecode as T
 
@@ -56,7 +56,15 @@ def write_jsonl(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """With a header; quotes inside a value are doubled, empty texts stay apart from nulls."""
+    df.write.mode("overwrite").options(header=True, escape='"', emptyValue='""', nullValue="").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_csv`` wrote, line ends inside values included; blanks around values are theirs."""
+    return spark.read.options(
+        header=True, escape='"', multiLine=True, nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).schema(schema).csv(path)
 
 
 def build_counts(frames: DataFrame, by: Sequence[str] = ("split", "src")) -> DataFrame:
