@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K, pose as P, signals as S, timecode as T
 from ..operators import classifier, features as X, joins, rules, sweep
@@ -166,7 +166,7 @@ kpt AS (SELECT image, slot, p, s, q, i, CAST((p * (i + 3)) % 640 AS DOUBLE) AS x
   FROM lk, (SELECT unnest(range(17)) AS i)),
 an AS (SELECT image, slot, avg(x) FILTER (i IN (5, 6) AND c >= 0.2e0) AS sx, avg(y) FILTER (i IN (5, 6) AND c >= 0.2e0) AS sy,
   avg(x) FILTER (i IN (11, 12) AND c >= 0.2e0) AS hx, avg(y) FILTER (i IN (11, 12) AND c >= 0.2e0) AS hy, any_value(p) AS p, any_value(s) AS s, any_value(q) AS q,
-  min(x) FILTER (c >= 0.2e0) AS mx1, max(x) FILTER (c >= 0.2e0) AS mx2, min(y) FILTER (c >= 0.2e0) AS my1, max(y) FILTER (c >= 0.2e0) AS my2, avg(c) FILTER (c >= 0.2e0) AS mc, sum(x / 640 + y / 480 + c) AS tot
+  min(x) FILTER (c >= 0.2e0) AS mx1, max(x) FILTER (c >= 0.2e0) AS mx2, min(y) FILTER (c >= 0.2e0) AS my1, max(y) FILTER (c >= 0.2e0) AS my2, avg(c) FILTER (c >= 0.2e0) AS mc, flatten(list([x / 640, y / 480, c] ORDER BY i)) AS flat
   FROM kpt GROUP BY image, slot),
 ag AS (SELECT *, abs(degrees(atan2(hy - sy, hx - sx))) AS a FROM an), ang AS (SELECT *, least(a, 180 - a) AS angle FROM ag)"""
 
@@ -180,50 +180,64 @@ def posture(spark, d):
     )
 
 
+def _whole(v: Column, digits: int) -> Column:
+    """A vector with every value rounded."""
+    return F.transform(v, lambda x: F.bround(x.cast("double"), digits))
+
+
+def _whole_sql(values: str, digits: int) -> str:
+    return f"list_transform({values}, lambda z: round_even(CAST(CAST(z AS FLOAT) AS DOUBLE), {digits}))"
+
+
 @query(
     "pose_features_59",
-    f"""WITH {KP_SQL} SELECT image, slot, 59 AS dims, round_even(CAST(q / 25e0 AS FLOAT), 4) AS ratio, round_even(CAST(coalesce(angle, 90e0) / 90 AS FLOAT), 4) AS angle,
-      round_even(CAST(coalesce(sy / 480, 0e0) AS FLOAT), 4) AS neck, CAST(((p * 3) % 640) / 640e0 AS FLOAT) AS first_x, CAST((p + s * 17) % 10 / 10e0 AS FLOAT) AS last_c FROM ang""",
+    f"""WITH {KP_SQL} SELECT image, slot, {_whole_sql("""list_concat([p % 100 / 100e0, (p % 200 + p % 200 + q) / 2 / 640e0, (s % 100 + s % 100 + 25) / 2e0 / 480e0,
+      q / 640e0, 25 / 480e0, q / 25e0, coalesce(angle, 90e0) / 90, coalesce(sy / 480, 0e0)], flat)""", 4)} AS v FROM ang""",
 )
 def pose_features_59(spark, d):
     k = keypoints(spark, d)
     v = P.pose_features(F.col("kp"), F.col("conf"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.lit(640.0), F.lit(480.0))
-    f = k.select("image", "slot", v.alias("v"))
-    return f.select("image", "slot", F.size("v").alias("dims"), F.bround(F.get("v", 5), 4).alias("ratio"), F.bround(F.get("v", 6), 4).alias("angle"), F.bround(F.get("v", 7), 4).alias("neck"), F.get("v", 8).alias("first_x"), F.get("v", 58).alias("last_c"))
+    return k.select("image", "slot", _whole(v, 4).alias("v"))
 
 
 @query(
     "pose_features_from_points",
-    f"""WITH {KP_SQL} SELECT image, slot, round_even(coalesce(mc, 0e0), 3) AS conf, CAST(coalesce((mx1 + mx2) / 2 / 640, 0e0) AS FLOAT) AS cx, CAST(CASE WHEN mc IS NULL THEN 0e0 ELSE greatest(my2 - my1, 1) / 480 END AS FLOAT) AS h FROM ang""",
+    f"""WITH {KP_SQL}, e AS (SELECT *, greatest(mx2 - mx1, 1e0) AS w, greatest(my2 - my1, 1e0) AS h FROM ang)
+    SELECT image, slot, CASE WHEN mc IS NULL THEN list_transform(range(59), lambda z: 0e0) ELSE {_whole_sql("""list_concat([mc, (mx1 + mx2) / 2 / 640, (my1 + my2) / 2 / 480, w / 640, h / 480, w / h,
+      coalesce(angle, 90e0) / 90, coalesce(sy / 480, 0e0)], flat)""", 4)} END AS v FROM e""",
 )
 def pose_features_from_points(spark, d):
-    f = keypoints(spark, d).select("image", "slot", P.pose_features_from_points(F.col("kp"), F.lit(640.0), F.lit(480.0)).alias("v"))
-    conf = F.bround(F.get("v", 0).cast("double"), 3)
-    return f.select("image", "slot", conf.alias("conf"), F.get("v", 1).alias("cx"), F.get("v", 4).alias("h"))
+    v = P.pose_features_from_points(F.col("kp"), F.lit(640.0), F.lit(480.0))
+    return keypoints(spark, d).select("image", "slot", _whole(v, 4).alias("v"))
 
 
-@query(
-    "physical_features_13",
-    f"""WITH {KP_SQL}, ok AS (SELECT image, slot, count(*) FILTER (c > 0.1e0) AS n, avg(c) FILTER (c > 0.1e0) AS mc, (max(x) FILTER (c > 0.1e0) - min(x) FILTER (c > 0.1e0)) / 640 AS w,
-      max(y) FILTER (c > 0.1e0) / 480 AS y2, avg(y) FILTER (c > 0.1e0 AND i IN (15, 16)) / 480 AS fy, max(y) FILTER (c > 0.1e0 AND i = 0) / 480 AS ny, avg(y) FILTER (c > 0.1e0 AND i IN (5, 6)) / 480 AS sy FROM kpt GROUP BY image, slot)
-    SELECT image, slot, CAST(CASE WHEN n >= 4 THEN 1 ELSE 0 END AS DOUBLE) AS valid, round_even(CASE WHEN n >= 4 THEN mc ELSE 0e0 END, 6) AS conf, round_even(CASE WHEN n >= 4 THEN greatest(w, 1e-4) ELSE 0e0 END, 9) AS w,
-      round_even(CASE WHEN n >= 4 THEN coalesce(ny, sy, 0e0) - coalesce(fy, y2) ELSE 0e0 END, 9) AS drop FROM ok""",
-)
+PHYSICAL_SQL = f"""{KP_SQL}, seen AS (SELECT image, slot, count(*) FILTER (c > 0.1e0) AS n, avg(c) FILTER (c > 0.1e0) AS mc,
+  min(x) FILTER (c > 0.1e0) / 640 AS x1, max(x) FILTER (c > 0.1e0) / 640 AS x2, min(y) FILTER (c > 0.1e0) / 480 AS y1, max(y) FILTER (c > 0.1e0) / 480 AS y2,
+  max(y) FILTER (c > 0.1e0 AND i = 0) / 480 AS ny, avg(x / 640) FILTER (c > 0.1e0 AND i IN (5, 6)) AS sx, avg(y / 480) FILTER (c > 0.1e0 AND i IN (5, 6)) AS sy,
+  avg(x / 640) FILTER (c > 0.1e0 AND i IN (11, 12)) AS hx, avg(y / 480) FILTER (c > 0.1e0 AND i IN (11, 12)) AS hy, avg(y / 480) FILTER (c > 0.1e0 AND i IN (15, 16)) AS fy
+  FROM kpt GROUP BY image, slot),
+ends AS (SELECT *, abs(degrees(atan2(hy - sy, hx - sx))) AS a, greatest(x2 - x1, 1e-4) AS w, greatest(y2 - y1, 1e-4) AS h, coalesce(ny, sy, 0e0) AS nose, coalesce(fy, y2) AS foot FROM seen),
+phys AS (SELECT image, slot, CASE WHEN n >= 4 THEN [1e0, mc, n / 17e0, w, h, w / h, coalesce(least(a, 180 - a), 90e0) / 90, nose, foot, nose - foot, (y1 + y2) / 2, (x1 + x2) / 2, h * w]
+  ELSE list_transform(range(13), lambda z: 0e0) END AS v FROM ends)"""
+
+
+# the last value is an area in whole 1 / 307,200: divided by a prime over 100,000 it never lies on the border of rounding
+@query("physical_features_13", f"WITH {PHYSICAL_SQL} SELECT image, slot, list_transform(v, lambda z, i: round_even(CASE WHEN i = 13 THEN z / 3.14159e0 ELSE z END, 9)) AS v FROM phys")
 def physical_features_13(spark, d):
-    f = keypoints(spark, d).select("image", "slot", P.physical_features(F.col("kp"), F.lit(640.0), F.lit(480.0)).alias("v"))
-    g = lambda i, n=9: F.bround(F.get("v", i), n)
-    return f.select("image", "slot", F.get("v", 0).alias("valid"), g(1, 6).alias("conf"), g(3).alias("w"), g(9).alias("drop"))
+    v = P.physical_features(F.col("kp"), F.lit(640.0), F.lit(480.0))
+    shown = F.transform(v, lambda x, i: F.bround(F.when(i == 12, x / F.lit(3.14159)).otherwise(x), 9))
+    return keypoints(spark, d).select("image", "slot", shown.alias("v"))
 
 
 @query(
     "person_summary",
-    f"""WITH {KP_SQL}, ok AS (SELECT image, slot, count(*) FILTER (c > 0.1e0) AS n, avg(c) FILTER (c > 0.1e0) AS mc FROM kpt GROUP BY image, slot), f AS (SELECT image, CASE WHEN n >= 4 THEN 1e0 ELSE 0e0 END AS valid, CASE WHEN n >= 4 THEN mc ELSE 0e0 END AS c FROM ok)
-    SELECT image, max(valid) AS max0, round_even(max(c), 6) AS max1, round_even(sum(valid) / 20, 6) AS mean0, round_even(sum(c) / 20, 6) AS mean1, sum(valid) AS valid FROM f GROUP BY image""",
+    f"""WITH {PHYSICAL_SQL} SELECT image, {', '.join(f"round_even(max(v[{i + 1}]) / 3.14159e0, 9) AS max{i}, round_even(sum(v[{i + 1}]) / 20 / 3.14159e0, 9) + 0e0 AS mean{i}" for i in range(13))}, sum(v[1]) AS valid
+    FROM phys GROUP BY image""",
 )
 def person_summary(spark, d):
     f = keypoints(spark, d).select("image", P.physical_features(F.col("kp"), F.lit(640.0), F.lit(480.0)).alias("v"))
     s = X.person_summary(f, ["image"], "v", 13, 20)
-    return _r(s.select("image", "max0", "max1", "mean0", "mean1", "valid"), 6, "max1", "mean0", "mean1")
+    return s.withColumns({c: F.bround(F.col(c) / 3.14159, 9) for kind in ("max", "mean") for i in range(13) if (c := f"{kind}{i}")})
 
 
 @query("keypoint_visibility", f"WITH {KP_SQL} SELECT image, slot, CAST(sum(CASE WHEN c > 0.5e0 THEN 2 WHEN c > 0.2e0 THEN 1 ELSE 0 END) AS INTEGER) AS visible, round_even(avg(x) FILTER (c >= 0.2e0), 6) AS cx FROM kpt GROUP BY image, slot")
