@@ -2,9 +2,8 @@
 
 import random
 
-
 from clipwarden.operators import rules, tracking
-from clipwarden.streaming import online
+from clipwarden.streaming import online, ordered
 from clipwarden.streaming.run import run_available
 
 
@@ -74,3 +73,44 @@ def test_streams_read_a_table_stored_as_a_folder(spark, tmp_path):
     want = queries["stream_enriched"](spark, sf)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert want.count() > 0
+
+
+DDL = "clip long, t double, hit boolean, ts timestamp"
+
+
+def arrivals(spark, rows, parts, ddl=DDL):
+    size = -(-len(rows) // parts)
+    return [spark.createDataFrame(rows[i * size : (i + 1) * size], ddl).coalesce(1) for i in range(parts)]
+
+
+def at(t):
+    import datetime
+
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=t)
+
+
+def test_samples_out_of_order_give_the_batch_onset(spark):
+    rng = random.Random(4)
+    rows = [(c, i * 0.5, rng.random() < 0.35, at(i * 0.5)) for c in range(4) for i in range(60)]
+    shuffled = sorted(rows, key=lambda r: r[1] + rng.random() * 4)
+    late = [(0, 0.0, True, at(0.0)), (1, 1.0, True, at(1.0))]  # long after the rest of their clips
+    got, query = ordered.run_to_the_end(
+        lambda s: ordered.live_onsets(s, 4, 6, late_s=5, idle_s=20, horizon_s=3600), arrivals=[*arrivals(spark, shuffled, 3), spark.createDataFrame(late, DDL)]
+    )
+    found = got.collect()
+    batch = rules.n_of_m(rules.index_samples(spark.createDataFrame(rows, DDL)).filter("hit"), 4, 6)
+    assert {r.clip: r.value for r in found if r.kind == "alarm"} == {r.clip: r.onset for r in batch.collect()}
+    assert sorted((r.clip, r.ts) for r in found if r.kind == "late") == [(r[0], r[3]) for r in late]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
+def test_clips_that_end_in_the_wait_give_their_alarm(spark):
+    """Two boxes in a row, then the clip ends before 24 quiet seconds have passed; another one is quiet for long enough."""
+    ddl = "clip long, ts timestamp, t double, track long, qualified boolean"
+    rows = [(1, at(t), t, 7 if t < 3 else None, t < 3) for t in (0.0, 1.0, 2.0, 3.0)] + [(2, at(t), t, 5, t < 2) for t in (0.0, 1.0, 30.0, 31.0)]
+    rows += [(3, at(t), t, 1, False) for t in (0.0, 9.0)]
+    got, query = ordered.run_to_the_end(
+        lambda s: ordered.live_stays(s, 2, 0, 24.0, late_s=1, idle_s=10), arrivals=arrivals(spark, sorted(rows, key=lambda r: r[2]), 2, ddl)
+    )
+    assert sorted((r.clip, r.value) for r in got.collect()) == [(1, 1.0), (2, 1.0)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
