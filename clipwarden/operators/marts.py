@@ -157,3 +157,17 @@ def facet_counts(cond: DataFrame) -> DataFrame:
 def compare_models(metrics: DataFrame) -> DataFrame:
     """Models by mAP50-95, best first."""
     return metrics.orderBy(F.desc("map5095"), "name")
+
+
+def evaluation_table(per_class: DataFrame, alarms: DataFrame) -> DataFrame:
+    """(section, name, metric, value): what an evaluation report shows.
+
+    ``per_class`` has ``cls`` and a column per metric; ``alarms`` is the one row
+    of image-level counts and rates.
+    """
+    def long(df: DataFrame, section: str, name, columns: Sequence[str]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
+        return df.select(F.lit(section).alias("section"), name.alias("name"), F.inline(cells))
+
+    classes = long(per_class, "class", F.col("cls").cast("string"), [c for c in per_class.columns if c != "cls"])
+    return classes.unionByName(long(alarms, "alarm", F.lit("images"), alarms.columns))

@@ -114,11 +114,11 @@ def stream_ordered_onset(spark, d):
 
 @query("stream_tracks")
 def stream_tracks(spark, d):
-    """Order lines as a stream of boxes; equals the batch tracker (see tests)."""
+    """Order lines as a stream of boxes, a clip per supplier and a sample per order; equals the batch tracker (see tests)."""
     li = file_stream(spark, d, "lineitem")
-    x, y = (F.col("l_partkey") % 37 * 24).cast("double"), (F.col("l_suppkey") % 23 * 36).cast("double")
+    x, y = (F.col("l_partkey") % 37 * 24).cast("double"), (F.col("l_orderkey") % 23 * 36).cast("double")
     b = li.select(
-        (F.col("l_orderkey") % 40).alias("clip"), F.floor(F.col("l_orderkey") / 40).alias("idx"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("box_no"),
+        F.col("l_suppkey").alias("clip"), F.col("l_orderkey").alias("idx"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("box_no"),
         (F.col("l_partkey") % 100 / 100.0).alias("conf"), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 120).alias("y2"),
     )
     return run_available(O.online_tracks(b))[0]

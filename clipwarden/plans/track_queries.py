@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geometry as G
-from ..operators import detection, joins, rules, suppression
+from ..operators import detection, joins, marts, rules, suppression
 from . import presets
 from .inputs import (
     BOXES_SQL, DET_SQL, TRUTH_BOX_SQL, ZONE_TAG_SQL, boxes, contain_sql, detections, inside_sql, iou_sql,
     table, truth_boxes, zones,
 )
-from .registry import query
+from .registry import SQL, query
 from .signal_queries import WIDTH_S
 
 
@@ -395,3 +395,19 @@ def track_keypoints(spark, d):
     kp = keypoints(spark, d)
     people = kp.select((F.col("image") % 10).alias("clip"), F.floor(F.col("image") / 10).alias("idx"), "slot", "kp")
     return link(people)
+
+
+def _cells_sql(source: str, section: str, name: str, metrics) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {name} AS name, '{m}' AS metric, round_even(CAST({m} AS DOUBLE), 6) AS value FROM {source}" for m in metrics)
+
+
+@query(
+    "evaluation_table",
+    f"""WITH ap_rows AS ({SQL['average_precision']}), pr_rows AS ({SQL['precision_recall']}), alarm_rows AS ({SQL['image_alarm_metrics']}), by_class AS (SELECT * FROM ap_rows JOIN pr_rows USING (cls))
+    {_cells_sql('by_class', 'class', 'CAST(cls AS VARCHAR)', ('map50', 'map5095', 'precision', 'recall'))}
+    UNION ALL {_cells_sql('alarm_rows', 'alarm', "'images'", ('tp', 'fp', 'fn', 'tn', 'precision', 'recall', 'f1', 'far'))}""",
+)
+def evaluation_table(spark, d):
+    """Everything an evaluation report shows, as one table."""
+    table_ = marts.evaluation_table(average_precision(spark, d).join(precision_recall(spark, d), "cls"), image_alarm_metrics(spark, d))
+    return table_.withColumn("value", F.bround("value", 6))

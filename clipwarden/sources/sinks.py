@@ -89,3 +89,27 @@ def report(results: DataFrame, best: DataFrame) -> str:
             out += ["", f"## {item}", "", "| experiment | F1 | hit | miss | false | rule |", "|---|---|---|---|---|---|"]
         out.append(f"| {r.name} | {r.f1:.2f} | {r.tp} | {r.fn} | {r.fp} | {(r.rule or '')[:44]} |")
     return "\n".join(out)
+
+
+def evaluation_values(table: DataFrame) -> dict[str, dict[str, dict[str, float]]]:
+    """An evaluation table as nested values, ready for JSON: a few numbers per class, whatever was evaluated."""
+    found: dict[str, dict[str, dict[str, float]]] = {}
+    for r in table.orderBy("section", "name", "metric").toLocalIterator():
+        found.setdefault(r["section"], {}).setdefault(r["name"], {})[r["metric"]] = r["value"]
+    return found
+
+
+def evaluation_report(values: dict, names: dict[str, str] | None = None) -> str:
+    """Markdown of an evaluation: detection by class, then the alarm matrix of images with its rates."""
+    classes, alarm = values.get("class", {}), values.get("alarm", {}).get("images", {})
+    mean = lambda m: sum(v.get(m) or 0.0 for v in classes.values()) / max(1, len(classes))
+    out = ["## Detection", "", f"mAP50 **{mean('map50'):.3f}**, mAP50-95 **{mean('map5095'):.3f}**", "", "| class | AP50 | precision | recall |", "|---|---|---|---|"]
+    for name, v in sorted(classes.items()):
+        out.append(f"| {(names or {}).get(name, name)} | " + " | ".join(f"{v.get(m) or 0.0:.3f}" for m in ("map50", "precision", "recall")) + " |")
+    n = {k: int(alarm.get(k) or 0) for k in ("tp", "fn", "fp", "tn")}
+    rate = {k: alarm.get(k) or 0.0 for k in ("precision", "recall", "f1", "far")}
+    out += [
+        "", "## Alarms", "", f"{sum(n.values()):,} images", "", "| | alarm | none |", "|---|---|---|", f"| event | {n['tp']} | {n['fn']} |", f"| normal | {n['fp']} | {n['tn']} |",
+        "", f"precision **{rate['precision']:.3f}**, recall **{rate['recall']:.3f}**, F1 **{rate['f1']:.3f}**, false alarms of normal images **{rate['far']:.3f}**",
+    ]
+    return "\n".join(out)

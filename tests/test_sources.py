@@ -67,6 +67,18 @@ def test_report(spark):
     assert "| fire | **75.0** | 6/4/0 | e1 | r |" in text
 
 
+def test_evaluation_report(spark):
+    from clipwarden.operators import marts
+
+    classes = spark.createDataFrame([(0, 0.5, 0.25, 0.8, 0.4), (1, 0.3, 0.1, 1.0, None)], "cls int, map50 double, map5095 double, precision double, recall double")
+    alarms = spark.createDataFrame([(6, 1, 2, 11, 0.857, 0.75, 0.8, 0.083)], "tp long, fp long, fn long, tn long, precision double, recall double, f1 double, far double")
+    values = sinks.evaluation_values(marts.evaluation_table(classes, alarms))
+    assert json.loads(json.dumps(values)) == values and values["class"]["1"]["recall"] is None
+    text = sinks.evaluation_report(values, {"0": "fire"})
+    assert "mAP50 **0.400**" in text and "| fire | 0.500 | 0.800 | 0.400 |" in text and "| 1 | 0.300 | 1.000 | 0.000 |" in text
+    assert "20 images" in text and "| event | 6 | 2 |" in text and "| normal | 1 | 11 |" in text and "**0.083**" in text
+
+
 def test_leak_assertion(spark):
     train = spark.createDataFrame([("a",), ("b",)], "clip string")
     with pytest.raises(ValueError, match="held-out"):
