@@ -25,23 +25,45 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-# fixed values: words in experiment names, in order of precedence
-ITEM_WORDS = (
-    ("fall", "(?i)fall|posec3d|쓰러짐|faint|collapse"),
-    ("loiter", "(?i)loiter|roam|배회"),
+# fixed values: words in the names of experiments and of run folders, in order of precedence
+EXPERIMENT_WORDS = (
+    ("fall", "(?i)fall|posec3d"),
+    ("loiter", "(?i)loiter|배회"),
     ("intrusion", "(?i)intru|person_v|침입"),
 )
+RUN_WORDS = (
+    ("intrusion", "(?i)intrusion|침입"),
+    ("loiter", "(?i)loiter|roam|배회"),
+    ("fall", "(?i)fall|faint|collapse|쓰러"),
+)
 DEFAULT_ITEM = "fire"
+# fixed values: words in the path of a scoring clip that decide its mode
+FIRE_PATH, PERSON_PATH = "방화", "침입|배회|쓰러짐"
 
 
-def item_of(name: Column) -> Column:
-    """Event item of an experiment or file name; the first matching rule wins."""
+def _first_match(name: Column, words) -> Column:
     expr = F.lit(DEFAULT_ITEM)
-    for item, pattern in reversed(ITEM_WORDS):
+    for item, pattern in reversed(words):
         expr = F.when(name.rlike(pattern), item).otherwise(expr)
     return expr
 
 
+def item_of(name: Column) -> Column:
+    """Event item of an experiment or file name; the first matching rule wins."""
+    return _first_match(name, EXPERIMENT_WORDS)
+
+
+def item_of_run(name: Column, stated: Column | None = None) -> Column:
+    """Event item of a run folder: what its metadata state, else by its name, with words and precedence of its own."""
+    found = _first_match(name, RUN_WORDS)
+    return found if stated is None else F.coalesce(F.nullif(stated, F.lit("")), found)
+
+
+def clip_mode(path: Column, fallback: Column) -> Column:
+    """Mode of a scoring clip by the folders it lies in, else that of its category."""
+    return F.when(path.contains(FIRE_PATH), "fire").when(path.rlike(PERSON_PATH), "person").otherwise(fallback)
+
+
 def md5_fraction(key: Column) -> Column:
     """First 32 bits of md5 as a share of the largest value."""
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / F.lit(4294967295.0)

@@ -252,6 +252,11 @@ def evaluation_set(hand: DataFrame, auto: DataFrame, background: DataFrame, eval
     return merge_sources({"hand": hand, "auto": auto, "background": bg})
 
 
+def classed(auto: DataFrame, mode: str) -> DataFrame:
+    """Propagated boxes (``obj`` instead of ``cls``) with the class their object number stands for in an evaluation set."""
+    return auto.withColumn("cls", eval_class(F.col("obj"), mode).cast("int")).drop("obj")
+
+
 def auto_class(obj: Column, mode: str) -> Column:
     """Class of a propagated object: in fire mode object 1 is fire, all others smoke."""
     return F.when(obj == 1, 0).otherwise(1) if mode == "fire" else F.lit(0)

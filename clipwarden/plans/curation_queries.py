@@ -569,3 +569,17 @@ def first_label_source(spark, d):
     o = o.unionByName(t.filter("n_chars > 500").select("doc_id", F.lit(2).alias("priority"), F.lit("text").alias("src")))
     o = o.unionByName(t.select("doc_id", F.lit(3).alias("priority"), F.lit("any").alias("src")))
     return joins.first_source(o, ["doc_id"])
+
+
+@query(
+    "evaluation_classes",
+    f"""WITH b AS (SELECT event_id, user_id AS clip, event_id % 5 AS obj, CASE user_id % 4 WHEN 0 THEN '/raw/방화/x.mp4' WHEN 1 THEN '/raw/침입/x.mp4' WHEN 2 THEN '/raw/쓰러짐/방화/x.mp4' ELSE '/raw/other/x.mp4' END AS path FROM events),
+    m AS (SELECT *, CASE WHEN path LIKE '%방화%' THEN 'fire' WHEN path LIKE '%침입%' OR path LIKE '%배회%' OR path LIKE '%쓰러짐%' THEN 'person' ELSE 'none' END AS mode FROM b)
+    SELECT event_id, clip, mode, CAST(CASE WHEN mode = 'fire' THEN greatest(0, least(1, obj - 1)) ELSE 0 END AS INTEGER) AS cls FROM m WHERE mode <> 'none'""",
+)
+def evaluation_classes(spark, d):
+    """Propagated objects of scoring clips, with the class of their mode; the mode comes from the clip's folders."""
+    k = F.col("user_id") % 4
+    path = F.when(k == 0, "/raw/방화/x.mp4").when(k == 1, "/raw/침입/x.mp4").when(k == 2, "/raw/쓰러짐/방화/x.mp4").otherwise("/raw/other/x.mp4")
+    b = table(spark, d, "events").select("event_id", F.col("user_id").alias("clip"), (F.col("event_id") % 5).alias("obj"), K.clip_mode(path, F.lit("none")).alias("mode"))
+    return C.classed(b.filter("mode = 'fire'"), "fire").unionByName(C.classed(b.filter("mode = 'person'"), "person"))

@@ -304,11 +304,26 @@ def curve_probabilities(spark, d):
     return curves(spark, d).select("clip", "track", "idx", T.sigmoid(F.col("z")).alias("p"))
 
 
-@query("item_of_name", "SELECT p_partkey, CASE WHEN p_name ILIKE '%fall%' THEN 'fall' WHEN p_partkey % 3 = 0 THEN 'loiter' WHEN p_partkey % 3 = 1 THEN 'intrusion' ELSE 'fire' END AS item FROM part")
+ITEM_SUFFIXES = ("_LOITER_x", "_person_v3", "_base", "_Fall_PoseC3D", "_roam_침입", "_쓰러짐_x", "_collapse", "_faint_loiter")
+_SUFFIX_SQL = f"p_name || [{', '.join(f"'{x}'" for x in ITEM_SUFFIXES)}][p_partkey % {len(ITEM_SUFFIXES)} + 1]"
+
+
+@query(
+    "item_of_name",
+    f"""WITH n AS (SELECT p_partkey, lower({_SUFFIX_SQL}) AS u, CASE WHEN p_partkey % 13 = 0 THEN 'fall' WHEN p_partkey % 13 = 1 THEN '' END AS stated FROM part)
+    SELECT p_partkey,
+      CASE WHEN u LIKE '%fall%' OR u LIKE '%posec3d%' THEN 'fall' WHEN u LIKE '%loiter%' OR u LIKE '%배회%' THEN 'loiter'
+        WHEN u LIKE '%intru%' OR u LIKE '%person!_v%' ESCAPE '!' OR u LIKE '%침입%' THEN 'intrusion' ELSE 'fire' END AS item,
+      coalesce(nullif(stated, ''), CASE WHEN u LIKE '%intrusion%' OR u LIKE '%침입%' THEN 'intrusion' WHEN u LIKE '%loiter%' OR u LIKE '%roam%' OR u LIKE '%배회%' THEN 'loiter'
+        WHEN u LIKE '%fall%' OR u LIKE '%faint%' OR u LIKE '%collapse%' OR u LIKE '%쓰러%' THEN 'fall' ELSE 'fire' END) AS run_item FROM n""",
+)
 def item_of_name(spark, d):
+    """The item of a result file and that of a run folder: two rule sets, which differ in words and precedence."""
     p = table(spark, d, "part")
-    name = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "_LOITER_x").when(F.col("p_partkey") % 3 == 1, "_person_v3").otherwise("_base"))
-    return p.select("p_partkey", K.item_of(name).alias("item"))
+    suffix = F.get(F.array(*[F.lit(x) for x in ITEM_SUFFIXES]), (F.col("p_partkey") % len(ITEM_SUFFIXES)).cast("int"))
+    stated = F.when(F.col("p_partkey") % 13 == 0, "fall").when(F.col("p_partkey") % 13 == 1, "")
+    name = F.concat("p_name", suffix)
+    return p.select("p_partkey", K.item_of(name).alias("item"), K.item_of_run(name, stated).alias("run_item"))
 
 
 @query("onset_classifier")
