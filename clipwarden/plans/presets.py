@@ -136,19 +136,3 @@ CERTIFIED = {
     "loiter": {"conf": 0.25, "dwell_samples": 14},
     "fall": {"conf": 0.30, "hits": 3, "win": 4},
 }
-
-# representative rules shown on the dashboard
-SHOWN = {
-    "fire": _rise(0.12, 0.15, 20, 12),
-    "intrusion": EntryRule(0.45, 3, 2, 24.0),
-    "loiter": DwellRule(0.4, 0, 6, 10, 5, 6),
-    "fall": RunRule(0.269, 4),
-}
-
-# best settings reported by the published experiments
-REPORTED = {
-    "fire": _rise(0.50, 0.2, 12, 5),
-    "intrusion": EntryRule(0.375, 3, 2, 24.0),
-    "loiter": DwellRule(0.4, 0, 6, 10, 5, 6),
-    "fall": RunRule(0.0, 1),
-}

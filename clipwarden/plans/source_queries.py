@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys as K, timecode as T
 from ..operators import scorer
-from ..sources import annotations as A, label_sets, logs as L, manifest as M, signals as G, sinks
+from ..sources import adapters, annotations as A, label_sets, logs as L, manifest as M, signals as G, sinks
 from ..sources.text import read_documents
 from ..streaming.run import shared_folder
 from .inputs import table
@@ -692,3 +692,39 @@ def arithmetic_detector():
 def scored_images(spark, d):
     images = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"))
     return scorer.score_images(images, arithmetic_detector, "p_partkey long", model="arithmetic")
+
+
+def _point_list(text: str):
+    """``id@x,y|id@x,y``; parts that are not of this form are left out."""
+    for part in text.split("|"):
+        number, _, place = part.partition("@")
+        x, _, y = place.partition(",")
+        if number.strip().isdigit() and x and y:
+            yield int(number), float(x), float(y)
+
+
+def _field_list(text: str):
+    """A line of ``key = value`` each."""
+    for line in text.splitlines():
+        key, sign, value = line.partition("=")
+        if sign:
+            yield key.strip(), value.strip()
+
+
+OWN_FORMATS = {
+    "points": adapters.Format("number bigint, x double, y double", _point_list),
+    "fields": adapters.Format("key string, value string", _field_list),
+}
+
+
+@query(
+    "own_formats",
+    f"""WITH {LINES_SQL} SELECT o, n AS number, CAST(p % 640 AS DOUBLE) AS x, s % 480 + 0.5e0 AS y, NULL::VARCHAR AS key, NULL::VARCHAR AS value FROM ln
+    UNION ALL SELECT o, NULL, NULL, NULL, 'part ' || n, CAST(p AS VARCHAR) FROM ln WHERE o % 2 = 0""",
+)
+def own_formats(spark, d):
+    """Two formats of one's own through one table function, each with its columns."""
+    adapters.register_formats(spark, OWN_FORMATS)
+    points = documents(spark, d, lambda l, i: text_of(l["n"], "@", l["p"] % 640, ",", l["s"] % 480, ".5"), "x@|", "|7", "|")
+    fields = documents(spark, d, lambda l, i: text_of("part ", l["n"], " = ", l["p"]), "# head\n", "\n", "\n").filter("o % 2 = 0")
+    return adapters.parsed(points, "points", ["o"]).unionByName(adapters.parsed(fields, "fields", ["o"]), allowMissingColumns=True)

@@ -8,15 +8,17 @@ arrives older than that is not lost silently: it comes out as a row of kind
 gives at the end of a clip, and all state of the clip is removed.
 
 State of a clip is a few numbers and the samples of the last ``late`` seconds.
+Queries have to start with ``rocksdb``, as ``run_to_the_end`` does.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .run import shared_folder
@@ -158,9 +160,7 @@ def _ordered(
     Rows older than the newest of all clips by ``horizon_s`` (``late_s`` and
     ``idle_s`` together, if not given) are dropped and counted by Spark.
     """
-    spark = samples.sparkSession
     kind = samples.schema[key].dataType.simpleString()
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     horizon = late_s + idle_s if horizon_s is None else horizon_s
     held = samples.select(key, ts, F.unix_micros(ts).alias("us"), *columns).withWatermark(ts, f"{int(horizon * 1000)} milliseconds")
     processor = _Ordered(rule, list(columns), ", ".join(f"{n} {k}" for n, k in columns.items()), key, int(late_s * 1e6), int(idle_s * 1e6))
@@ -186,6 +186,18 @@ def live_stays(
     return _ordered(boxes, StayRule(need, gap, settle_s, delay, value), columns, late_s, idle_s, horizon_s, key, ts)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that timers and lists in state need, for queries started inside; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_to_the_end(build: Callable[[DataFrame], DataFrame], stream: DataFrame | None = None, arrivals: Sequence[DataFrame] = (), ts: str = "ts"):
     """Runs a rule over all there is, then ends every clip; returns the rows and the last query.
 
@@ -206,6 +218,7 @@ def run_to_the_end(build: Callable[[DataFrame], DataFrame], stream: DataFrame |
         if arrival is not None:
             arrival.write.mode("append").parquet(f"{folder}/in")
         writer = rows.writeStream.trigger(availableNow=True).outputMode("append").option("checkpointLocation", f"{folder}/state")
-        query = writer.format("parquet").option("path", f"{folder}/out").start()
-        query.awaitTermination()
+        with rocksdb(spark):
+            query = writer.format("parquet").option("path", f"{folder}/out").start()
+            query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out"), query

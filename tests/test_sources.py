@@ -179,3 +179,18 @@ def test_documents_of_many_lines_are_one_row(spark, tmp_path):
     (tmp_path / "d" / "clip_1.xml").write_text("<Clip>\n  <StartTime>00:00:05</StartTime>\n</Clip>\n")
     rows = X.read_documents(spark, str(tmp_path / "d")).collect()
     assert [(r.clip, r.text.count("\n")) for r in rows] == [("clip_1", 3)]
+
+
+def test_own_formats_as_a_table_function(spark):
+    from clipwarden.sources import adapters
+
+    def pairs(text):
+        for part in text.split():
+            yield part, len(part)
+
+    adapters.register_formats(spark, {"words": adapters.Format("word string, size int", pairs), "lines": adapters.Format("line string", lambda t: [(x,) for x in t.splitlines()])})
+    docs = spark.createDataFrame([(1, "a bb\nccc"), (2, None), (3, "")], "id long, text string")
+    assert sorted(map(tuple, adapters.parsed(docs, "words", ["id"]).collect())) == [(1, "a", 1), (1, "bb", 2), (1, "ccc", 3)]
+    assert sorted(map(tuple, adapters.parsed(docs, "lines", ["id"]).collect())) == [(1, "a bb"), (1, "ccc")]
+    with pytest.raises(Exception, match="names a format"):
+        adapters.parsed(docs, "other", ["id"])
