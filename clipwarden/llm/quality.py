@@ -9,6 +9,7 @@ fit is on a bounded sample of labelled rows, the scores cover every document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -189,7 +190,18 @@ def fit_on(
     grades = rows.column("grade").to_numpy().astype(np.int64)
     del rows
     pa.default_memory_pool().release_unused()
-    return fit(keys, marks, sizes, grades, **options)
+    model = fit(keys, marks, sizes, grades, **options)
+    del keys, marks, sizes, grades
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """The driver goes on for long after the fit: what the fit took returns to the system, where the C library can do that."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def _offsets(column) -> np.ndarray:
