@@ -33,7 +33,7 @@ from .text import stored
 
 MOST = 0.7  # of the text that a container inside must hold to be chosen over the outer one
 LEAST_SHARE = 0.05  # of a host's votes that a path needs
-AGREED = 3  # pages behind a path that is taken over the page's own choice
+AGREED = 3  # pages behind a path that a host agrees on
 VOTE = 2000  # characters that a page's vote counts for at most
 HOT_HOSTS = 1000
 
@@ -206,7 +206,7 @@ class Page:
             linked[k] += in_links
             titled[k] += heading and self.tag[k] == "h1"
         articles = self._sums([int(t in ("article", "main")) for t in self.tag])
-        size, linked, links = self._sums(size), self._sums(linked), self._sums(self.links)
+        size, linked, links, title_in = self._sums(size), self._sums(linked), self._sums(self.links), self._sums(titled)
         first: dict[int, str] = {}
         for k, text, _, heading in self.blocks:
             first.setdefault(self.parent[k] if heading else k, text)
@@ -219,7 +219,8 @@ class Page:
             drop = self.hint[k] and (tag in _NEVER or not enclosing)
             if tag == "header" and inside[up] and not links[k]:
                 drop = False  # the heading of the article itself
-            if tag in _CONTAINERS and k in first and _COMMENTS.match(first[k]) and not enclosing:
+            # a discussion may be longer than the article
+            if tag in _CONTAINERS and k in first and _COMMENTS.match(first[k]) and not title_in[k] and articles[k] == (tag in ("article", "main")):
                 drop = True
             # lists of links
             if links[k] >= 3 and linked[k] > 0.6 * size[k] and not enclosing and tag not in _HEADINGS:
@@ -276,15 +277,16 @@ def _text_at(path: str, parents: list[int], paths: list[str], elements: list[int
 
 def _agreed_text(own: int, parents: list[int], paths: list[str], elements: list[int], texts: list[str], agreed: list[dict] | tuple) -> str:
     tree = parents, paths, elements, texts
-    if not any(found["path"] == paths[own] for found in agreed):
-        for found in agreed:
-            if found["pages"] >= AGREED and found["path"] in paths and (text := _text_at(found["path"], *tree)):
+    wide = [found["path"] for found in agreed if found["pages"] >= AGREED]
+    if paths[own] not in wide:
+        for path in wide:
+            if path in paths and (text := _text_at(path, *tree)):
                 return text
     return _text_at(paths[own], *tree)
 
 
 def main_text(source: str | None, agreed: list[dict] | tuple = ()) -> str:
-    """Text of a page by its host's paths: its own choice if the host has it, else the most voted one that the page has."""
+    """Text of a page by its host's paths: its own choice if several pages share it, else the most voted one that the page has."""
     return _agreed_text(*Page(source).compact(), agreed) if source else ""
 
 
